@@ -9,11 +9,36 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusforge.functions.words import clean_category, clean_name, token_count
+from corpusforge.llm.calibrate import proportional_sample, target_gaps
+from corpusforge.llm.leaks import tilings
+from corpusforge.llm.mix import mixed
 from corpusforge.llm.near import near_groups
-from corpusforge.llm.overlaps import overlap_pairs
+from corpusforge.llm.overlaps import overlap_pairs, split_overlaps
+from corpusforge.llm.pack import packed
+from corpusforge.llm.pieces import pieces
+from corpusforge.llm.splits import grouped_split, torn
+from corpusforge.plans.stage import staged
 from corpusforge.sources.tables import table
 
 LIKENESS = Fraction(3, 4)  # TESTDATA.md's bound for likeness by single words
+MIN_MATCH = 8  # its words in sequence
+REORDERED_MATCH, REORDERED_COVERAGE = 4, 0.6  # passages of half that length, covering most of a test
+
+
+def _corpus(spark: SparkSession, folder: str) -> DataFrame:
+    train = table(spark, folder, "examples").filter(clean_name(F.col("split")) == "train").select(F.lit("examples").alias("found_in"), F.col("example_id").alias("record_id"), F.col("prompt").alias("text"))
+    return train.unionByName(table(spark, folder, "documents").select(F.lit("documents").alias("found_in"), F.col("doc_id").cast("string").alias("record_id"), "text"))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = tilings(_corpus(spark, folder), "text", table(spark, folder, "phase0_v1"), "id", "prompt", MIN_MATCH)
+    return found.select(F.col("test_id").alias("case_id"), "found_in", "record_id").distinct()
+
+
+def p1_reordered(spark: SparkSession, folder: str) -> DataFrame:
+    """Records that hold most of a test's words in tiles of at least four words, in any order."""
+    found = tilings(_corpus(spark, folder), "text", table(spark, folder, "phase0_v1"), "id", "prompt", REORDERED_MATCH, REORDERED_COVERAGE)
+    return found.select(F.col("test_id").alias("case_id"), "found_in", "record_id", "tiles", "longest", "coverage").distinct()
 
 
 def _held_out() -> Column:
@@ -26,13 +51,149 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.least("id_eval", "id_train").alias("example_id_a"), F.greatest("id_eval", "id_train").alias("example_id_b"))
 
 
+def p2_by_source(spark: SparkSession, folder: str) -> DataFrame:
+    """Evaluation records that training holds too, per split and generator, with their greatest containment."""
+    rows = table(spark, folder, "examples")
+    alike, members = split_overlaps(rows, "example_id", "prompt", _held_out(), LIKENESS, 1)
+    hit = alike.groupBy("key_eval").agg(F.max("containment").alias("containment"))
+    found = members.filter("held_out").join(hit, F.col("key") == F.col("key_eval")).select("id", "containment")
+    where = rows.select("example_id", clean_name(F.col("split")).alias("split"), "generator_id").distinct()
+    return found.join(where, F.col("id") == F.col("example_id")).groupBy("split", "generator_id").agg(F.countDistinct("id").alias("overlapping"), F.max("containment").alias("greatest_containment"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return near_groups(table(spark, folder, "examples"), "example_id", "prompt", LIKENESS, 1)
 
 
+def p3_shingles(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups by shingles of five words at a likeness of 0.8."""
+    return near_groups(table(spark, folder, "examples"), "example_id", "prompt")
+
+
+def _linked(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "examples").select("example_id", clean_name(F.col("family_id")).alias("family_id"), "template_id", clean_name(F.col("split")).alias("split"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return torn(_linked(spark, folder), ["family_id", "template_id"], "split")
+
+
+def p4_split(spark: SparkSession, folder: str) -> DataFrame:
+    shares = {r["split"]: r["target_share"] for r in table(spark, folder, "split_plan").limit(1000).collect()}
+    return grouped_split(_linked(spark, folder), "example_id", ["family_id", "template_id"], shares)
+
+
+def _population(spark: SparkSession, folder: str) -> DataFrame:
+    train = table(spark, folder, "examples").filter(clean_name(F.col("split")) == "train")
+    return train.groupBy(F.col("example_id").alias("id")).agg(F.min(clean_category(F.col("category"))).alias("category"), F.coalesce(F.max("token_count"), F.lit(0)).cast("bigint").alias("tokens"))
+
+
+def _targets(spark: SparkSession, folder: str) -> DataFrame:
+    config = table(spark, folder, "pilot_subset_config").select("config_id", "target_train_tokens", F.col("min_category_examples").alias("floor_examples"))
+    mixture = table(spark, folder, "category_mixture").select("config_id", clean_category(F.col("category")).alias("category"), "target_share")
+    return mixture.join(config, "config_id").select("config_id", "category", (F.col("target_share") * F.col("target_train_tokens")).alias("want_tokens"), "floor_examples")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    gaps = target_gaps(_population(spark, folder), _targets(spark, folder))
+    reasons = F.array_compact(F.array(F.when(F.col("short_tokens"), "tokens"), F.when(F.col("short_examples"), "examples")))
+    return gaps.select("config_id", "category", F.explode(reasons).alias("reason"))
+
+
+def p5_sample(spark: SparkSession, folder: str) -> DataFrame:
+    return proportional_sample(staged(_population(spark, folder)), _targets(spark, folder))
+
+
+def p5_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """What the sample gives each target."""
+    population, targets = staged(_population(spark, folder)), _targets(spark, folder)
+    got = proportional_sample(population, targets).groupBy(F.col("config_id").alias("_c"), F.col("category").alias("_k")).agg(F.sum("tokens").alias("_t"), F.count("*").alias("_n"))
+    met = target_gaps(population, targets).join(got, (F.col("config_id") == F.col("_c")) & (F.col("category") == F.col("_k")), "left")
+    return met.select("config_id", "category", "want_tokens", F.coalesce("_t", F.lit(0)).alias("sampled_tokens"), "floor_examples", F.coalesce("_n", F.lit(0)).alias("sampled_examples"), "short_tokens", "short_examples")
+
+
+def _limits(spark: SparkSession, folder: str, purpose: str) -> DataFrame:
+    return table(spark, folder, "size_limits").filter(F.col("purpose") == purpose)
+
+
+def p6_packed(spark: SparkSession, folder: str) -> DataFrame:
+    return packed(table(spark, folder, "documents"), "doc_id", token_count(F.col("text")), _limits(spark, folder, "container")).withColumnRenamed("id", "doc_id")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p6_packed(spark, folder).filter("oversize").select("spec_id", "doc_id").distinct()
+
+
+def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    mixture = table(spark, folder, "source_mix").withColumn("source", clean_name(F.col("source")))
+    return mixed(table(spark, folder, "documents"), "doc_id", clean_name(F.col("source")), token_count(F.col("text")), mixture)
+
+
+def p7_mixed(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixed(spark, folder)[0].withColumnRenamed("id", "doc_id")
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixed(spark, folder)[1]
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixed(spark, folder)[1].filter("short").select("mix_id", "source")
+
+
+def p8_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces(table(spark, folder, "documents"), "doc_id", "text", _limits(spark, folder, "piece"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    cut = pieces(table(spark, folder, "documents"), "doc_id", "text", _limits(spark, folder, "piece"), with_text=False)
+    return cut.filter("piece = 0").select("spec_id", "doc_id", "cut_kind").distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
 
 
+_SPACE = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_TOKEN = rf"[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{_SPACE}]+"
+
+
+def _name(c: str) -> str:
+    return f"lower(regexp_replace({c}, '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g'))"
+
+
+def _category(c: str) -> str:
+    return f"regexp_replace({_name(c)}, '[{_SPACE}-]+', '_', 'g')"
+
+
+def _tokens(c: str) -> str:
+    return f"coalesce(len(regexp_extract_all({c}, '{_TOKEN}')), 0)"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    train = f"""train AS (SELECT example_id, min({_category("category")}) AS category, coalesce(max(token_count), 0) AS tokens
+        FROM examples WHERE {_name("split")} = 'train' GROUP BY example_id),
+        have AS (SELECT category, sum(tokens) AS tokens, count(*) AS n FROM train GROUP BY category),
+        want AS (SELECT m.config_id, {_category("m.category")} AS category, m.target_share * c.target_train_tokens AS tokens, c.min_category_examples AS n
+        FROM category_mixture m JOIN pilot_subset_config c USING (config_id)),
+        met AS (SELECT w.config_id, w.category, coalesce(h.tokens, 0) < w.tokens AS t, coalesce(h.n, 0) < w.n AS e FROM want w LEFT JOIN have h ON w.category = h.category)"""
+    sizes = f"WITH sizes AS (SELECT doc_id, text, {_tokens("text")} AS n FROM documents)"
+    return {
+        "p4_found": f"""WITH RECURSIVE rec AS (SELECT DISTINCT {_name("family_id")} AS f, template_id AS t, {_name("split")} AS s FROM examples),
+            pairs AS (SELECT DISTINCT f, t FROM rec WHERE f IS NOT NULL AND t IS NOT NULL),
+            near AS (SELECT DISTINCT a.f AS x, b.f AS y FROM pairs a JOIN pairs b USING (t)),
+            reach AS (SELECT x, y FROM near UNION SELECT r.x, n.y FROM reach r JOIN near n ON r.y = n.x),
+            root AS (SELECT x AS f, min(y) AS root FROM reach GROUP BY x UNION SELECT DISTINCT f, f FROM rec WHERE f IS NOT NULL AND f NOT IN (SELECT f FROM pairs)),
+            by_t AS (SELECT t, min(root) AS root FROM pairs JOIN root USING (f) GROUP BY t),
+            placed AS (SELECT coalesce(root.root, by_t.root) AS root, rec.s FROM rec LEFT JOIN root ON rec.f = root.f LEFT JOIN by_t ON rec.t = by_t.t),
+            apart AS (SELECT root FROM placed WHERE root IS NOT NULL GROUP BY root HAVING count(DISTINCT s) > 1)
+            SELECT DISTINCT f AS family_id FROM root WHERE root IN (SELECT root FROM apart)""",
+        "p5_found": f"WITH {train} SELECT config_id, category, 'tokens' AS reason FROM met WHERE t UNION ALL SELECT config_id, category, 'examples' FROM met WHERE e",
+        "p6_found": f"{sizes} SELECT spec_id, doc_id FROM sizes JOIN size_limits ON purpose = 'container' AND n > max_tokens",
+        "p7_found": f"""WITH have AS (SELECT {_name("source")} AS source, sum({_tokens("text")}) AS n FROM documents GROUP BY 1)
+            SELECT m.mix_id, {_name("m.source")} AS source FROM source_mix m LEFT JOIN have h ON {_name("m.source")} = h.source
+            WHERE coalesce(h.n, 0) * m.max_repeats < m.target_share * m.total_tokens""",
+        "p8_found": rf"""{sizes}, big AS (SELECT spec_id, max_tokens, doc_id, text FROM sizes JOIN size_limits ON purpose = 'piece' AND n > max_tokens),
+            parts AS (SELECT spec_id, max_tokens, doc_id, unnest(string_split_regex(regexp_replace(text, '([.!?])[{_SPACE}]', E'\\1\n', 'g'), '[\r\n]')) AS part FROM big)
+            SELECT spec_id, doc_id, CASE WHEN max({_tokens("part")}) > any_value(max_tokens) THEN 'inside' ELSE 'boundary' END AS cut_kind FROM parts GROUP BY spec_id, doc_id""",
+    }
