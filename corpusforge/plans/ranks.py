@@ -18,13 +18,14 @@ def hash_bucket(order: Column, buckets: int) -> Column:
     return F.least(F.lit(buckets - 1), F.floor((order.cast("decimal(20,0)") + F.lit(str(LONG_SPAN)).cast("decimal(20,0)")) / F.lit(str(width)).cast("decimal(20,0)")).cast("int"))
 
 
-def running(df: DataFrame, keys: list[str], order: str, tie: list[str], value: Column, out: str, buckets: int = 64, total: str | None = None) -> DataFrame:
+def running(df: DataFrame, keys: list[str], order: str, tie: list[str], value: Column, out: str, buckets: int = 64, total: str | None = None, bucket: Column | None = None) -> DataFrame:
     """Sum of ``value`` over the rows of the same ``keys`` that come before a row.
 
-    Order: the bigint column ``order`` (a hash, spread over all 64 bits), then ``tie``.  ``total`` names a column
-    for the group's whole sum.  Null values count 0; null keys form a group; an empty frame stays empty.
+    Order: the bigint column ``order`` (a hash, spread over all 64 bits), then ``tie``.  For another kind of order give
+    ``bucket``, an expression that never falls as ``order`` grows, such as an id's first letters.  ``total`` names a
+    column for the group's whole sum.  Null values count 0; null keys form a group; an empty frame stays empty.
     """
-    parts = df.withColumn("_bucket", hash_bucket(F.col(order), buckets)).withColumn("_value", F.coalesce(value, F.lit(0)).cast("bigint"))
+    parts = df.withColumn("_bucket", hash_bucket(F.col(order), buckets) if bucket is None else bucket).withColumn("_value", F.coalesce(value, F.lit(0)).cast("bigint"))
     sums = parts.groupBy(*keys, "_bucket").agg(F.sum("_value").alias("_sum"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
@@ -33,7 +34,7 @@ def running(df: DataFrame, keys: list[str], order: str, tie: list[str], value: C
         F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"),
         F.sum("_sum").over(Window.partitionBy(*keys)).alias("_total"),
     )
-    on = F.col("_bucket") == F.col("_b")
+    on = F.col("_bucket").eqNullSafe(F.col("_b"))
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     within = Window.partitionBy(*keys, "_bucket").orderBy(order, *tie).rowsBetween(Window.unboundedPreceding, -1)
@@ -44,6 +45,6 @@ def running(df: DataFrame, keys: list[str], order: str, tie: list[str], value: C
     return done.drop("_bucket", "_value", "_b", "_offset", "_within", "_total", *[f"_k_{k}" for k in keys])
 
 
-def ranked(df: DataFrame, keys: list[str], order: str, tie: list[str], out: str, buckets: int = 64) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], order: str, tie: list[str], out: str, buckets: int = 64, bucket: Column | None = None) -> DataFrame:
     """0-based rank of each row among the rows of the same ``keys``; see ``running``."""
-    return running(df, keys, order, tie, F.lit(1), out, buckets)
+    return running(df, keys, order, tie, F.lit(1), out, buckets, bucket=bucket)

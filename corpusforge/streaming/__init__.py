@@ -1 +1 @@
-
+"""Streams of records and of log events."""
