@@ -30,6 +30,7 @@ def target_gaps(population: DataFrame, targets: DataFrame) -> DataFrame:
     floor_examples``.  ``short_tokens`` and ``short_examples`` are true where all records together are too few.
     A category without records has 0; null tokens count 0; null categories meet no target.
     """
+    targets = targets.select("config_id", "category", "want_tokens", "floor_examples")
     have = population.groupBy("category").agg(F.sum("tokens").alias("_tokens"), F.count("*").alias("_examples")).withColumnRenamed("category", "_category")
     met = targets.join(have, F.col("category") == F.col("_category"), "left").drop("_category")
     met = met.withColumn("available_tokens", F.coalesce("_tokens", F.lit(0))).withColumn("available_examples", F.coalesce("_examples", F.lit(0))).drop("_tokens", "_examples")
@@ -144,6 +145,7 @@ def proportional_sample(population: DataFrame, targets: DataFrame, seed: int = 1
     cluster.  An empty population or no targets give no rows.
     """
     spark = population.sparkSession
+    population, targets = population.select("id", "category", F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens")), targets.select("config_id", "category", "want_tokens", "floor_examples")
     histogram = staged(population.filter("category is not null").groupBy("category", "tokens").agg(F.count("*").alias("n")))
     rows = calibrated(histogram, targets)
     tilt = spark.createDataFrame([(r["config_id"], r["category"], float(max(-1e3, min(1e3, r["eta"]))), r["slope"], r["mean"], r["sd"] or 1.0, r["count"]) for r in rows], "config_id string, _category string, eta double, slope double, mean double, sd double, _n bigint")

@@ -121,7 +121,8 @@ def tilings(corpus: DataFrame, text: str, tests: DataFrame, test_id: str, test_t
     """``corpus`` without its text, with a row for each test text that a corpus text gives away.
 
     Adds ``test_id``, ``tiles``, ``longest`` (words of the longest tile) and ``coverage`` (share of the test's words
-    in tiles), where the coverage is above 0 and at least ``min_coverage``.  A tile has ``min_match`` words in
+    in tiles), where the coverage is above 0 and at least ``min_coverage``; a corpus column of one of these names is
+    kept with ``corpus_`` before it.  A tile has ``min_match`` words in
     sequence, or all of a test that has fewer, so passages count in any order.  Null ids and tests without words
     give nothing, as do null and empty corpus texts; repeated corpus rows give repeated rows.
     """
@@ -129,8 +130,9 @@ def tilings(corpus: DataFrame, text: str, tests: DataFrame, test_id: str, test_t
     cases = tests.select(F.col(test_id).alias("id"), F.col(test_text).alias("text")).dropna()
     chars = cases.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     blocks = 1 + chars // BLOCK_CHARS
-    others = [c for c in corpus.columns if c != text]
-    schema = T.StructType([*corpus.select(*others).schema.fields, *T._parse_datatype_string("test_id string, tiles int, longest int, coverage double").fields])
+    added = T._parse_datatype_string("test_id string, tiles int, longest int, coverage double").fields
+    corpus = corpus.select(F.col(text), *[F.col(c).alias(f"corpus_{c}" if c in [f.name for f in added] else c) for c in corpus.columns if c != text])
+    schema = T.StructType([*corpus.schema.fields[1:], *added])
     found = None
     for block in range(blocks):
         of = cases.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).collect()
@@ -162,6 +164,6 @@ def tilings(corpus: DataFrame, text: str, tests: DataFrame, test_id: str, test_t
                 values = [pa.array([x[k] for x in out], kind) for k, kind in ((1, pa.string()), (2, pa.int32()), (3, pa.int32()), (4, pa.float64()))]
                 yield pa.record_batch([*(c.take(at) for c in batch.columns[1:]), *values], names=schema.names)
 
-        part = corpus.select(text, *others).mapInArrow(scan, schema)
+        part = corpus.mapInArrow(scan, schema)
         found = part if found is None else found.unionByName(part)
     return found

@@ -70,7 +70,7 @@ def pieces(df: DataFrame, id: str, text: str, limits: DataFrame, with_text: bool
     """The pieces of each text that has more than ``max_tokens`` tokens, for each row of ``limits``.
 
     ``limits``: ``spec_id, max_tokens, overlap_tokens``; a null overlap is 0, one of ``max_tokens`` or more is
-    ``max_tokens - 1``, rows without a positive ``max_tokens`` are left out.  Columns: ``spec_id``, the id, ``piece``
+    ``max_tokens - 1``, rows without a positive ``max_tokens`` are left out.  Columns: ``spec_id, id``, ``piece``
     (from 0), ``start, end`` (characters), ``n_tokens`` (with the overlap), ``own_tokens`` (without), ``ends_at``
     (``pause``, ``hard`` or ``end``), ``cut_kind`` (``inside`` if a stretch without a pause has more than
     ``max_tokens`` tokens, else ``boundary``) and, if asked for, the piece's ``text``.  Each piece but the first begins
@@ -81,7 +81,7 @@ def pieces(df: DataFrame, id: str, text: str, limits: DataFrame, with_text: bool
     if len(specs) > SPECS:
         raise ValueError(f"more than {SPECS} limits")
     fields = T._parse_datatype_string("piece int, start int, end int, n_tokens int, own_tokens int, ends_at string, cut_kind string" + ", text string" * with_text).fields
-    schema = T.StructType([T.StructField("spec_id", T.StringType()), T.StructField(id, df.schema[id].dataType), *fields])
+    schema = T.StructType([T.StructField("spec_id", T.StringType()), T.StructField("id", df.schema[id].dataType), *fields])
     kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()][: len(fields)]
     least = min((m for _, m, _ in specs), default=0)
 

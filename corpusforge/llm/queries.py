@@ -142,12 +142,12 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    return pieces(table(spark, folder, "documents"), "doc_id", "text", _limits(spark, folder, "piece"))
+    return pieces(table(spark, folder, "documents"), "doc_id", "text", _limits(spark, folder, "piece")).withColumnRenamed("id", "doc_id")
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     cut = pieces(table(spark, folder, "documents"), "doc_id", "text", _limits(spark, folder, "piece"), with_text=False)
-    return cut.filter("piece = 0").select("spec_id", "doc_id", "cut_kind").distinct()
+    return cut.filter("piece = 0").select("spec_id", F.col("id").alias("doc_id"), "cut_kind").distinct()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

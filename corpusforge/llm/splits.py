@@ -88,14 +88,16 @@ def grouped_split(df: DataFrame, id: str, links: list[str], shares: dict[str, fl
     values differ, the id itself holds them together.  Null ids are left out; a record without any link value stands
     alone; an empty table or empty ``shares`` gives no rows.
     """
-    rows = df.select(id, *links).filter(F.col(id).isNotNull())
+    names = [f"link{k}" for k in range(len(links))]
+    rows = staged(df.select(F.col(id).alias("id"), *[F.col(c).alias(n) for c, n in zip(links, names)]).filter("id is not null").distinct())
+    back = [F.col("id").alias(id), *[F.col(n).alias(c) for c, n in zip(links, names)]]
     if not shares:
-        return rows.limit(0).withColumn(out, F.lit(None).cast("string"))
-    twice = rows.distinct().groupBy(id).count().filter("count > 1").select(F.col(id).alias("_id"))
-    keyed = rows.distinct().join(twice, F.col(id) == F.col("_id"), "left")
-    placed = staged(related(keyed.withColumnRenamed("_id", "_twice"), [*links, "_twice"]).drop("_twice"))
-    component = F.coalesce("root", F.concat(F.lit("id:"), F.col(id)))
-    sizes = staged(placed.select(id, component.alias("component")).distinct().groupBy("component").count().select("component", F.col("count").alias("size"), F.xxhash64("component").alias("_order")))
+        return rows.limit(0).select(*back, F.lit(None).cast("string").alias(out))
+    twice = rows.groupBy("id").count().filter("count > 1").select(F.col("id").alias("_id"))
+    keyed = rows.join(twice, F.col("id") == F.col("_id"), "left").withColumnRenamed("_id", "twice")
+    placed = staged(related(staged(keyed), [*names, "twice"]).drop("twice"))
+    component = F.coalesce("root", F.concat(F.lit("id:"), F.col("id")))
+    sizes = staged(placed.select("id", component.alias("component")).distinct().groupBy("component").count().select("component", F.col("count").alias("size"), F.xxhash64("component").alias("_order")))
     histogram = {r["size"]: r["n"] for r in sizes.groupBy("size").agg(F.count("*").alias("n")).collect()}  # at most sqrt(2N) rows
     plan = []
     begin: dict[int, int] = {}
@@ -103,15 +105,20 @@ def grouped_split(df: DataFrame, id: str, links: list[str], shares: dict[str, fl
         for size, n in picked.items():
             plan.append((size, split, begin.get(size, 0), begin.get(size, 0) + n))
             begin[size] = begin.get(size, 0) + n
-    ranges = df.sparkSession.createDataFrame(plan, f"_size bigint, {out} string, _from bigint, _to bigint")
+    ranges = df.sparkSession.createDataFrame(plan, "_size bigint, split string, _from bigint, _to bigint")
     numbered = ranked(sizes, ["size"], "_order", ["component"], "_rank")
-    split_of = numbered.join(F.broadcast(ranges), (F.col("size") == F.col("_size")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))).select(F.col("component").alias("_component"), out)
-    return placed.join(split_of, component == F.col("_component")).select(id, *links, out).distinct()
+    split_of = numbered.join(F.broadcast(ranges), (F.col("size") == F.col("_size")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))).select(F.col("component").alias("_component"), "split")
+    return placed.join(split_of, component == F.col("_component")).select(*back, F.col("split").alias(out))
 
 
 def torn(df: DataFrame, links: list[str], split: str) -> DataFrame:
-    """Values of the first column of ``links`` whose related rows lie in two or more splits; null splits don't count."""
-    combos = df.select(*links, split).distinct()
-    placed = staged(related(combos, links).filter("root is not null"))
-    apart = placed.groupBy("root").agg(F.min(split).alias("_low"), F.max(split).alias("_high")).filter("_low < _high").select(F.col("root").alias("_root"))
-    return placed.filter(F.col(links[0]).isNotNull()).select(links[0], "root").distinct().join(apart, F.col("root") == F.col("_root"), "left_semi").select(links[0]).distinct()
+    """Values of the first column of ``links`` whose related rows lie in two or more splits; null splits don't count.
+
+    Repeated rows count once, rows without any link value don't; an empty table gives no rows.
+    """
+    names = [f"link{k}" for k in range(len(links))]
+    combos = df.select(*[F.col(c).alias(n) for c, n in zip(links, names)], F.col(split).alias("split")).distinct()
+    placed = staged(related(combos, names).filter("root is not null"))
+    apart = placed.groupBy("root").agg(F.min("split").alias("_low"), F.max("split").alias("_high")).filter("_low < _high").select(F.col("root").alias("_root"))
+    families = placed.filter("link0 is not null").select("link0", "root").distinct()
+    return families.join(apart, F.col("root") == F.col("_root"), "left_semi").select(F.col("link0").alias(links[0])).distinct()
