@@ -117,7 +117,7 @@ def torn(df: DataFrame, links: list[str], split: str) -> DataFrame:
     Repeated rows count once, rows without any link value don't; an empty table gives no rows.
     """
     names = [f"link{k}" for k in range(len(links))]
-    combos = df.select(*[F.col(c).alias(n) for c, n in zip(links, names)], F.col(split).alias("split")).distinct()
+    combos = staged(df.select(*[F.col(c).alias(n) for c, n in zip(links, names)], F.col(split).alias("split")).distinct())
     placed = staged(related(combos, names).filter("root is not null"))
     apart = placed.groupBy("root").agg(F.min("split").alias("_low"), F.max("split").alias("_high")).filter("_low < _high").select(F.col("root").alias("_root"))
     families = placed.filter("link0 is not null").select("link0", "root").distinct()
