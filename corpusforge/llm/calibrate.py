@@ -151,7 +151,8 @@ def proportional_sample(population: DataFrame, targets: DataFrame, seed: int = 1
     tilt = spark.createDataFrame([(r["config_id"], r["category"], float(max(-1e3, min(1e3, r["eta"]))), r["slope"], r["mean"], r["sd"] or 1.0, r["count"]) for r in rows], "config_id string, _category string, eta double, slope double, mean double, sd double, _n bigint")
     tilt = F.broadcast(tilt) if len(rows) <= TARGETS else tilt
     odds = F.col("eta") + F.col("slope") * (F.col("tokens") - F.col("mean")) / F.col("sd")
-    units = population.join(tilt, F.col("category") == F.col("_category")).withColumn("probability", 1 / (1 + F.exp(-odds))).withColumn("order", F.xxhash64(F.lit(seed), "config_id", "id"))
+    # rounded, as sums in another order give tilts that differ in their last digits
+    units = population.join(tilt, F.col("category") == F.col("_category")).withColumn("probability", F.round(1 / (1 + F.exp(-odds)), 10)).withColumn("order", F.xxhash64(F.lit(seed), "config_id", "id"))
     parts = F.pmod("order", F.ceil(F.col("_n") / PART)).cast("int")
     cols = ["config_id", "category", "id", "tokens", "probability", "order"]
     units = units.withColumn("part", parts).select(*cols, "part", F.col("probability").alias("p"))
