@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusforge.functions.words import SPACE
+from corpusforge.functions.words import BLANKS, SPACE
 
 # Control characters that reject a text, numeric literals, terminal tags.
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
-NUMBER = r"(?<![A-Za-z_])[-+]?\d+(?:\.\d+)?(?:/\d+)?(?:e[-+]?\d+)?"
+NUMBER = r"(?<![A-Za-z_])[-+]?\p{Nd}+(?:\.\p{Nd}+)?(?:/\p{Nd}+)?(?:e[-+]?\p{Nd}+)?"
 TAGS = ["tool_call", "tool_result", "final", "unsupported", "error"]
 
 
@@ -29,7 +29,7 @@ def composed(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Without surrounding white space of any kind."""
-    return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def has_control(c: Column) -> Column:
@@ -38,9 +38,10 @@ def has_control(c: Column) -> Column:
 
 def normalized(c: Column) -> Column:
     """NFC, single spaces, at most one empty line, stripped; null for null, control characters or nothing left."""
-    form = composed(c)
+    form = composed(F.when(~has_control(c), c))
     spaced = strip(F.regexp_replace(F.regexp_replace(form, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
-    return F.when(~has_control(c) & (F.length(spaced) > 0), spaced)
+    # in an array, as the optimizer would else repeat the whole chain for the test of its length
+    return F.transform(F.array(spaced), lambda t: F.when(F.length(t) > 0, t))[0]
 
 
 def shape(c: Column) -> Column:
@@ -92,7 +93,7 @@ def first_call(c: Column) -> Column:
 
 
 # Fixed value: a number as answers write it - currency, sign, thousands, fraction or exponent, with no word around it.
-ANSWER_NUMBER = r"(?<![\w.])[$€£]?\s*([+-]?\d+\s*/\s*\d+|[+-]?(?:\d+(?:,\d{3})*(?:\.\d+)?|\.\d+)(?:[eE][+-]?\d+)?)(?![\w/])"
+ANSWER_NUMBER = r"(?<![\p{L}\p{N}_.])[$€£]?\s*([+-]?\p{Nd}+\s*/\s*\p{Nd}+|[+-]?(?:\p{Nd}+(?:,\p{Nd}{3})*(?:\.\p{Nd}+)?|\.\p{Nd}+)(?:[eE][+-]?\p{Nd}+)?)(?![\p{L}\p{N}_/])"
 
 
 def last_number(c: Column) -> Column:

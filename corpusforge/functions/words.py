@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 # White space in the sense of Python's str.isspace, and the token pattern over it, for Java's regular expressions.
 SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+BLANKS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 TOKEN = rf"[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{SPACE}]+"
 
 WORD = re.compile(r"[^\W_]+")
@@ -30,7 +31,7 @@ def token_count(text: Column) -> Column:
 
 def clean_name(c: Column) -> Column:
     """Lower case without surrounding white space; null stays null."""
-    return F.lower(F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", ""))
+    return F.lower(F.btrim(c, F.lit(BLANKS)))
 
 
 def clean_category(c: Column) -> Column:

@@ -34,8 +34,8 @@ def _strip_sql(c: str) -> str:
 
 
 def _shape_sql(c: str) -> str:
-    number = r"[-+]?[0-9]+(?:\.[0-9]+)?(?:/[0-9]+)?(?:e[-+]?[0-9]+)?"
-    pieces = rf"list_transform(regexp_extract_all(lower({c}), '[a-z_][-+0-9]?|{number}|(?s:.)'), lambda t: CASE WHEN regexp_full_match(t, '{number}') THEN '<NUM>' ELSE t END)"
+    number = r"[-+]?\p{Nd}+(?:\.\p{Nd}+)?(?:/\p{Nd}+)?(?:e[-+]?\p{Nd}+)?"
+    pieces = rf"list_transform(regexp_extract_all(lower({c}), '[a-z_][-+\p{{Nd}}]?|{number}|(?s:.)'), lambda t: CASE WHEN regexp_full_match(t, '{number}') THEN '<NUM>' ELSE t END)"
     return _strip_sql(f"regexp_replace(regexp_replace(array_to_string({pieces}, ''), '\\$[{_SPACE}]*<NUM>', '$<NUM>', 'g'), '[{_SPACE}]+', ' ', 'g')")
 
 
@@ -100,8 +100,8 @@ _NORMAL = _strip_sql(r"regexp_replace(regexp_replace(nfc_normalize(text), '[ \t]
 
 @query(rf"SELECT doc_id, sha256(n) AS digest, length(n) AS n_normal FROM (SELECT doc_id, text, {_NORMAL} AS n FROM documents) WHERE n != '' AND NOT regexp_matches(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]')")
 def normalize_text(spark: SparkSession, folder: str) -> DataFrame:
-    texts = table(spark, folder, "documents").select("doc_id", normalized(F.col("text")).alias("n")).filter("n is not null")
-    return texts.select("doc_id", F.sha2("n", 256).alias("digest"), F.length("n").alias("n_normal"))
+    kept = F.transform(F.array(normalized(F.col("text"))), lambda n: F.when(n.isNotNull(), F.struct(F.sha2(n, 256).alias("digest"), F.length(n).alias("n_normal"))))
+    return table(spark, folder, "documents").select("doc_id", F.inline(F.array_compact(kept)))
 
 
 @query(rf"""SELECT count(*) AS texts, count(*) FILTER (prompt IS NULL) AS nulls, count(*) FILTER (c) AS control, count(*) FILTER (NOT c AND {_strip_sql("prompt")} = '') AS blank,

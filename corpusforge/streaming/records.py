@@ -23,8 +23,10 @@ def first_seen(stream: DataFrame, key: Column, time: str | None = None, within:
 
 def windowed_counts(stream: DataFrame, time: str, width: str, by: list[str], value: str, late: str = "10 minutes", slide: str | None = None) -> DataFrame:
     """Rows and sum of ``value`` per event-time window and group; rows later than ``late`` are dropped from a stream."""
+    if stream.isStreaming:  # watermarks take no local times
+        stream = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
     window = F.window(time, width, slide) if slide else F.window(time, width)
-    counts = stream.withWatermark(time, late).groupBy(window.alias("w"), *by).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+    counts = stream.groupBy(window.alias("w"), *by).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
     return counts.select(F.col("w.start").alias("window_start"), *by, "n", "total")
 
 
