@@ -4,8 +4,8 @@ Records that share a prefix word (``wordsets``) form a block.  A block is compar
 numpy exclusive-or and bit counts of the signatures: the differing bits of two sets never exceed their differing
 words, which for likeness t are at most (1-t)/(1+t) of the words of both.  The bit counts of two signatures differ by
 no more than their differing bits, so, rows being sorted by bit count, tile pairs whose counts differ beyond the
-radius are skipped.  Blocks of more than ``CELL`` rows are split into salted cells, each pair of salts in one of
-them, so no task gets an unbounded block.  What the signatures can't tell is settled by the texts.
+radius are skipped.  Blocks of more than ``CELL`` rows are split by salts: first rows of one salt are compared, then
+what that left in different groups meets across salts, so no task gets an unbounded block.  What the signatures can't tell is settled by the texts.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusforge.llm.components import components
@@ -28,22 +28,51 @@ SHORT = 48
 DENSE = 8
 
 
-def block_cells(sets: DataFrame) -> DataFrame:
-    """A row per cell in which a set is compared: ``cell, place, key, n, sig0, sig1``.
+COLUMNS = ["key", "n", "sig0", "sig1"]
 
-    ``place`` is 0 in cells whose rows are compared with each other, else 1 or 2 for the side of the cell.
-    Words that few records can hold make a cell each; blocks of other words are counted and salted if too large.
-    """
-    kept = sets.filter("first")
-    cols = ["key", "n", "sig0", "sig1"]
-    rare = kept.select(F.explode("rare").alias("cell"), F.lit(0).cast("tinyint").alias("place"), *cols)
-    common = kept.select(F.explode("common").alias("word"), *cols)
+
+def _cell(*parts: Column | str) -> Column:
+    return F.xxhash64(*parts).alias("cell")
+
+
+def _place(place: Column | int) -> Column:
+    return (F.lit(place) if isinstance(place, int) else place).cast("tinyint").alias("place")
+
+
+def salted_blocks(sets: DataFrame) -> DataFrame:
+    """``word, salts, salt`` and the set's columns for words that many records can hold, counted exactly."""
+    common = sets.filter("first").select(F.explode("common").alias("word"), *COLUMNS)
     salts = common.groupBy("word").count().select(F.col("word").alias("_w"), F.ceil(F.col("count") / CELL).cast("int").alias("salts"))
-    salted = common.join(salts, F.col("word") == F.col("_w")).withColumn("salt", F.pmod("key", "salts").cast("int"))
-    spread = salted.select("word", "salt", *cols, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("other"))
-    place = F.when(F.col("salt") == F.col("other"), 0).when(F.col("salt") < F.col("other"), 1).otherwise(2).cast("tinyint")
-    cells = spread.select(F.xxhash64("word", F.least("salt", "other"), F.greatest("salt", "other")).alias("cell"), place.alias("place"), *cols)
-    return rare.unionByName(cells)
+    return common.join(salts, F.col("word") == F.col("_w")).select("word", "salts", F.pmod("key", "salts").cast("int").alias("salt"), *COLUMNS)
+
+
+def own_cells(sets: DataFrame, common: DataFrame) -> DataFrame:
+    """A row per cell in which a set is compared with sets of its own salt: ``cell, place`` (0) and the set's columns.
+
+    A word that few records can hold makes one cell, of a larger block each salt makes one.
+    """
+    rare = sets.filter("first").select(F.explode("rare").alias("cell"), _place(0), *COLUMNS)
+    return rare.unionByName(common.select(_cell("word", "salt", "salt"), _place(0), *COLUMNS))
+
+
+def cross_cells(common: DataFrame, roots: DataFrame) -> DataFrame:
+    """The cells for pairs of different salts of large blocks: ``cell, place`` (1 or 2 for a side, else 0) and the set's columns.
+
+    Sets that are in the block's largest group already (``roots``: ``node, root``, from the cells before) needn't meet
+    each other: they keep to one cell each, where the block's other sets come to them; only those are salted among
+    themselves.  So a block of near copies, be it a third of all rows, stays linear.
+    """
+    large = common.filter("salts > 1").join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key")).drop("node")
+    groups = large.groupBy("word", "root").count()
+    leads = groups.groupBy("word").agg(F.max_by("root", F.struct("count", "root")).alias("_lead"), F.ceil((F.sum("count") - F.max("count")) / CELL).cast("int").alias("_salts"))
+    met = large.join(leads.withColumnRenamed("word", "_word"), F.col("word") == F.col("_word"))
+    lead, rest = met.filter("root = _lead"), met.filter("root != _lead")
+    here = lead.filter("_salts > 0").select(_cell("word", F.lit("lead"), "salt"), _place(1), *COLUMNS)
+    come = rest.select("word", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *COLUMNS).select(_cell("word", F.lit("lead"), "salt"), _place(2), *COLUMNS)
+    mine = rest.withColumn("mine", F.pmod(F.xxhash64("key"), "_salts").cast("int")).select("word", "mine", *COLUMNS, F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("other"))
+    side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
+    among = mine.select(_cell("word", F.lit("rest"), F.least("mine", "other"), F.greatest("mine", "other")), _place(side), *COLUMNS)
+    return here.unionByName(come).unionByName(among)
 
 
 def bit_count(sig: np.ndarray) -> np.ndarray:
@@ -164,22 +193,16 @@ def dense_links(rows: DataFrame, sets: DataFrame, text: str, likeness: Fraction,
                 part = table.slice(s, int(np.searchsorted(cells, cells[s], side="right")) - s)
                 place, key, n, s0, s1 = (part.column(k).to_numpy() for k in range(1, 6))
                 grams = [text_grams(x, size) for x in part.column(6).to_pylist()]
-                parent = list(range(len(key)))
-
-                def root(x: int) -> int:
-                    while parent[x] != x:
-                        parent[x] = parent[parent[x]]
-                        x = parent[x]
-                    return x
-
-                order = np.argsort(bit_count(np.stack([s0, s1], axis=1).view(np.uint64)), kind="stable")
                 sig = np.stack([s0, s1], axis=1).view(np.uint64)
-                for i, x in enumerate(order.tolist()):
-                    rest = order[i + 1 :]
-                    ok = alike(n[x], n[rest], bit_count(sig[x] ^ sig[rest]), likeness) & ((place[x] + place[rest]) % 3 == 0)
-                    for y in rest[ok].tolist():
-                        if (rx := root(x)) != (ry := root(y)) and overlap(grams[x], grams[y], likeness) > 0:
-                            parent[ry] = rx
+                group = np.arange(len(key))
+                order = np.argsort(bit_count(sig), kind="stable")
+                for at, x in enumerate(order.tolist()):
+                    rest = order[at + 1 :]
+                    rest = rest[group[rest] != group[x]]
+                    rest = rest[alike(n[x], n[rest], bit_count(sig[x] ^ sig[rest]), likeness) & ((place[x] + place[rest]) % 3 == 0)]
+                    for y in rest.tolist():
+                        if group[x] != group[y] and overlap(grams[x], grams[y], likeness) > 0:
+                            group[group == group[y]] = group[x]
                             found.append((int(key[x]), int(key[y])))
             yield pa.record_batch([pa.array([p for p, _ in found], pa.int64()), pa.array([q for _, q in found], pa.int64())], names=["a", "b"])
 
@@ -187,6 +210,14 @@ def dense_links(rows: DataFrame, sets: DataFrame, text: str, likeness: Fraction,
     return sorted_rows.mapInArrow(link, "a bigint, b bigint")
 
 
+def _links(cells: DataFrame, sets: DataFrame, likeness: Fraction, size: int) -> DataFrame:
+    """Pairs ``a, b`` of keys whose texts are alike, of dense cells only as many as it takes."""
+    found = staged(cell_pairs(cells, likeness))
+    links = measured(found.filter("cell is null").select("a", "b").distinct(), sets, "text", likeness, size).select("a", "b")
+    dense = found.filter("cell is not null")
+    return staged(links if dense.isEmpty() else links.unionByName(dense_links(dense, sets, "text", likeness, size)))
+
+
 def near_groups(df: DataFrame, id: str, text: str, likeness: Fraction = Fraction(4, 5), size: int = 5) -> DataFrame:
     """Groups of records whose gram sets are alike, directly or through others: a row per record that has company.
 
@@ -196,12 +227,11 @@ def near_groups(df: DataFrame, id: str, text: str, likeness: Fraction = Fraction
     the likeness of two sets is the number of grams in both by that in either.
     """
     sets = staged(gram_sets(df.select(F.col(id).alias("id"), F.col(text).alias("text")).filter("id is not null"), "text", likeness, size))
-    found = staged(cell_pairs(block_cells(sets), likeness))
-    pairs = found.filter("cell is null").select("a", "b").distinct()
-    links = measured(pairs, sets, "text", likeness, size).select("a", "b")
-    dense = found.filter("cell is not null")
-    if not dense.isEmpty():
-        links = links.unionByName(dense_links(dense, sets, "text", likeness, size))
+    common = salted_blocks(sets)
+    common = staged(common) if not sets.filter("size(common) > 0").isEmpty() else common
+    links = _links(own_cells(sets, common), sets, likeness, size)
+    if not common.filter("salts > 1").isEmpty():
+        links = links.unionByName(_links(cross_cells(common, components(links, "a", "b")), sets, likeness, size))
     roots = components(links, "a", "b")
     members = sets.filter("key is not null").select("key", "id").distinct()
     own = members.join(roots, F.col("key") == F.col("node"), "left").select("id", F.coalesce("root", "key").alias("root"))
