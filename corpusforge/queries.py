@@ -14,7 +14,7 @@ from corpusforge.functions.ids import derive_id, derive_seed, hash_split
 from corpusforge.functions.text import first_call, first_tag, last_number, normalized, quality_counts, shape, tagged
 from corpusforge.functions.words import clean_category, clean_name, token_count
 from corpusforge.operators import build as building
-from corpusforge.operators import contamination, dedup, generate, manifests, packing, render, sampling, scoring, stats
+from corpusforge.operators import contamination, dedup, dialogue, generate, manifests, packing, render, sampling, scoring, stats, subsets
 from corpusforge.plans.stage import staged
 from corpusforge.schema import CATEGORIES, case_rules, example_rules, violations
 from corpusforge.sources.tables import table
@@ -394,6 +394,39 @@ def instruction_augment(spark: SparkSession, folder: str) -> DataFrame:
     return sampling.augmented(records(spark, folder), "example_id", "prompt", allowed, _FRAMES, 2).select("example_id", "variant", "prompt")
 
 
+@query(f"WITH {_REC} SELECT split, count(*) AS records, sum(tokens) AS tokens, sha256(string_agg(example_id, chr(10) ORDER BY example_id)) AS ids_sha256, count(DISTINCT family_id) AS distinct_family_id FROM rec GROUP BY split")
+def subset_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return subsets.subset_manifest(records(spark, folder), "example_id", "split", "tokens", [], ["family_id"])
+
+
+@query()
+def subset_manifest_maps(spark: SparkSession, folder: str) -> DataFrame:
+    return subsets.subset_manifest(records(spark, folder), "example_id", "split", "tokens", ["category", "expected_behavior"], ["family_id"]).withColumns({f"{c}_counts": F.to_json(f"{c}_counts") for c in ("category", "expected_behavior")})
+
+
+_UNION = f"WITH {_REC}, m AS (SELECT split, sha256(string_agg(example_id, chr(10) ORDER BY example_id)) AS d FROM rec WHERE split IS NOT NULL GROUP BY split) SELECT sha256(string_agg(l, chr(10) ORDER BY l)) AS identity FROM (SELECT split || ':' || d || ':none' AS l FROM m)"
+
+
+@query(_UNION)
+def subset_identity(spark: SparkSession, folder: str) -> DataFrame:
+    rows = records(spark, folder).filter("split is not null")
+    manifest = stats.set_digest(rows, "example_id", ["split"]).withColumn("replay", F.lit(None).cast("string"))
+    return subsets.union_identity(manifest, "split", ["digest", "replay"])
+
+
+@query(f"WITH {_REC} SELECT source, count(*) AS n, sum(tokens) AS tokens FROM (SELECT 'base' AS source, tokens FROM rec WHERE split = 'train' UNION ALL SELECT 'replay', tokens FROM rec WHERE split = 'validation') GROUP BY source")
+def curriculum_union(spark: SparkSession, folder: str) -> DataFrame:
+    rows = records(spark, folder)
+    parts = {"base": rows.filter("split = 'train'"), "replay": rows.filter("split = 'validation'")}
+    return subsets.union_of_sources(parts).groupBy("source").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
+
+
+@query("""SELECT id AS row, 'missing_difficulty' AS rule FROM phase0_v1 WHERE NOT coalesce(regexp_matches(difficulty, '\\S'), false)
+    UNION ALL SELECT DISTINCT id, 'repeated' FROM phase0_v1 WHERE id IN (SELECT id FROM phase0_v1 GROUP BY id HAVING count(*) > 1)""")
+def manifest_table_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return subsets.table_rules(table(spark, folder, "phase0_v1"), ["id", "difficulty", "prompt"], "id", {"difficulty": ["trivial", "easy", "medium", "hard"]})
+
+
 # --- sequences -------------------------------------------------------------------------------------------------------
 
 _CAPACITY = 512
@@ -487,14 +520,25 @@ def expected_completion(spark: SparkSession, folder: str) -> DataFrame:
     return render.expected_tag(records(spark, folder)).select("example_id", "expected_tag", "expected_value")
 
 
-@query()
-def loss_mask_counts(spark: SparkSession, folder: str) -> DataFrame:
+def _masked(spark: SparkSession, folder: str) -> DataFrame:
     rows = render.segments(render.canonical_traces(_distinct_examples(spark, folder)))
     parts = rows.select("example_id", F.posexplode("segments").alias("k", "segment"))
     coded = parts.select("example_id", "k", F.col("segment.role").alias("role"), tokenizer.encoded(F.col("segment.text"), tokenizer.path("piece_bpe_32k.model")).alias("ids"))
     whole = coded.groupBy("example_id").agg(F.array_sort(F.collect_list(F.struct("k", "role", "ids"))).alias("s"))
     inputs, labels = render.masked(F.transform("s", lambda x: x["ids"]), F.transform("s", lambda x: x["role"]), SPECIAL["begin"], SPECIAL["end"])
-    return whole.select("example_id", F.size(inputs).alias("n_ids"), packing.loss_tokens(labels).alias("loss_tokens")).filter("n_ids <= 1024")
+    return whole.select("example_id", inputs.alias("input_ids"), labels.alias("labels"))
+
+
+@query()
+def loss_mask_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return _masked(spark, folder).select("example_id", F.size("input_ids").alias("n_ids"), packing.loss_tokens(F.col("labels")).alias("loss_tokens")).filter("n_ids <= 1024")
+
+
+@query()
+def representation_identity(spark: SparkSession, folder: str) -> DataFrame:
+    split = records(spark, folder).select(F.col("example_id").alias("_id"), "split")
+    rows = _masked(spark, folder).join(split, F.col("example_id") == F.col("_id"))
+    return subsets.representation_digest(rows, "example_id", "input_ids", "labels", ["split"])
 
 
 # --- rules, truth and scores -----------------------------------------------------------------------------------------
@@ -616,6 +660,13 @@ def tool_format_rates(spark: SparkSession, folder: str) -> DataFrame:
     return scoring.long_rates(scoring.rates(cases, wanted), list(wanted))
 
 
+@query()
+def dialogue_replay(spark: SparkSession, folder: str) -> DataFrame:
+    """Recorded calls and answers as two turns, replayed, per way of stopping."""
+    cases = _interacted(_distinct_examples(spark, folder)).withColumn("trace", dialogue.replayed(F.array("generated", F.concat(F.lit("<final>"), F.coalesce(render.answer_text(F.col("answer_json")), F.lit(""))))))
+    return dialogue.trace_flags(cases, "trace").groupBy("trace.stopped", "emitted_call", "any_valid_call", "any_success").agg(F.count("*").alias("n"))
+
+
 # --- building --------------------------------------------------------------------------------------------------------
 
 _COUNTERS = "generated rejected_ground_truth_mismatch rejected_schema_invalid rejected_exceeds_context rejected_exact_duplicate rejected_near_duplicate rejected_diversity_cap accepted".split()
