@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,3 +53,32 @@ def without_reserved(df: DataFrame, key: Column, reserved: DataFrame, reserved_k
     """``df`` without rows whose key is reserved; rows with a null key stay."""
     taken = reserved.select(reserved_key.alias("_reserved")).distinct()
     return df.withColumn("_key", key).join(taken, F.col("_key") == F.col("_reserved"), "left_anti").drop("_key")
+
+
+def shape_fold(df: DataFrame, family: Column, text: Column, order: str, size: int, threshold: float, window: int = 200) -> DataFrame:
+    """The zero-cap form of ``shape_capped``: ``df`` without rows that are like one of the last ``window`` kept rows of their family.
+
+    A row is dropped if its shape was kept before or its shape's word shingles have a Jaccard index of ``threshold`` or
+    more with a kept one.  What is kept depends on what was kept before, so a family is folded in one task, on order
+    and shapes only; null texts have an empty shape.
+    """
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        recent: deque[set[str]] = deque(maxlen=window)
+        known, kept = set(), []
+        rows = rows.sort_values("order", kind="stable")
+        for s in rows["shape"]:
+            parts = s.split()
+            own = {" ".join(parts[k : k + size]) for k in range(max(1, len(parts) - size + 1))}
+            ok = s not in known and all(len(own & x) < threshold * len(own | x) for x in recent)
+            kept.append(ok)
+            if ok:
+                known.add(s)
+                recent.append(own)
+        return rows.loc[kept, ["order"]]
+
+    thin = df.select(family.alias("family"), F.col(order).alias("order"), F.coalesce(shape(text), F.lit("")).alias("shape"))
+    stay = thin.groupBy("family").applyInPandas(fold, T.StructType([thin.schema["order"]])).select(F.col("order").alias("_order"))
+    return df.join(stay, F.col(order) == F.col("_order"), "left_semi")

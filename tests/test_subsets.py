@@ -63,3 +63,22 @@ def test_replay_in_a_frame(spark):
     df = spark.createDataFrame([([f"<tool_call>{CALL}", "<final>42"],), (None,)], "turns array<string>")
     rows = dialogue.trace_flags(df.withColumn("t", dialogue.replayed(F.col("turns"))), "t").collect()
     assert rows[0]["t"]["attempts"][0]["value"] == "42" and rows[0]["any_success"] and rows[0]["any_valid_call"] and not rows[1]["emitted_call"]
+
+
+def test_command_line(capsys, tmp_path):
+    from corpusforge.__main__ import main
+
+    assert main(["call", CALL]) == 0 and '"value":"42"' in capsys.readouterr().out
+    assert main(["call", "{"]) == 1
+    (tmp_path / "x").write_bytes(b"x")
+    assert main(["hash", str(tmp_path / "x"), "--expect", hashlib.sha256(b"x").hexdigest()]) == 0
+    assert main(["hash", str(tmp_path / "x"), "--expect", "00"]) == 1
+    assert main(["tools"]) == 0 and main(["list"]) == 0 and "corpus_flagship" in capsys.readouterr().out
+
+
+def test_zero_cap(spark):
+    from corpusforge.operators.dedup import shape_fold
+
+    rows = [(1, "f", "the sum of 1 and 2 is asked"), (2, "f", "the sum of 5 and 9 is asked"), (3, "g", "the sum of 5 and 9 is asked"), (4, "f", "the sum of 5 and 9 is asked now"), (5, "f", "quite another text it is"), (6, "f", None), (7, "f", "")]
+    df = spark.createDataFrame(rows, "n int, f string, t string")
+    assert sorted(r["n"] for r in shape_fold(df, F.col("f"), F.col("t"), "n", 3, 0.5).collect()) == [1, 3, 5, 6]
