@@ -13,7 +13,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from corpusforge.plans.stage import staged
@@ -23,22 +23,8 @@ ROUNDS = 40
 TARGETS = 100_000
 
 
-def target_gaps(population: DataFrame, targets: DataFrame) -> DataFrame:
-    """``targets`` with what the population has: ``available_tokens, available_examples`` and the targets' shortfalls.
-
-    ``population``: ``category, tokens`` rows, one per record; ``targets``: ``config_id, category, want_tokens,
-    floor_examples``.  ``short_tokens`` and ``short_examples`` are true where all records together are too few.
-    A category without records has 0; null tokens count 0; null categories meet no target.
-    """
-    targets = targets.select("config_id", "category", "want_tokens", "floor_examples")
-    have = population.groupBy("category").agg(F.sum("tokens").alias("_tokens"), F.count("*").alias("_examples")).withColumnRenamed("category", "_category")
-    met = targets.join(have, F.col("category") == F.col("_category"), "left").drop("_category")
-    met = met.withColumn("available_tokens", F.coalesce("_tokens", F.lit(0))).withColumn("available_examples", F.coalesce("_examples", F.lit(0))).drop("_tokens", "_examples")
-    return met.withColumn("short_tokens", F.col("available_tokens") < F.col("want_tokens")).withColumn("short_examples", F.col("available_examples") < F.col("floor_examples"))
-
-
 def calibrated(histogram: DataFrame, targets: DataFrame) -> list[dict]:
-    """Per target the tilt ``eta, slope, mean, sd`` of the odds, and ``reason`` where it can't be met.
+    """Per target the tilt ``eta, slope, mean, sd`` of the odds, what it should draw, and ``reason`` where it can't be met.
 
     ``histogram``: ``category, tokens, n``.  All records are taken where tokens or examples are short or just enough;
     where even the shortest ``floor_examples`` records exceed the tokens, the floor is kept and the tokens given up.
@@ -53,7 +39,7 @@ def calibrated(histogram: DataFrame, targets: DataFrame) -> list[dict]:
         n, total, want, floor = r["count"], r["total"], r["want_tokens"], r["floor_examples"]
         r["mean"] = total / n if n else 0.0
         r["sd"] = math.sqrt(max(0.0, r["square"] / n - r["mean"] ** 2)) if n else 0.0
-        r |= {"eta": 0.0, "slope": 0.0, "open": False, "reason": None, "examples": 0}
+        r |= {"eta": 0.0, "slope": 0.0, "open": False, "reason": None, "examples": n, "tokens": float(total)}
         if n <= floor or total <= want:
             r |= {"eta": math.inf, "reason": "examples" if n < floor else "tokens" if total < want else "floor" if total > want else None}
             continue
@@ -61,7 +47,7 @@ def calibrated(histogram: DataFrame, targets: DataFrame) -> list[dict]:
         r["examples"] = max(floor, math.ceil(natural))
         if r["least"] > want or r["sd"] == 0 or r["examples"] >= n or not natural:
             p = min(r["examples"] / n, 1.0)
-            r |= {"eta": math.log(p / (1 - p)) if 0 < p < 1 else math.inf if p else -math.inf, "reason": "floor" if r["least"] > want else None}
+            r |= {"tokens": p * total, "eta": math.log(p / (1 - p)) if 0 < p < 1 else math.inf if p else -math.inf, "reason": "floor" if r["least"] > want else None}
             continue
         p = r["examples"] / n
         r |= {"eta": math.log(p / (1 - p)), "open": True}
@@ -77,6 +63,7 @@ def calibrated(histogram: DataFrame, targets: DataFrame) -> list[dict]:
         sums = now.join(cells, F.col("category") == F.col("_category")).groupBy("target").agg(F.sum(F.col("n") * p).alias("m0"), F.sum(F.col("n") * p * z).alias("m1"), F.sum(w).alias("h00"), F.sum(w * z).alias("h01"), F.sum(w * z * z).alias("h11"))
         for s in sums.collect():
             r = live[s["target"]]
+            r["tokens"] = s["m1"] * r["sd"] + s["m0"] * r["mean"]
             aim = (r["want_tokens"] - r["examples"] * r["mean"]) / r["sd"]
             g0, g1 = r["examples"] - s["m0"], aim - s["m1"]
             if abs(g0) < 1e-7 and abs(g1) < 1e-5 * max(1.0, r["want_tokens"] / r["sd"]):
@@ -92,9 +79,31 @@ def calibrated(histogram: DataFrame, targets: DataFrame) -> list[dict]:
     return rows
 
 
-def _smaller():
-    from pyspark.sql import Window
+def target_gaps(population: DataFrame, targets: DataFrame) -> DataFrame:
+    """The calibration's report, a row per target: what there is, what the tilted probabilities draw, and what can't be met.
+
+    ``population``: ``category, tokens`` rows, one per record; ``targets``: ``config_id, category, want_tokens,
+    floor_examples``, at most ``TARGETS`` rows.  Adds ``available_tokens, available_examples, expected_tokens,
+    expected_examples, reason`` and ``short_tokens``, ``short_examples``, true where all records together are too few.
+    A category without records has 0; null tokens count 0; null categories meet no target.
+    """
+    rows = [(r["config_id"], r["category"], float(r["want_tokens"]), r["floor_examples"], r["total"], r["count"], float(r["tokens"]), r["examples"], r["reason"], r["total"] < r["want_tokens"], r["count"] < r["floor_examples"]) for r in calibrated(_histogram(population), _bounded(targets))]
+    return population.sparkSession.createDataFrame(rows, "config_id string, category string, want_tokens double, floor_examples int, available_tokens bigint, available_examples bigint, expected_tokens double, expected_examples bigint, reason string, short_tokens boolean, short_examples boolean")
+
+
+def _histogram(population: DataFrame) -> DataFrame:
+    tokens = F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens")
+    return staged(population.filter("category is not null").groupBy("category", tokens).agg(F.count("*").alias("n")))
+
+
+def _bounded(targets: DataFrame) -> DataFrame:
+    targets = targets.select("config_id", "category", "want_tokens", F.col("floor_examples").cast("int").alias("floor_examples"))
+    if targets.limit(TARGETS + 1).count() > TARGETS:
+        raise ValueError(f"more than {TARGETS} targets")
+    return targets
+
 
+def _smaller() -> WindowSpec:
     return Window.partitionBy("config_id", "category").orderBy("tokens").rowsBetween(Window.unboundedPreceding, -1)
 
 
@@ -145,11 +154,10 @@ def proportional_sample(population: DataFrame, targets: DataFrame, seed: int = 1
     cluster.  An empty population or no targets give no rows.
     """
     spark = population.sparkSession
-    population, targets = population.select("id", "category", F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens")), targets.select("config_id", "category", "want_tokens", "floor_examples")
-    histogram = staged(population.filter("category is not null").groupBy("category", "tokens").agg(F.count("*").alias("n")))
-    rows = calibrated(histogram, targets)
+    population, targets = population.select("id", "category", F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens")), _bounded(targets)
+    rows = calibrated(_histogram(population), targets)
     tilt = spark.createDataFrame([(r["config_id"], r["category"], float(max(-1e3, min(1e3, r["eta"]))), r["slope"], r["mean"], r["sd"] or 1.0, r["count"]) for r in rows], "config_id string, _category string, eta double, slope double, mean double, sd double, _n bigint")
-    tilt = F.broadcast(tilt) if len(rows) <= TARGETS else tilt
+    tilt = F.broadcast(tilt)  # at most TARGETS rows
     odds = F.col("eta") + F.col("slope") * (F.col("tokens") - F.col("mean")) / F.col("sd")
     # rounded, as sums in another order give tilts that differ in their last digits
     units = population.join(tilt, F.col("category") == F.col("_category")).withColumn("probability", F.round(1 / (1 + F.exp(-odds)), 10)).withColumn("order", F.xxhash64(F.lit(seed), "config_id", "id"))
