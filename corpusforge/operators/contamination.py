@@ -39,9 +39,15 @@ def near_pairs(eval_rows: DataFrame, eval_id: str, eval_text: str, train: DataFr
 
 
 def shape_pairs(eval_rows: DataFrame, eval_id: str, eval_text: str, train: DataFrame, train_text: str, order: str) -> DataFrame:
-    """Evaluation rows whose shape a training text has, with the first such text: ``eval_id, train_text``."""
-    firsts = train.filter(F.col(train_text).isNotNull()).groupBy(shape(F.col(train_text)).alias("_shape")).agg(F.min_by(train_text, order).alias("train_text"))
-    return eval_rows.select(F.col(eval_id).alias("eval_id"), shape(F.col(eval_text)).alias("_own")).join(firsts, F.col("_own") == F.col("_shape")).select("eval_id", "train_text")
+    """Evaluation rows whose shape a training text has, with the first such text: ``eval_id, train_text``; null texts have none.
+
+    Training texts are first met with the evaluation shapes (a small side goes out whole), so only hits are shuffled.
+    """
+    own = eval_rows.select(F.col(eval_id).alias("eval_id"), shape(F.col(eval_text)).alias("_own")).filter("_own is not null")
+    shaped = train.select(F.col(train_text).alias("_text"), F.col(order).alias("_order"), shape(F.col(train_text)).alias("_shape"))
+    met = shaped.join(own.select(F.col("_own").alias("_any")).distinct(), F.col("_shape") == F.col("_any"), "left_semi")
+    firsts = met.groupBy("_shape").agg(F.min_by("_text", "_order").alias("train_text"))
+    return own.join(firsts, F.col("_own") == F.col("_shape")).select("eval_id", "train_text")
 
 
 def shared_values(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
