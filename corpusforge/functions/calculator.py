@@ -383,6 +383,16 @@ def run_call(call: Column) -> Column:
     return _run(call)
 
 
+@F.pandas_udf(T.StringType())
+def _result(calls: pd.Series) -> pd.Series:
+    return calls.map(lambda text: None if text is None else canonical(executed(text)))
+
+
+def result_json(call: Column) -> Column:
+    """The whole result of a tool call's text as canonical JSON; null for a null."""
+    return _result(call)
+
+
 @F.pandas_udf(T.StringType())
 def _canonical(texts: pd.Series) -> pd.Series:
     def of(text: str | None) -> str | None:

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusforge.functions.calculator import VERSION as PROTOCOL
+from corpusforge.functions.calculator import result_json
 from corpusforge.functions.exact import expression_value
 from corpusforge.functions.ids import derive_id, derive_seed, hash_split
 
@@ -20,7 +22,12 @@ VERSION = "1.0.0"
 
 @dataclass(frozen=True)
 class Family:
-    """One family of a category; ``tree`` has the operands as ``$a`` and so on, ``None`` for records judged by meaning."""
+    """One family of a category.
+
+    ``tree`` is the answer's expression with the operands as ``$a`` and so on, ``None`` for records judged by meaning.
+    ``derived`` are further operands ``$x, $y``, computed from trees.  With a ``tool`` the record has a call with
+    ``arguments`` (JSON with operands), which is run, and its result; the result's value, if any, is the answer.
+    """
 
     category: str
     name: str
@@ -29,6 +36,9 @@ class Family:
     tree: str | None
     behavior: str = "answer"
     tolerance: float = 0.0
+    derived: tuple[str, ...] = ()
+    tool: str | None = None
+    arguments: str = ""
 
 
 def _op(name: str, *args: str) -> str:
@@ -48,6 +58,15 @@ FAMILIES = [
     Family("basic_algebra", "linear", ("Solve x + {a} = {b}.", "Which x gives {b} when {a} is added?"), ((1, 500), (1, 999)), _op("sub", "$b", "$a")),
     Family("multi_step", "two_steps", ("Double {a}, then take {b} away.",), ((10, 900), (1, 300)), _op("sub", _op("mul", "2", "$a"), "$b")),
     Family("word_problem", "boxes", ("{a} boxes hold {b} pens each and {c} pens are lost. How many pens remain?",), ((2, 60), (5, 80), (0, 9)), _op("sub", _op("mul", "$a", "$b"), "$c")),
+    Family("decimals", "two_places", ("{a}.{b} + {c}.25 = ?", "Add {c}.25 to {a}.{b}."), ((1, 900), (10, 99), (1, 90)), _op("add", '"$a.$b"', '"$c.25"')),
+    Family("scientific_notation", "powers", ("What is {a} x 10^{b} times {c}?",), ((2, 99), (1, 6), (2, 9)), _op("mul", "$a", _op("pow", "10", "$b"), "$c")),
+    Family("expression_translation", "more_than", ("Turn into an expression and evaluate: {a} more than the product of {b} and {c}.",), ((1, 99), (2, 20), (2, 20)), _op("add", _op("mul", "$b", "$c"), "$a")),
+    Family("incorrect_supplied_answer", "wrong_sum", ("A friend claims {a} + {b} = {x}. Is that so?", "My sheet says {a} plus {b} makes {x}; check it."), ((10, 999), (10, 999), (1, 40)), _op("add", "$a", "$b"), "flag_incorrect_answer", derived=(_op("add", "$a", "$b", "$c"),)),
+    Family("tool_use", "long_product", ("Use the calculator for {a} * {b} + {c}.",), ((1000, 999999), (100, 9999), (1, 999)), None, "invoke_tool", tool="calculator.evaluate", arguments='{"expression":"$a*$b+$c"}'),
+    Family("unit_conversion", "lengths", ("How many meters are {a} feet?", "Convert {a} feet into meters."), ((1, 9000),), None, "invoke_tool", tool="calculator.convert", arguments='{"category":"length","from_unit":"foot","to_unit":"meter","value":$a}'),
+    Family("financial_math", "shares_of", ("What are {a} percent of {b}?",), ((1, 99), (10, 90000)), None, "invoke_tool", tool="calculator.finance", arguments='{"number":$b,"operation":"percentage_of","percent":$a}'),
+    Family("incorrect_tool_call", "no_such_argument", ("Work out {a} - {b} with the tool.",), ((1, 9999), (1, 9999)), None, "invoke_tool", tool="calculator.evaluate", arguments='{"expression":"$a-$b","places":2}'),
+    Family("tool_error", "by_zero_call", ("Let the tool divide {a} by zero.",), ((1, 9999),), None, "invoke_tool", tool="calculator.evaluate", arguments='{"expression":"$a/0"}'),
     Family("undefined_operation", "by_zero", ("Divide {a} by zero.",), ((1, 9999),), None, "flag_undefined"),
     Family("missing_information", "no_price", ("{a} tickets were sold. What did they bring in?",), ((2, 900),), None, "flag_missing_information"),
     Family("ambiguity", "half", ("Take half of {a} and {b}.",), ((2, 900), (2, 900)), None, "request_clarification"),
@@ -65,14 +84,23 @@ def generated(spark: SparkSession, family: Family, begin: int, end: int, seed: i
     rows = rows.withColumn("_template", (part("template") % len(family.prompts)).cast("int"))
 
     def filled(pattern: Column, mark: str) -> Column:
-        for name in names:
+        for name in names + "xy"[: len(family.derived)]:
             pattern = F.replace(pattern, F.lit(mark % name), F.col(name))
         return pattern
 
+    for name, tree in zip("xy", family.derived):
+        own = F.lit(tree)
+        for n in names:
+            own = F.replace(own, F.lit(f"${n}"), F.col(n))
+        rows = rows.withColumn(name, expression_value(own))
     prompt = filled(F.element_at(F.array(*[F.lit(p) for p in family.prompts]), F.col("_template") + 1), "{%s}")
-    tree = F.lit(None).cast("string") if family.tree is None else filled(F.lit(family.tree), "$%s")
-    made = rows.select("_index", F.concat(F.lit("t"), F.col("_template")).alias("template_id"), prompt.alias("prompt"), tree.alias("_tree"))
-    made = made.withColumn("_value", expression_value(F.col("_tree"))) if family.tree else made.withColumn("_value", F.lit(None).cast("string"))
+    none = F.lit(None).cast("string")
+    made = rows.select("_index", F.concat(F.lit("t"), F.col("_template")).alias("template_id"), prompt.alias("prompt"), (filled(F.lit(family.tree), "$%s") if family.tree else none).alias("_tree"), (filled(F.lit(family.arguments), "$%s") if family.tool else none).alias("_arguments"))
+    if family.tool:
+        made = made.withColumn("_call", F.concat(F.lit('{"arguments":'), "_arguments", F.lit(f',"protocol_version":"{PROTOCOL}","tool":"{family.tool}"}}'))).withColumn("_result", result_json(F.col("_call")))
+        made = made.withColumn("_value", F.get_json_object("_result", "$.result.value"))
+    else:
+        made = made.withColumn("_value", expression_value(F.col("_tree")) if family.tree else none)
     truth = F.col("_value").isin("true", "false")
     generator, name = F.lit(f"{family.category}_gen"), F.lit(family.name)
     derivation = derive_id(F.lit(str(seed)), name, F.col("_index"))
@@ -85,9 +113,10 @@ def generated(spark: SparkSession, family: Family, begin: int, end: int, seed: i
         F.lit(family.behavior).alias("expected_behavior"),
         F.when(truth, F.col("_value")).otherwise(F.concat(F.lit('"'), F.col("_value"), F.lit('"'))).alias("answer_json"),
         F.when(truth, "bool").when(F.col("_value").isNotNull(), "str").alias("answer_kind"),
-        (F.lit(None).cast("double") if family.tree is None else F.lit(family.tolerance)).alias("tolerance"),
-        F.lit(False).alias("tool_required"), F.lit(None).cast("string").alias("tool_name"), F.array().cast("array<struct<call:string,result:string>>").alias("tool_traces"),
-        F.struct(F.lit("semantic" if family.tree is None else "deterministic").alias("mode"), F.col("_tree").alias("expression")).alias("verification"),
+        (F.lit(family.tolerance) if family.tree or family.tool else F.lit(None).cast("double")).alias("tolerance"),
+        F.lit(family.tool is not None).alias("tool_required"), F.lit(family.tool).cast("string").alias("tool_name"),
+        (F.array(F.struct(F.col("_call").alias("call"), F.col("_result").alias("result"))) if family.tool else F.array().cast("array<struct<call:string,result:string>>")).alias("tool_traces"),
+        F.struct(F.lit("tool" if family.tool else "deterministic" if family.tree else "semantic").alias("mode"), F.col("_tree").alias("expression")).alias("verification"),
         F.concat(generator, F.lit("/"), name, F.lit(f" v{VERSION}")).alias("provenance"), F.lit("").alias("notes"), F.lit(None).cast("int").alias("token_count"),
     )
 

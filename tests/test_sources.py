@@ -8,7 +8,7 @@ from corpusforge.functions.ids import derive_id
 from corpusforge.operators import generate, manifests
 from corpusforge.operators.build import ground_truth
 from corpusforge.operators.sampling import id_bucket
-from corpusforge.schema import CASE_SCHEMA, example_rules, violations
+from corpusforge.schema import CASE_SCHEMA, CATEGORIES, example_rules, violations
 from corpusforge.sources import shards
 from corpusforge.streaming import records as streams
 
@@ -21,6 +21,9 @@ def corpus(spark):
 def test_generated_records_hold(spark):
     rows = generate.corpus(spark, 20, 7)
     assert violations(ground_truth(rows), example_rules()).filter("truth != 'ok' or size(violations) > 0").count() == 0
+    assert {r["category"] for r in rows.select("category").distinct().collect()} == set(CATEGORIES)
+    failed = rows.filter("category in ('tool_error', 'incorrect_tool_call')")
+    assert failed.filter("answer_json is null and size(tool_traces) = 1").count() == failed.count() == 40
     again = generate.generated(spark, generate.FAMILIES[0], 5, 10, 7)
     assert again.exceptAll(generate.generated(spark, generate.FAMILIES[0], 0, 20, 7)).count() == 0
 
