@@ -1,0 +1,35 @@
+"""The pN_ queries on whole small tables: against their SQL, else that they run; on empty tables they give no rows."""
+
+import pytest
+from oracle import DATA, connect, same
+
+from corpusforge.llm.queries import oracle_sql, queries
+
+
+@pytest.fixture(scope="module")
+def con():
+    return connect()
+
+
+@pytest.mark.parametrize("name", sorted(queries()))
+def test_query(spark, con, name):
+    df = queries()[name](spark, DATA)
+    if name in oracle_sql():
+        same(con, df, oracle_sql()[name])
+    else:
+        assert df.count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(queries()))
+def test_empty_tables(spark, tmp_path_factory, name):
+    folder = tmp_path_factory.getbasetemp() / "empty"
+    if not folder.exists():
+        for t in ("examples", "documents"):
+            spark.read.parquet(f"{DATA}/{t}.parquet").limit(0).write.parquet(f"{folder}/{t}.parquet")
+        for t in ("phase0_v1", "pilot_subset_config", "category_mixture", "split_plan", "source_mix", "size_limits"):
+            spark.read.parquet(f"{DATA}/{t}.parquet").write.parquet(f"{folder}/{t}.parquet")
+    rows = queries()[name](spark, str(folder)).collect()
+    if name in ("p5_found", "p5_shares", "p7_found", "p7_shares"):
+        assert rows  # every target is short
+    else:
+        assert not rows
