@@ -18,7 +18,7 @@ def hash_bucket(order: Column, buckets: int) -> Column:
     return F.least(F.lit(buckets - 1), F.floor((order.cast("decimal(20,0)") + F.lit(str(LONG_SPAN)).cast("decimal(20,0)")) / F.lit(str(width)).cast("decimal(20,0)")).cast("int"))
 
 
-def running(df: DataFrame, keys: list[str], order: str, tie: list[str], value: Column, out: str, buckets: int = 64, total: str | None = None, bucket: Column | None = None) -> DataFrame:
+def running(df: DataFrame, keys: list[str], order: str, tie: list[str], value: Column, out: str, buckets: int = 256, total: str | None = None, bucket: Column | None = None) -> DataFrame:
     """Sum of ``value`` over the rows of the same ``keys`` that come before a row.
 
     Order: the bigint column ``order`` (a hash, spread over all 64 bits), then ``tie``.  For another kind of order give
@@ -45,6 +45,6 @@ def running(df: DataFrame, keys: list[str], order: str, tie: list[str], value: C
     return done.drop("_bucket", "_value", "_b", "_offset", "_within", "_total", *[f"_k_{k}" for k in keys])
 
 
-def ranked(df: DataFrame, keys: list[str], order: str, tie: list[str], out: str, buckets: int = 64, bucket: Column | None = None) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], order: str, tie: list[str], out: str, buckets: int = 256, bucket: Column | None = None) -> DataFrame:
     """0-based rank of each row among the rows of the same ``keys``; see ``running``."""
     return running(df, keys, order, tie, F.lit(1), out, buckets, bucket=bucket)
