@@ -2,8 +2,8 @@
 
 Each source contributes blocks of tokens.  Block k of a source with weight w is released at slot floor(k/w) and due
 at ceil((k+1)/w); the earliest deadline first gives slots to released blocks, so at any slot a source deviates from
-its weight by less than one block.  Blocks are as large as it takes for a mixture to have at most ``SLOTS``, so the
-schedule is bounded whatever the size of the sources; records find their slot from their source's running sum.
+its weight by less than one block.  Blocks are as large as it takes for all mixtures to have ``SLOTS`` slots (``LEAST``
+for one of very many), so the schedule is bounded whatever the size of the sources; records find their slot from their source's running sum.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from corpusforge.plans.ranks import running
 from corpusforge.plans.stage import staged
 
-SLOTS = 65_536
+SLOTS = 262_144
+LEAST = 64
 BLOCK_TOKENS = 1024
 TARGETS = 20_000
 
@@ -68,9 +69,11 @@ def mixed(df: DataFrame, id: str, source: Column, tokens: Column, mixture: DataF
     totals = {r["source"]: r["n"] for r in records.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}  # at most the mixture's sources
     rows = _planned(totals, wanted)
     schedule, takes = [], []
-    for mix in sorted({r["mix_id"] for r in rows}):
+    mixes = sorted({r["mix_id"] for r in rows})
+    limit = max(LEAST, SLOTS // max(1, len(mixes)))
+    for mix in mixes:
         own = [r for r in rows if r["mix_id"] == mix]
-        block = max(BLOCK_TOKENS, -(-int(sum(r["take"] for r in own)) // SLOTS))
+        block = max(BLOCK_TOKENS, -(-int(sum(r["take"] for r in own)) // limit))
         slots = pfair({r["source"]: -(-int(r["take"] + 0.999999) // block) for r in own})
         schedule += [(mix, s, k, slot) for s, of in slots.items() for k, slot in enumerate(of)]
         takes += [(mix, r["source"], float(r["take"]), r["available"], block) for r in own if r["take"] > 0]
