@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusforge.functions.exact import verified
+from corpusforge.plans.stage import staged
 
 REASONS = ["schema_invalid", "ground_truth_mismatch", "diversity_cap", "exact_duplicate", "near_duplicate", "exceeds_context", "accepted"]
 
@@ -29,19 +30,26 @@ def accept(df: DataFrame, by: str, order: str, columns: dict[str, str], template
     A template may hold ``template_share`` of its family once that has ``grace`` accepted rows; then exact keys and
     shapes (at most ``shape_cap`` per family) are checked, and both are remembered even for rows rejected later; then
     length, and the family's tokens.  All counts are of rows accepted so far, so a group is one sequential fold over
-    thin rows - ids, keys and counts, no texts; ``by`` (a category) is what may run in parallel.
+    thin rows - ids, counts and 16 bytes of each key's and shape's hash, no texts; ``by`` (a category) is what may run
+    in parallel.  Families count within their group; exact keys hold across groups, which come in the order of ``by``
+    (null first): all groups are folded as if they shared no key, then those again that have a key an earlier group
+    remembered, until nothing changes - after n rounds the first n groups are settled, mostly all after two or three.
     ``columns`` names the frame's ``family, template, exact_key, shape, tokens, reject`` columns; ``reject`` is a
     reason found before (null for none).  Nulls are values of their own, null tokens count 0.
     """
     names = ["family", "template", "exact_key", "shape", "tokens", "reject"]
-    thin = df.select(F.col(by).alias("by"), F.col(order).alias("order"), *[F.col(columns[n]).alias(n) for n in names])
+    given = {n: F.col(columns[n]) for n in names}
+    given |= {n: F.substring(F.unhex(F.sha2(given[n].cast("string"), 256)), 1, 16) for n in ("exact_key", "shape")}
+    thin = staged(df.select(F.col(by).alias("by"), F.col(order).alias("order"), *[c.alias(n) for n, c in given.items()]))
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+    def fold(rows: pd.DataFrame, across: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("order", kind="stable")
-        family_n, template_n, family_t, shapes, seen = {}, {}, {}, {}, set()
-        total, decisions = 0, []
+        family_n, template_n, family_t, shapes = {}, {}, {}, {}
+        seen, shared = set(across["exact_key"][across["taken"]]), set(across["exact_key"])
+        total, decisions, kept = 0, [], []
         for family, template, key, shape, tokens, reject in zip(*(rows[n] for n in names)):
             tokens = 0 if pd.isna(tokens) else int(tokens)
+            kept.append(False)
             if total >= quota:
                 decisions.append("beyond_quota")
                 continue
@@ -56,6 +64,7 @@ def accept(df: DataFrame, by: str, order: str, columns: dict[str, str], template
                 decisions.append("exact_duplicate")
                 continue
             seen.add(key)
+            kept[-1] = key in shared
             if shapes.get((family, shape), 0) >= shape_cap:
                 decisions.append("near_duplicate")
                 continue
@@ -69,11 +78,23 @@ def accept(df: DataFrame, by: str, order: str, columns: dict[str, str], template
             family_n[family], template_n[family, template], family_t[family] = n + 1, t + 1, family_t.get(family, 0) + tokens
             total += tokens
             decisions.append("accepted")
-        return pd.DataFrame({"by": rows["by"], "order": rows["order"], "decision": decisions})
-
-    schema = T.StructType([T.StructField("by", thin.schema["by"].dataType), T.StructField("order", thin.schema["order"].dataType), T.StructField("decision", T.StringType())])
-    done = thin.groupBy("by").applyInPandas(fold, schema)
-    return done.withColumnsRenamed({"by": by, "order": order})
+        remembered = [k if x else None for k, x in zip(rows["exact_key"], kept)]
+        return pd.DataFrame({"by": rows["by"].astype(object), "order": rows["order"].astype(object), "decision": decisions, "exact_key": remembered, "kept": kept})
+
+    schema = T.StructType([thin.schema["by"], thin.schema["order"], T.StructField("decision", T.StringType()), thin.schema["exact_key"], T.StructField("kept", T.BooleanType())])
+    groups = thin.groupBy("exact_key").agg(F.collect_set(F.struct("by")).alias("groups")).filter(F.size("groups") > 1)
+    across = staged(groups.select("exact_key", F.inline("groups"), F.lit(False).alias("taken")))
+    part, known, done = thin, across, None
+    while True:
+        met = part.groupBy("by").cogroup(known.groupBy("by")).applyInPandas(fold, schema)
+        done = staged(met) if done is None else done.join(again, F.col("by").eqNullSafe(F.col("_by")), "left_anti").unionByName(staged(met))
+        firsts = done.filter("kept").groupBy(F.col("exact_key").alias("_key")).agg(F.min(F.struct("by")).alias("_first"))
+        taken = F.coalesce(F.col("_first") < F.struct("by"), F.lit(False))
+        across = staged(across.join(firsts, F.col("exact_key").eqNullSafe(F.col("_key")), "left").select("exact_key", "by", F.col("taken").alias("before"), taken.alias("taken")))
+        again = across.filter("taken != before").select(F.col("by").alias("_by")).distinct()
+        if again.isEmpty():
+            return done.select("by", "order", "decision").withColumnsRenamed({"by": by, "order": order})
+        part, known = (x.join(again, F.col("by").eqNullSafe(F.col("_by")), "left_semi") for x in (thin, across))
 
 
 def funnel(df: DataFrame, decision: str, by: list[str] = []) -> DataFrame:  # noqa: B006

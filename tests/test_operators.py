@@ -265,6 +265,43 @@ def test_fold_caps(spark):
     assert row["generated"] == sum(row[c] for c in row.asDict() if c != "generated")
 
 
+def folded(rows, share, family_tokens, quota, cap, context, grace):
+    """The reference's loop: groups in name order, exact keys in one set for all."""
+    out, seen = {}, set()
+    for c in sorted({r[1] for r in rows}, key=lambda c: (c is not None, c)):
+        fam, tmpl, ftok, shapes, total = Counter(), Counter(), Counter(), Counter(), 0
+        for n, _, f, t, k, s, tok in sorted(r for r in rows if r[1] == c):
+            if total >= quota:
+                out[n] = "beyond_quota"
+            elif fam[f] >= grace and (tmpl[f, t] + 1) / (fam[f] + 1) > share:
+                out[n] = "diversity_cap"
+            elif k in seen:
+                out[n] = "exact_duplicate"
+            else:
+                seen.add(k)
+                if shapes[f, s] >= cap:
+                    out[n] = "near_duplicate"
+                    continue
+                shapes[f, s] += 1
+                out[n] = "exceeds_context" if tok > context else "diversity_cap" if ftok[f] + tok > family_tokens else "accepted"
+                if out[n] == "accepted":
+                    fam[f], tmpl[f, t], ftok[f], total = fam[f] + 1, tmpl[f, t] + 1, ftok[f] + tok, total + tok
+    return out
+
+
+def test_fold_keys_hold_across_groups(spark):
+    columns = {"family": "f", "template": "t", "exact_key": "k", "shape": "s", "tokens": "tok", "reject": "reject"}
+    kind = "n int, c string, f string, t string, k string, s string, tok int"
+    two = spark.createDataFrame([(1, "b", "f", "t", "k", "s", 1), (2, "a", "g", "t", "k", "s", 1)], kind).withColumn("reject", F.lit(None).cast("string"))
+    assert {r["n"]: r["decision"] for r in build.accept(two, "c", "n", columns, 2.0, 100, 100, 5, 64).collect()} == {1: "exact_duplicate", 2: "accepted"}
+    for seed in range(3):
+        r = random.Random(seed)
+        rows = [(k, r.choice(["a", "b", "c", "d", None]), r.choice("fg"), r.choice("ttu"), r.choice([None, *(f"k{j}" for j in range(150))]), f"s{r.randrange(30)}", r.randrange(80)) for k in range(500)]
+        df = spark.createDataFrame(rows, kind).withColumn("reject", F.lit(None).cast("string"))
+        found = build.accept(df, "c", "n", columns, 0.6, 700, 1000, 3, 64, grace=5)
+        assert {x["n"]: x["decision"] for x in found.collect()} == folded(rows, 0.6, 700, 1000, 3, 64, 5)
+
+
 def test_ground_truth(spark):
     df = examples(spark, {}, {"answer_json": "5"}, {"verification": {"mode": "semantic", "expression": None}}, {"verification": {"mode": "tool", "expression": None}}, {"verification": None})
     assert [r["truth"] for r in build.ground_truth(df).collect()] == ["ok", "mismatch", "ok", "mismatch", "mismatch"]
