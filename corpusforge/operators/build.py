@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +26,7 @@ def ground_truth(df: DataFrame) -> DataFrame:
     return checked.withColumn("truth", F.when(mode == "deterministic", F.col("_exact")).when(mode == "tool", traced).when(mode == "semantic", "ok").otherwise("mismatch")).drop("_exact")
 
 
-def accept(df: DataFrame, by: str, order: str, columns: dict[str, str], template_share: float, family_tokens: int, quota: int, shape_cap: int, context: int, grace: int = 30) -> DataFrame:
+def accept(df: DataFrame, by: str, order: str, columns: dict[str, str], template_share: float, family_tokens: int | Column, quota: int | Column, shape_cap: int, context: int, grace: int = 30) -> DataFrame:
     """The build's decision on each candidate, in order: ``by, order, decision`` (one of ``REASONS``, or ``beyond_quota``).
 
     A template may hold ``template_share`` of its family once that has ``grace`` accepted rows; then exact keys and
@@ -35,22 +37,25 @@ def accept(df: DataFrame, by: str, order: str, columns: dict[str, str], template
     (null first): all groups are folded as if they shared no key, then those again that have a key an earlier group
     remembered, until nothing changes - after n rounds the first n groups are settled, mostly all after two or three.
     ``columns`` names the frame's ``family, template, exact_key, shape, tokens, reject`` columns; ``reject`` is a
-    reason found before (null for none).  Nulls are values of their own, null tokens count 0.
+    reason found before (null for none).  Nulls are values of their own, null tokens count 0.  ``family_tokens`` and
+    ``quota`` may be columns with one value in each group; null is no limit.
     """
     names = ["family", "template", "exact_key", "shape", "tokens", "reject"]
     given = {n: F.col(columns[n]) for n in names}
     given |= {n: F.substring(F.unhex(F.sha2(given[n].cast("string"), 256)), 1, 16) for n in ("exact_key", "shape")}
+    given |= {n: (c if isinstance(c, Column) else F.lit(c)).cast("long") for n, c in (("family_tokens", family_tokens), ("quota", quota))}
     thin = staged(df.select(F.col(by).alias("by"), F.col(order).alias("order"), *[c.alias(n) for n, c in given.items()]))
 
     def fold(rows: pd.DataFrame, across: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("order", kind="stable")
         family_n, template_n, family_t, shapes = {}, {}, {}, {}
         seen, shared = set(across["exact_key"][across["taken"]]), set(across["exact_key"])
+        most, family_most = (math.inf if pd.isna(rows[n].iloc[0]) else int(rows[n].iloc[0]) for n in ("quota", "family_tokens"))
         total, decisions, kept = 0, [], []
         for family, template, key, shape, tokens, reject in zip(*(rows[n] for n in names)):
             tokens = 0 if pd.isna(tokens) else int(tokens)
             kept.append(False)
-            if total >= quota:
+            if total >= most:
                 decisions.append("beyond_quota")
                 continue
             if reject is not None and not pd.isna(reject):
@@ -72,7 +77,7 @@ def accept(df: DataFrame, by: str, order: str, columns: dict[str, str], template
             if tokens > context:
                 decisions.append("exceeds_context")
                 continue
-            if family_t.get(family, 0) + tokens > family_tokens:
+            if family_t.get(family, 0) + tokens > family_most:
                 decisions.append("diversity_cap")
                 continue
             family_n[family], template_n[family, template], family_t[family] = n + 1, t + 1, family_t.get(family, 0) + tokens
@@ -97,10 +102,11 @@ def accept(df: DataFrame, by: str, order: str, columns: dict[str, str], template
         part, known = (x.join(again, F.col("by").eqNullSafe(F.col("_by")), "left_semi") for x in (thin, across))
 
 
-def funnel(df: DataFrame, decision: str, by: list[str] = []) -> DataFrame:  # noqa: B006
-    """Rows per decision, a column for each reason and ``generated`` for all but those beyond a quota."""
+def funnel(df: DataFrame, decision: str, by: list[str] = [], beyond: bool = False) -> DataFrame:  # noqa: B006
+    """Rows per decision, a column for each reason and ``generated`` for all but those beyond a quota, which ``beyond`` counts in ``beyond_quota``."""
     counts = [F.count_if(F.col(decision) == r).alias(r if r == "accepted" else f"rejected_{r}") for r in REASONS]
-    return df.groupBy(*by).agg(F.count_if(F.col(decision) != "beyond_quota").alias("generated"), *counts)
+    past = F.col(decision) == "beyond_quota"
+    return df.groupBy(*by).agg(F.count_if(~past).alias("generated"), *counts, *([F.count_if(past).alias("beyond_quota")] if beyond else []))
 
 
 def shortfalls(df: DataFrame, by: str, tokens: Column, targets: DataFrame, share: float = 0.9) -> DataFrame:

@@ -728,12 +728,27 @@ def build_decisions(spark: SparkSession, folder: str) -> DataFrame:
     return _decided(spark, folder).select("example_id", "decision")
 
 
+def _limited(rows: DataFrame, mixture: DataFrame, configs: DataFrame) -> DataFrame:
+    """``rows`` with ``quota`` and ``family_tokens``: shares of all their tokens, so that both grow with the data.
+
+    A category's share is its part of all configurations' target tokens, 0 where none wants it; what isn't a category
+    has no quota (the schema rejects it).  A family may hold 0.15 of the tokens, as in the reference.
+    """
+    want = mixture.join(configs, "config_id").groupBy(clean_category(F.col("category")).alias("_category")).agg(F.sum(F.col("target_share") * F.col("target_train_tokens")).alias("_want"))
+    whole = want.agg(F.sum("_want").alias("_whole")).crossJoin(rows.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("_tokens")))
+    known = F.col("category").isin(CATEGORIES)
+    met = rows.join(F.broadcast(want.filter(F.col("_category").isin(CATEGORIES))), F.col("category") == F.col("_category"), "left").crossJoin(F.broadcast(whole))
+    quota = F.when(known, F.floor(F.coalesce(F.col("_want") / F.col("_whole"), F.lit(0.0)) * F.col("_tokens")))
+    return met.withColumns({"quota": quota, "family_tokens": F.floor(F.col("_tokens") * 0.15)}).drop("_category", "_want", "_whole", "_tokens")
+
+
 @query()
 def build_fold(spark: SparkSession, folder: str) -> DataFrame:
     """The build with its limits on shares, as a funnel per category."""
-    rows = records(spark, folder).filter("category is not null").select("category", "example_id", "family_id", "template_id", _key().alias("key"), shape(F.col("prompt")).alias("shape"), "tokens", F.when(F.col("prompt").isNull(), "schema_invalid").alias("reject"))
+    rows = _limited(records(spark, folder), table(spark, folder, "category_mixture"), table(spark, folder, "pilot_subset_config")).filter("category is not null")
+    thin = rows.select("category", "example_id", "family_id", "template_id", _key().alias("key"), shape(F.col("prompt")).alias("shape"), "tokens", F.when(F.col("prompt").isNull(), "schema_invalid").alias("reject"), "quota", "family_tokens")
     columns = {"family": "family_id", "template": "template_id", "exact_key": "key", "shape": "shape", "tokens": "tokens", "reject": "reject"}
-    return building.funnel(building.accept(rows, "category", "example_id", columns, 0.6, 50_000, 100_000, 5, 1024), "decision", ["category"])
+    return building.funnel(building.accept(thin, "category", "example_id", columns, 0.6, F.col("family_tokens"), F.col("quota"), 5, 1024), "decision", ["category"], beyond=True)
 
 
 @query(f"SELECT coalesce(d, l) AS package, CASE WHEN l IS NULL THEN 'missing' WHEN d IS NULL THEN 'stale' WHEN ds IS DISTINCT FROM ls THEN 'wrong_scope' ELSE 'ok' END AS outcome FROM (SELECT DISTINCT lower(regexp_replace({_strip_sql('source')}, '[-_.]+', '-', 'g')) AS d, 'text' AS ds FROM documents) FULL JOIN (SELECT DISTINCT lower(regexp_replace({_strip_sql('source')}, '[-_.]+', '-', 'g')) AS l, CASE WHEN mix_id = 'mix_base' THEN 'text' ELSE 'other' END AS ls FROM source_mix) ON d = l")

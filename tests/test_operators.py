@@ -302,6 +302,26 @@ def test_fold_keys_hold_across_groups(spark):
         assert {x["n"]: x["decision"] for x in found.collect()} == folded(rows, 0.6, 700, 1000, 3, 64, 5)
 
 
+@pytest.mark.parametrize("times", [1, 10])
+def test_quotas_follow_the_data(spark, times):
+    from corpusforge.queries import _limited
+
+    mixture = spark.createDataFrame([("x", "arithmetic", 0.25), ("x", " Decimals", 0.75), ("y", "arithmetic", 1.0)], "config_id string, category string, target_share double")
+    configs = spark.createDataFrame([("x", 100), ("y", 100)], "config_id string, target_train_tokens long")
+    rows = spark.createDataFrame([(c, 10) for c in ["arithmetic", "arithmetic", "decimals", "fractions", "misc", None]] * times, "category string, tokens int")
+    found = {r["category"]: (r["quota"], r["family_tokens"]) for r in _limited(rows, mixture, configs).collect()}
+    family = 9 * times
+    assert found == {"arithmetic": (int(37.5 * times), family), "decimals": (int(22.5 * times), family), "fractions": (0, family), "misc": (None, family), None: (None, family)}
+
+
+def test_quotas_in_columns_and_rows_beyond_them(spark):
+    rows = [(k, c, "f", "t", f"{c}{k}", f"s{k}", 10, q) for k in range(20) for c, q in (("a", 50), ("b", 0), ("c", None))]
+    df = spark.createDataFrame(rows, "n int, c string, f string, t string, k string, s string, tok int, q long").withColumn("reject", F.lit(None).cast("string"))
+    columns = {"family": "f", "template": "t", "exact_key": "k", "shape": "s", "tokens": "tok", "reject": "reject"}
+    found = build.funnel(build.accept(df, "c", "n", columns, 2.0, F.lit(150), F.col("q"), 5, 64), "decision", ["c"], beyond=True).collect()
+    assert {r["c"]: (r["generated"], r["accepted"], r["rejected_diversity_cap"], r["beyond_quota"]) for r in found} == {"a": (5, 5, 0, 15), "b": (0, 0, 0, 20), "c": (20, 15, 5, 0)}
+
+
 def test_ground_truth(spark):
     df = examples(spark, {}, {"answer_json": "5"}, {"verification": {"mode": "semantic", "expression": None}}, {"verification": {"mode": "tool", "expression": None}}, {"verification": None})
     assert [r["truth"] for r in build.ground_truth(df).collect()] == ["ok", "mismatch", "ok", "mismatch", "mismatch"]
