@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusforge.functions.exact import verified
+from corpusforge.functions.text import normalized
 from corpusforge.plans.stage import staged
+from corpusforge.schema import example_rules, violations
 
 REASONS = ["schema_invalid", "ground_truth_mismatch", "diversity_cap", "exact_duplicate", "near_duplicate", "exceeds_context", "accepted"]
 
@@ -26,6 +28,16 @@ def ground_truth(df: DataFrame) -> DataFrame:
     return checked.withColumn("truth", F.when(mode == "deterministic", F.col("_exact")).when(mode == "tool", traced).when(mode == "semantic", "ok").otherwise("mismatch")).drop("_exact")
 
 
+def examined(df: DataFrame) -> DataFrame:
+    """``df`` with its prompts normalized and ``reject``, the first reason that needs no other row, null for none.
+
+    ``schema_invalid`` where nothing is left of the prompt or a rule is broken, then ``ground_truth_mismatch``.
+    """
+    checked = ground_truth(violations(df.withColumn("prompt", normalized(F.col("prompt"))), example_rules(), "_broken"))
+    reject = F.when(F.size("_broken") > 0, "schema_invalid").when(F.col("truth") != "ok", "ground_truth_mismatch")
+    return checked.withColumn("reject", reject).drop("_broken", "truth")
+
+
 def accept(df: DataFrame, by: str, order: str, columns: dict[str, str], template_share: float, family_tokens: int | Column, quota: int | Column, shape_cap: int, context: int, grace: int = 30) -> DataFrame:
     """The build's decision on each candidate, in order: ``by, order, decision`` (one of ``REASONS``, or ``beyond_quota``).
 

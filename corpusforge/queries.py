@@ -78,14 +78,14 @@ def oracle_sql() -> dict[str, str]:
     return dict(_sql)
 
 
-def records(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per example id, names cleaned; of repeated rows the least values and the most tokens."""
+def records(spark: SparkSession, folder: str, *more: str) -> DataFrame:
+    """One row per example id, names cleaned, with ``more`` columns; of repeated rows the least values and the most tokens."""
     least = lambda c, name: F.min(c).alias(name)
     return table(spark, folder, "examples").groupBy("example_id").agg(
         least(F.col("prompt"), "prompt"), least(clean_name(F.col("split")), "split"), least(clean_name(F.col("family_id")), "family_id"), least(F.col("template_id"), "template_id"),
         least(clean_category(F.col("category")), "category"), least(F.col("generator_id"), "generator_id"), least(F.col("derivation_id"), "derivation_id"),
         least(F.col("answer_json"), "answer_json"), least(F.col("answer_kind"), "answer_kind"), least(F.col("tolerance"), "tolerance"), least(F.col("expected_behavior"), "expected_behavior"),
-        F.coalesce(F.max("token_count"), F.lit(0)).alias("tokens"),
+        F.coalesce(F.max("token_count"), F.lit(0)).alias("tokens"), *[least(F.col(c), c) for c in more],
     )
 
 
@@ -744,9 +744,10 @@ def _limited(rows: DataFrame, mixture: DataFrame, configs: DataFrame) -> DataFra
 
 @query()
 def build_fold(spark: SparkSession, folder: str) -> DataFrame:
-    """The build with its limits on shares, as a funnel per category."""
-    rows = _limited(records(spark, folder), table(spark, folder, "category_mixture"), table(spark, folder, "pilot_subset_config")).filter("category is not null")
-    thin = rows.select("category", "example_id", "family_id", "template_id", _key().alias("key"), shape(F.col("prompt")).alias("shape"), "tokens", F.when(F.col("prompt").isNull(), "schema_invalid").alias("reject"), "quota", "family_tokens")
+    """The build from the clean prompt to its limits on shares, as a funnel per category."""
+    rows = building.examined(records(spark, folder, "difficulty", "tool_required", "tool_name", "tool_traces", "verification"))
+    limited = _limited(rows, table(spark, folder, "category_mixture"), table(spark, folder, "pilot_subset_config"))
+    thin = limited.select("category", "example_id", "family_id", "template_id", _key().alias("key"), shape(F.col("prompt")).alias("shape"), "tokens", "reject", "quota", "family_tokens")
     columns = {"family": "family_id", "template": "template_id", "exact_key": "key", "shape": "shape", "tokens": "tokens", "reject": "reject"}
     return building.funnel(building.accept(thin, "category", "example_id", columns, 0.6, F.col("family_tokens"), F.col("quota"), 5, 1024), "decision", ["category"], beyond=True)
 

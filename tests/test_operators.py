@@ -327,6 +327,24 @@ def test_ground_truth(spark):
     assert [r["truth"] for r in build.ground_truth(df).collect()] == ["ok", "mismatch", "ok", "mismatch", "mismatch"]
 
 
+def test_examined_rows_are_clean_valid_and_true(spark):
+    df = examples(spark, {"prompt": " What  is\t2 + 2? "}, {"prompt": " \n"}, {"prompt": "a\x01b"}, {"prompt": None}, {"category": None}, {"answer_json": '"5"'}, {"answer_json": '"5"', "difficulty": "x"}, {"verification": {"mode": "deterministic", "expression": "{"}})
+    found = [(r["prompt"], r["reject"]) for r in build.examined(df).collect()]
+    assert found[0] == ("What is 2 + 2?", None) and [r for _, r in found[1:]] == ["schema_invalid"] * 4 + ["ground_truth_mismatch", "schema_invalid", "ground_truth_mismatch"]
+
+
+def test_build_fold_rejects_before_it_compares(spark, tmp_path):
+    from corpusforge.queries import queries
+
+    ids = lambda *changes: [{"example_id": f"e{k}", "template_id": f"t{k}", "token_count": 10} | c for k, c in enumerate(changes)]
+    examples(spark, *ids({}, {"prompt": "What is  2 + 2?"}, {"answer_json": '"5"'}, {"prompt": "\x02"}, {"category": None}, {"prompt": "Add 2 and 2", "token_count": 0})).write.parquet(f"{tmp_path}/examples.parquet")
+    spark.createDataFrame([("x", "arithmetic", 1.0)], "config_id string, category string, target_share double").write.parquet(f"{tmp_path}/category_mixture.parquet")
+    spark.createDataFrame([("x", 10)], "config_id string, target_train_tokens long").write.parquet(f"{tmp_path}/pilot_subset_config.parquet")
+    rows = {r["category"]: r.asDict() for r in queries()["build_fold"](spark, str(tmp_path)).collect()}
+    assert {k: v for k, v in rows["arithmetic"].items() if k != "category" and v} == {"generated": 5, "rejected_schema_invalid": 1, "rejected_ground_truth_mismatch": 1, "rejected_exact_duplicate": 1, "rejected_diversity_cap": 1, "accepted": 1}
+    assert rows[None]["rejected_schema_invalid"] == rows[None]["generated"] == 1
+
+
 # --- manifests ----
 
 
