@@ -56,7 +56,8 @@ def mixed(df: DataFrame, id: str, source: Column, tokens: Column, mixture: DataF
     ``mixture``: ``mix_id, source, target_share, max_repeats, total_tokens``; rows with a null in one of them are
     left out.  First frame: ``mix_id, slot, start, source, id, repeat, tokens`` - order by slot, then start; a record
     comes in whole where at least half of it lies before its source's target.  Second: ``mix_id, source, target_share,
-    target_tokens, available_tokens, usable_tokens`` (all allowed repeats), ``chosen_tokens, actual_share, short``.
+    target_tokens, available_tokens, usable_tokens`` (all allowed repeats), ``chosen_tokens, short, actual_share``; a
+    source is short where all its allowed repeats were chosen and don't reach its target.
     Records of no known source, of none (null) or without tokens are not chosen; repeated rows are records of their
     own.  A source without records has 0 tokens.  An empty mixture gives no rows.
     """
@@ -84,9 +85,10 @@ def mixed(df: DataFrame, id: str, source: Column, tokens: Column, mixture: DataF
     used = used.filter(F.col("start") + F.col("tokens") / 2 <= F.col("_take")).withColumn("_k", F.floor(F.col("start") / F.col("_block")))
     slots_of = spark.createDataFrame(schedule, "_mix string, _s string, _at bigint, slot bigint")
     chosen = used.join(F.broadcast(slots_of), (F.col("mix_id") == F.col("_mix")) & (F.col("source") == F.col("_s")) & (F.col("_k") == F.col("_at"))).select("mix_id", "slot", "start", "source", "id", "repeat", "tokens")
-    report = spark.createDataFrame([(r["mix_id"], r["source"], float(r["target_share"]), float(r["quota"]), r["available"], r["usable"], r["usable"] < r["quota"]) for r in rows], "mix_id string, source string, target_share double, target_tokens double, available_tokens bigint, usable_tokens bigint, short boolean")
+    report = spark.createDataFrame([(r["mix_id"], r["source"], float(r["target_share"]), float(r["quota"]), r["available"], r["usable"]) for r in rows], "mix_id string, source string, target_share double, target_tokens double, available_tokens bigint, usable_tokens bigint")
     got = chosen.groupBy(F.col("mix_id").alias("_mix"), F.col("source").alias("_s")).agg(F.sum("tokens").alias("_got"))
     from pyspark.sql import Window
 
     shares = report.join(got, (F.col("mix_id") == F.col("_mix")) & (F.col("source") == F.col("_s")), "left").withColumn("chosen_tokens", F.coalesce("_got", F.lit(0))).drop("_mix", "_s", "_got")
+    shares = shares.withColumn("short", (F.col("chosen_tokens") == F.col("usable_tokens")) & (F.col("usable_tokens") < F.col("target_tokens")))
     return chosen, shares.withColumn("actual_share", F.try_divide("chosen_tokens", F.sum("chosen_tokens").over(Window.partitionBy("mix_id"))))

@@ -110,6 +110,15 @@ def test_mixed(spark):
     assert mixed(df, "slot", F.col("source"), F.col("n"), mixture.limit(0))[1].count() == 0
 
 
+def test_shortage_is_read_from_the_schedule(spark):
+    df = spark.createDataFrame([(k, "a" if k % 2 else "b", 10) for k in range(100)], "id int, source string, n int")
+    mixture = spark.createDataFrame([("m", "a", 0.5, 2, 1990), ("m", "b", 0.5, 2, 2010), ("m", "gone", 0.1, 1, 100)], "mix_id string, source string, target_share double, max_repeats int, total_tokens bigint")
+    found = mixed(df, "id", F.col("source"), F.col("n"), mixture)[1].filter("short").select("mix_id", "source")
+    assert {r["source"] for r in found.collect()} == {"b", "gone"}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "slot" in plan and "_before" in plan
+
+
 def test_merging_keeps_strong_boundaries():
     # two paragraphs of three sentences: the weakest boundaries go first
     assert merged(12, {2: 1, 4: 1, 6: 3, 8: 1, 10: 1}, 6, 0) == [0, 6]
