@@ -55,7 +55,8 @@ def mixed(df: DataFrame, id: str, source: Column, tokens: Column, mixture: DataF
 
     ``mixture``: ``mix_id, source, target_share, max_repeats, total_tokens``; rows with a null in one of them are
     left out.  First frame: ``mix_id, slot, start, source, id, repeat, tokens`` - order by slot, then start; a record
-    comes in whole where at least half of it lies before its source's target.  Second: ``mix_id, source, target_share,
+    comes in whole where at least half of it lies before its source's target, and records longer than that target come
+    after all others of the source, so that none of them takes the place of those that fit.  Second: ``mix_id, source, target_share,
     target_tokens, available_tokens, usable_tokens`` (all allowed repeats), ``chosen_tokens, short, actual_share``; a
     source is short where all its allowed repeats were chosen and don't reach its target.
     Records of no known source, of none (null) or without tokens are not chosen; repeated rows are records of their
@@ -67,9 +68,10 @@ def mixed(df: DataFrame, id: str, source: Column, tokens: Column, mixture: DataF
         raise ValueError(f"more than {TARGETS} targets")
     names = sorted({r["source"] for r in wanted})
     records = staged(df.select(F.col(id).alias("id"), source.alias("source"), tokens.cast("bigint").alias("tokens")).filter(F.col("source").isin(names) & (F.col("tokens") > 0)))
-    totals = {r["source"]: r["n"] for r in records.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}  # at most the mixture's sources
-    rows = _planned(totals, wanted)
-    schedule, takes = [], []
+    sums = records.groupBy("source").agg(F.sum("tokens").alias("n"), F.max("tokens").alias("longest")).collect()  # at most the mixture's sources
+    longest = {r["source"]: r["longest"] for r in sums}
+    rows = _planned({r["source"]: r["n"] for r in sums}, wanted)
+    schedule, takes, ways = [], [], {}  # a way is an order of a source's records; all targets that none exceeds share one
     mixes = sorted({r["mix_id"] for r in rows})
     limit = max(LEAST, SLOTS // max(1, len(mixes)))
     for mix in mixes:
@@ -77,11 +79,18 @@ def mixed(df: DataFrame, id: str, source: Column, tokens: Column, mixture: DataF
         block = max(BLOCK_TOKENS, -(-int(sum(r["take"] for r in own)) // limit))
         slots = pfair({r["source"]: -(-int(r["take"] + 0.999999) // block) for r in own})
         schedule += [(mix, s, k, slot) for s, of in slots.items() for k, slot in enumerate(of)]
-        takes += [(mix, r["source"], float(r["take"]), r["available"], block) for r in own if r["take"] > 0]
-    take = spark.createDataFrame(takes, "mix_id string, _source string, _take double, _available bigint, _block bigint")
-    summed = running(records.withColumn("_order", F.xxhash64("id", "tokens")), ["source"], "_order", ["id"], F.col("tokens"), "_before")
+        for r in own:
+            if r["take"] > 0:
+                way = ways.setdefault((r["source"], float(r["take"]) if longest[r["source"]] > r["take"] else None), len(ways))
+                takes.append((mix, way, float(r["take"]), r["available"], block))
+    take = spark.createDataFrame(takes, "mix_id string, _of int, _take double, _available bigint, _block bigint")
+    way = spark.createDataFrame([(k, s, most) for (s, most), k in ways.items()], "_way int, _source string, _most double")
+    laid = records.join(F.broadcast(way), F.col("source") == F.col("_source")).select("id", "source", "tokens", "_way", F.coalesce(F.col("tokens") > F.col("_most"), F.lit(False)).alias("_late"), F.xxhash64("id", "tokens").alias("_order"))
+    early = laid.filter("not _late").groupBy(F.col("_way").alias("_w")).agg(F.sum("tokens").alias("_early"))
+    summed = running(laid, ["_way", "_late"], "_order", ["id"], F.col("tokens"), "_before").join(F.broadcast(early), F.col("_way") == F.col("_w"), "left")
+    summed = summed.withColumn("_before", F.col("_before") + F.when(F.col("_late"), F.coalesce("_early", F.lit(0))).otherwise(0))
     passes = F.sequence(F.lit(0), F.ceil(F.col("_take") / F.col("_available")).cast("int") - 1)
-    used = summed.join(F.broadcast(take), F.col("source") == F.col("_source")).select("mix_id", "source", "id", "tokens", "_take", "_block", F.col("_before"), "_available", F.explode(passes).alias("repeat")).withColumn("start", F.col("_before") + F.col("repeat") * F.col("_available"))
+    used = summed.join(F.broadcast(take), F.col("_way") == F.col("_of")).select("mix_id", "source", "id", "tokens", "_take", "_block", F.col("_before"), "_available", F.explode(passes).alias("repeat")).withColumn("start", F.col("_before") + F.col("repeat") * F.col("_available"))
     used = used.filter(F.col("start") + F.col("tokens") / 2 <= F.col("_take")).withColumn("_k", F.floor(F.col("start") / F.col("_block")))
     slots_of = spark.createDataFrame(schedule, "_mix string, _s string, _at bigint, slot bigint")
     chosen = used.join(F.broadcast(slots_of), (F.col("mix_id") == F.col("_mix")) & (F.col("source") == F.col("_s")) & (F.col("_k") == F.col("_at"))).select("mix_id", "slot", "start", "source", "id", "repeat", "tokens")

@@ -119,6 +119,17 @@ def test_shortage_is_read_from_the_schedule(spark):
     assert "slot" in plan and "_before" in plan
 
 
+def test_texts_longer_than_a_target_come_last(spark):
+    df = spark.createDataFrame([(k, "a", n) for k, n in enumerate([1003, 126, 61, 900, 2000, 700])] + [(9, "only", 500)], "id int, source string, n int")
+    mixture = spark.createDataFrame([("m", "a", 1.0, 1, 182), ("big", "a", 1.0, 1, 4000), ("m", "only", 1.0, 1, 182), ("m2", "only", 1.0, 2, 900)], "mix_id string, source string, target_share double, max_repeats int, total_tokens bigint")
+    chosen, report = mixed(df, "id", F.col("source"), F.col("n"), mixture)
+    rows, got = chosen.collect(), {(r["mix_id"], r["source"]): r["chosen_tokens"] for r in report.collect()}
+    assert {r["id"] for r in rows if (r["mix_id"], r["source"]) == ("m", "a")} == {1, 2} and got["m", "a"] == 187
+    assert abs(got["big", "a"] - 4000) <= 1000 and got["m", "only"] == 0 and got["m2", "only"] == 1000
+    starts = sorted((r["start"], r["tokens"]) for r in rows if r["mix_id"] == "big")
+    assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
+
+
 def test_merging_keeps_strong_boundaries():
     # two paragraphs of three sentences: the weakest boundaries go first
     assert merged(12, {2: 1, 4: 1, 6: 3, 8: 1, 10: 1}, 6, 0) == [0, 6]
