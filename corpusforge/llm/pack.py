@@ -17,17 +17,40 @@ from corpusforge.plans.ranks import ranked, running
 from corpusforge.plans.stage import staged
 
 BUCKETS = 96
-LENGTHS = 4096
 SPECS = 1000
 
 
+def _next_bound(best: np.ndarray, n: np.ndarray, s: np.ndarray, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least padding of each prefix of lengths with one bucket more than ``best`` has, and where its last bucket begins.
+
+    A longer prefix's last bucket never has to begin earlier, so prefixes are solved by halves, a level at a time: the
+    middle of each span looks only between the starts of its solved neighbours, some m steps a level.
+    """
+    m = len(top)
+    grown, back = np.full(m + 1, np.inf), np.zeros(m + 1, np.int64)
+    solved = np.array([0, m + 1])
+    starts = np.array([0, m])  # of the two ends: least and greatest
+    while True:
+        mid = (solved[:-1] + solved[1:]) // 2
+        new = mid > solved[:-1]
+        if not new.any():
+            return grown, back
+        at, low = mid[new], starts[:-1][new]
+        high = np.minimum(starts[1:][new], at - 1)
+        width = high - low + 1
+        first = np.concatenate([[0], np.cumsum(width)[:-1]])
+        j = np.repeat(at, width)
+        i = np.arange(width.sum()) - np.repeat(first - low, width)
+        cost = best[i] + top[j - 1] * (n[j] - n[i]) - (s[j] - s[i])
+        grown[at] = np.minimum.reduceat(cost, first)
+        hit = np.flatnonzero(cost == np.repeat(grown[at], width))
+        back[at] = i[hit[np.searchsorted(hit, first)]]
+        order = np.argsort(np.concatenate([solved, at]), kind="stable")
+        solved, starts = np.concatenate([solved, at])[order], np.concatenate([starts, back[at]])[order]
+
+
 def bucket_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> list[int]:
     """Upper bounds of at most ``buckets`` buckets with the least padding; the last bound is the greatest length."""
-    if len(lengths) > LENGTHS:  # keep the lengths at equal steps of the items' and the tokens' shares as candidates
-        share = np.cumsum(counts) / counts.sum() + np.cumsum(counts * lengths) / (counts * lengths).sum()
-        at = np.unique(np.append(np.searchsorted(share, np.linspace(0, 2, LENGTHS)[1:-1]), len(lengths) - 1))
-        total = np.cumsum(counts)[at]
-        lengths, counts = lengths[at], np.diff(np.concatenate([[0], total]))
     if len(lengths) <= buckets:
         return lengths.tolist()
     n = np.concatenate([[0], np.cumsum(counts)]).astype(float)
@@ -36,14 +59,7 @@ def bucket_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKET
     best = np.concatenate([[0.0], np.full(m, np.inf)])
     back = np.zeros((buckets, m + 1), np.int32)
     for k in range(buckets):
-        grown = np.full(m + 1, np.inf)
-        for lo in range(1, m + 1, 512):
-            j = np.arange(lo, min(m + 1, lo + 512))
-            cost = best[None, : j[-1]] + top[j - 1][:, None] * (n[j][:, None] - n[None, : j[-1]]) - (s[j][:, None] - s[None, : j[-1]])
-            cost[np.arange(j[-1])[None, :] >= j[:, None]] = np.inf
-            back[k, j] = cost.argmin(axis=1)
-            grown[j] = cost[np.arange(len(j)), back[k, j]]
-        best = grown
+        best, back[k] = _next_bound(best, n, s, top)
     bounds, at = [], m
     for k in reversed(range(buckets)):
         if at <= 0:

@@ -42,6 +42,17 @@ def test_many_lengths_are_bounded():
     assert len(bounds) <= 50 and bounds[-1] == 9000
 
 
+def test_more_lengths_than_4096_still_have_the_least_padding():
+    for seed in range(4):
+        r = np.random.default_rng(seed)
+        lengths = np.sort(r.choice(200_000, 9000, replace=False)) + 1
+        counts = r.integers(1, 50, 9000) ** 2
+        n, s = np.cumsum(counts), np.cumsum(counts * lengths)
+        split = lengths * n + lengths[-1] * (n[-1] - n) - s[-1]  # padding with this length and the last as bounds
+        low, high = bucket_bounds(lengths, counts, 2)
+        assert high == lengths[-1] and split[np.searchsorted(lengths, low)] == split.min()
+
+
 def test_batches_place_every_item_once():
     plan, n = batches([3, 5, 9], [10, 7, 4], 10)
     seen, load = Counter(), Counter()
