@@ -761,7 +761,10 @@ def manifest_crosscheck(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def generated_corpus(spark: SparkSession, folder: str) -> DataFrame:
-    rows = building.ground_truth(generate.corpus(spark, 200, SEED))
+    """As many records as ``build_counters`` has generated ones, rows received twice counting once, in equal parts per family."""
+    once = table(spark, folder, "build_counters").groupBy("build_id", "family_id").agg(F.max("generated").alias("n"))
+    wanted = once.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    rows = building.ground_truth(generate.corpus(spark, -(-wanted // len(generate.FAMILIES)), SEED))
     return violations(rows, example_rules()).groupBy("category", "family_id", "truth", F.size("violations").alias("broken_rules")).agg(F.count("*").alias("n"))
 
 

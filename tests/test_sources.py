@@ -110,3 +110,13 @@ def test_tokenizers_round_trip(spark, name):
 def test_digits_stay_single(spark):
     row = tokenizer.piece_audit(tokenizer.vocabulary(spark, tokenizer.path("piece_bpe_32k.model"))).first()
     assert row["pieces"] == 32000 and row["bytes"] == 256
+
+
+@pytest.mark.parametrize("times", [1, 4])
+def test_generated_corpus_follows_the_counters(spark, tmp_path, times):
+    from corpusforge.queries import queries
+
+    rows = [(f"b{k}", "f", 60) for k in range(times)] + [("b0", "f", 60), ("b0", "f", None), ("b0", None, 40)]
+    spark.createDataFrame(rows, "build_id string, family_id string, generated long").write.parquet(f"{tmp_path}/build_counters.parquet")
+    found = queries()["generated_corpus"](spark, str(tmp_path)).groupBy("family_id").sum("n").collect()
+    assert len(found) == len(generate.FAMILIES) and {r[1] for r in found} == {-(-(60 * times + 40) // len(generate.FAMILIES))}
