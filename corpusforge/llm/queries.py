@@ -13,7 +13,7 @@ from corpusforge.llm.calibrate import proportional_sample, target_gaps
 from corpusforge.llm.leaks import tilings
 from corpusforge.llm.mix import mixed
 from corpusforge.llm.near import near_groups
-from corpusforge.llm.overlaps import overlap_pairs, split_overlaps
+from corpusforge.llm.overlaps import overlap_pairs, overlapping_records
 from corpusforge.llm.pack import packed
 from corpusforge.llm.pieces import pieces
 from corpusforge.llm.splits import grouped_split, torn
@@ -47,18 +47,18 @@ def _held_out() -> Column:
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = overlap_pairs(table(spark, folder, "examples"), "example_id", "prompt", _held_out(), LIKENESS, 1)
+    pairs = overlap_pairs(table(spark, folder, "examples"), "example_id", "prompt", _held_out(), LIKENESS, 1, likeness=LIKENESS)
     return pairs.select(F.least("id_eval", "id_train").alias("example_id_a"), F.greatest("id_eval", "id_train").alias("example_id_b"))
 
 
 def p2_by_source(spark: SparkSession, folder: str) -> DataFrame:
-    """Evaluation records that training holds too, per split and generator, with their greatest containment."""
+    """Evaluation records of which a training record holds three quarters of the words, and those also alike, per split and generator."""
     rows = table(spark, folder, "examples")
-    alike, members = split_overlaps(rows, "example_id", "prompt", _held_out(), LIKENESS, 1)
-    hit = alike.groupBy("key_eval").agg(F.max("containment").alias("containment"))
-    found = members.filter("held_out").join(hit, F.col("key") == F.col("key_eval")).select("id", "containment")
+    found = overlapping_records(rows, "example_id", "prompt", _held_out(), LIKENESS, 1, LIKENESS)
     where = rows.select("example_id", clean_name(F.col("split")).alias("split"), "generator_id").distinct()
-    return found.join(where, F.col("id") == F.col("example_id")).groupBy("split", "generator_id").agg(F.countDistinct("id").alias("overlapping"), F.max("containment").alias("greatest_containment"))
+    met = found.join(where, F.col("id") == F.col("example_id"))
+    counts = [F.countDistinct("id").alias("contained"), F.countDistinct(F.when(F.col("alike"), F.col("id"))).alias("overlapping")]
+    return met.groupBy("split", "generator_id").agg(*counts)
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
