@@ -3,8 +3,9 @@
 Inclusion probabilities tilt the odds of a uniform draw exponentially in (1, tokens) so that each category meets its
 token target and its number of examples.  The dual is solved by Newton's method; the categories' moments are summed
 by Spark over the histogram of (category, tokens), the driver holds two numbers per target.  The sample itself is
-drawn by the pivotal method: probabilities fight in pairs until one is 0 or 1, in parts of a category first, the
-parts' last open units after that.
+drawn by the pivotal method: probabilities fight in pairs until one is 0 or 1, in parts of a category of at most some
+``PART`` units first, then the parts' last open units in parts of their own, until one part is left.  Gaps are read off
+the sample: a target is missed for good where all records of its category were drawn and don't reach it.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from corpusforge.plans.stage import staged
 
 PART = 20_000
-ROUNDS = 40
+ROUNDS = 60
 TARGETS = 100_000
 
 
@@ -28,6 +29,7 @@ def calibrated(histogram: DataFrame, targets: DataFrame) -> list[dict]:
 
     ``histogram``: ``category, tokens, n``.  All records are taken where tokens or examples are short or just enough;
     where even the shortest ``floor_examples`` records exceed the tokens, the floor is kept and the tokens given up.
+    A target that Newton's method hasn't met after ``ROUNDS`` rounds has the reason ``unconverged``.
     """
     cells = histogram.withColumnRenamed("category", "_category")
     joined = targets.join(cells, F.col("category") == F.col("_category"), "left")
@@ -76,21 +78,12 @@ def calibrated(histogram: DataFrame, targets: DataFrame) -> list[dict]:
                 d0, d1 = (g0 * s["h11"] - g1 * s["h01"]) / det, (g1 * s["h00"] - g0 * s["h01"]) / det
             shrink = min(1.0, 2.0 / max(abs(d0), abs(d1), 1e-12))
             r["eta"], r["slope"] = r["eta"] + shrink * d0, r["slope"] + shrink * d1
+    for r in rows:
+        if r["open"]:
+            r["reason"] = "unconverged"
     return rows
 
 
-def target_gaps(population: DataFrame, targets: DataFrame) -> DataFrame:
-    """The calibration's report, a row per target: what there is, what the tilted probabilities draw, and what can't be met.
-
-    ``population``: ``category, tokens`` rows, one per record; ``targets``: ``config_id, category, want_tokens,
-    floor_examples``, at most ``TARGETS`` rows.  Adds ``available_tokens, available_examples, expected_tokens,
-    expected_examples, reason`` and ``short_tokens``, ``short_examples``, true where all records together are too few.
-    A category without records has 0; null tokens count 0; null categories meet no target.
-    """
-    rows = [(r["config_id"], r["category"], float(r["want_tokens"]), r["floor_examples"], r["total"], r["count"], float(r["tokens"]), r["examples"], r["reason"], r["total"] < r["want_tokens"], r["count"] < r["floor_examples"]) for r in calibrated(_histogram(population), _bounded(targets))]
-    return population.sparkSession.createDataFrame(rows, "config_id string, category string, want_tokens double, floor_examples int, available_tokens bigint, available_examples bigint, expected_tokens double, expected_examples bigint, reason string, short_tokens boolean, short_examples boolean")
-
-
 def _histogram(population: DataFrame) -> DataFrame:
     tokens = F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens")
     return staged(population.filter("category is not null").groupBy("category", tokens).agg(F.count("*").alias("n")))
@@ -140,32 +133,66 @@ def _fight(last: bool, seed: int):
         own = int(rows["order"].iloc[0]) if len(rows) else 0
         p = pivotal(rows["p"].to_numpy(), (own ^ seed) & (2**63 - 1))
         if last:
-            p = np.where(p == 1, 1.0, np.where(p == 0, 0.0, (np.random.Generator(np.random.PCG64((own + seed) & (2**63 - 1))).random(len(p)) < p).astype(float)))
+            draws = np.random.Generator(np.random.PCG64((own + seed) & (2**63 - 1))).random(len(p))
+            p = np.where(p == 1, 1.0, np.where(p == 0, 0.0, (draws < p).astype(float)))
         return rows.assign(p=p)[p > 0]
 
     return fight
 
 
-def proportional_sample(population: DataFrame, targets: DataFrame, seed: int = 17) -> DataFrame:
-    """The drawn records: ``config_id, category, id, tokens, probability``.
-
-    ``population``: ``id, category, tokens``, one row per record (see ``target_gaps`` for nulls); ``targets`` as there.
-    A record may be drawn for several configs.  The draw depends on ids, tokens and ``seed`` only, not on the
-    cluster.  An empty population or no targets give no rows.
-    """
+def _drawn(population: DataFrame, targets: DataFrame, seed: int) -> tuple[DataFrame, list[dict]]:
     spark = population.sparkSession
     population, targets = population.select("id", "category", F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens")), _bounded(targets)
     rows = calibrated(_histogram(population), targets)
-    tilt = spark.createDataFrame([(r["config_id"], r["category"], float(max(-1e3, min(1e3, r["eta"]))), r["slope"], r["mean"], r["sd"] or 1.0, r["count"]) for r in rows], "config_id string, _category string, eta double, slope double, mean double, sd double, _n bigint")
+    tilt = spark.createDataFrame(
+        [(r["config_id"], r["category"], float(max(-1e3, min(1e3, r["eta"]))), r["slope"], r["mean"], r["sd"] or 1.0, r["count"]) for r in rows],
+        "config_id string, _category string, eta double, slope double, mean double, sd double, _n bigint",
+    )
     tilt = F.broadcast(tilt)  # at most TARGETS rows
     odds = F.col("eta") + F.col("slope") * (F.col("tokens") - F.col("mean")) / F.col("sd")
+    met = population.join(tilt, F.col("category") == F.col("_category"))
     # rounded, as sums in another order give tilts that differ in their last digits
-    units = population.join(tilt, F.col("category") == F.col("_category")).withColumn("probability", F.round(1 / (1 + F.exp(-odds)), 10)).withColumn("order", F.xxhash64(F.lit(seed), "config_id", "id"))
-    parts = F.pmod("order", F.ceil(F.col("_n") / PART)).cast("int")
-    cols = ["config_id", "category", "id", "tokens", "probability", "order"]
-    units = units.withColumn("part", parts).select(*cols, "part", F.col("probability").alias("p"))
-    schema = units.schema
+    units = met.withColumn("probability", F.round(1 / (1 + F.exp(-odds)), 10)).withColumn("order", F.xxhash64(F.lit(seed), "config_id", "id"))
+    units = units.withColumn("parts", F.ceil(F.col("_n") / PART)).withColumn("part", F.pmod("order", "parts"))
+    units = units.select("config_id", "category", "id", "tokens", "probability", "order", "parts", "part", F.col("probability").alias("p"))
     open_ = (F.col("p") > 1e-9) & (F.col("p") < 1 - 1e-9)
-    fought = staged(units.filter(open_).groupBy("config_id", "category", "part").applyInPandas(_fight(False, seed), schema))
-    final = fought.filter(open_).groupBy("config_id", "category").applyInPandas(_fight(True, seed), schema)
-    return units.filter("p >= 1 - 1e-9").unionByName(fought.filter("p = 1")).unionByName(final).select("config_id", "category", "id", "tokens", "probability")
+    decided = units.filter("p >= 1 - 1e-9")
+    left = units.filter(open_)
+    most = max((-(-r["count"] // PART) for r in rows), default=1)
+    while True:
+        last = most <= 1
+        fought = left.groupBy("config_id", "category", "part").applyInPandas(_fight(last, seed), units.schema)
+        if last:
+            return decided.unionByName(fought).select("config_id", "category", "id", "tokens", "probability"), rows
+        fought = staged(fought)
+        decided, most = decided.unionByName(fought.filter("p = 1")), -(-most // PART)
+        left = fought.filter(open_).withColumn("parts", F.ceil(F.col("parts") / PART)).withColumn("part", F.pmod(F.xxhash64("part"), "parts"))
+
+
+def proportional_sample(population: DataFrame, targets: DataFrame, seed: int = 17) -> DataFrame:
+    """The drawn records: ``config_id, category, id, tokens, probability``.
+
+    ``population``: ``id, category, tokens``, one row per record; ``targets``: ``config_id, category, want_tokens,
+    floor_examples``, at most ``TARGETS`` rows.  Null tokens count 0; null categories meet no target.
+    A record may be drawn for several configs.  The draw depends on ids, tokens and ``seed`` only, not on the
+    cluster.  An empty population or no targets give no rows.
+    """
+    return _drawn(population, targets, seed)[0]
+
+
+def sample_report(population: DataFrame, targets: DataFrame, seed: int = 17) -> DataFrame:
+    """What ``proportional_sample`` gives each target, a row per target, and what can't be met.
+
+    ``config_id, category, want_tokens, floor_examples, available_tokens, available_examples, sampled_tokens,
+    sampled_examples``, the calibration's ``reason`` (``tokens``, ``examples``, ``floor`` where the floor costs more
+    tokens than wanted, ``unconverged``, or null), and ``short_tokens``, ``short_examples``: every record of the
+    category was drawn and the tokens or the floor aren't reached.  A category without records has 0.
+    """
+    sample, rows = _drawn(population, targets, seed)
+    told = [(r["config_id"], r["category"], float(r["want_tokens"]), r["floor_examples"], r["total"], r["count"], r["reason"]) for r in rows]
+    report = population.sparkSession.createDataFrame(told, "config_id string, category string, want_tokens double, floor_examples int, available_tokens bigint, available_examples bigint, reason string")
+    got = sample.groupBy(F.col("config_id").alias("_c"), F.col("category").alias("_k")).agg(F.sum("tokens").alias("_t"), F.count("*").alias("_n"))
+    met = report.join(got, (F.col("config_id") == F.col("_c")) & (F.col("category") == F.col("_k")), "left").drop("_c", "_k")
+    met = met.withColumn("sampled_tokens", F.coalesce("_t", F.lit(0))).withColumn("sampled_examples", F.coalesce("_n", F.lit(0))).drop("_t", "_n")
+    whole = F.col("sampled_examples") == F.col("available_examples")
+    return met.withColumn("short_tokens", whole & (F.col("sampled_tokens") < F.col("want_tokens"))).withColumn("short_examples", whole & (F.col("sampled_examples") < F.col("floor_examples")))

@@ -1,7 +1,8 @@
 """Evaluation texts inside training texts: problem 1, by greedy string tiling with running Karp-Rabin.
 
-The test texts are a stated query set: they go out in blocks of a bounded size, as a vocabulary, rolling hashes of
-their word windows and their word numbers; every text of the corpus is read once per block and nothing of it moves.
+The test texts are a stated query set: they go out in blocks of fewer than ``BLOCK_CHARS`` characters (and one text
+more), as a vocabulary, rolling hashes of their word windows and their word numbers; every text of the corpus is read
+once per block and nothing of it moves.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusforge.functions.words import words
+from corpusforge.plans.ranks import running
+from corpusforge.plans.stage import staged
 
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 8_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 SLOTS = 20
 
@@ -128,14 +131,15 @@ def tilings(corpus: DataFrame, text: str, tests: DataFrame, test_id: str, test_t
     """
     spark = corpus.sparkSession
     cases = tests.select(F.col(test_id).alias("id"), F.col(test_text).alias("text")).dropna()
-    chars = cases.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    blocks = 1 + chars // BLOCK_CHARS
+    laid = running(cases.withColumn("_order", F.xxhash64("id", "text")), [], "_order", ["id", "text"], F.length("text"), "_before")
+    blocked = staged(laid.select("id", "text", F.floor(F.col("_before") / BLOCK_CHARS).alias("block")))
+    blocks = [r["block"] for r in blocked.select("block").distinct().orderBy("block").collect()] or [0]  # one row per BLOCK_CHARS
     added = T._parse_datatype_string("test_id string, tiles int, longest int, coverage double").fields
     corpus = corpus.select(F.col(text), *[F.col(c).alias(f"corpus_{c}" if c in [f.name for f in added] else c) for c in corpus.columns if c != text])
     schema = T.StructType([*corpus.schema.fields[1:], *added])
     found = None
-    for block in range(blocks):
-        of = cases.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).collect()
+    for block in blocks:
+        of = blocked.filter(F.col("block") == block).select("id", "text").collect()
         shared = spark.sparkContext.broadcast(Tests([(r["id"], r["text"]) for r in of], min_match))
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -2,8 +2,9 @@
 
 Each source contributes blocks of tokens.  Block k of a source with weight w is released at slot floor(k/w) and due
 at ceil((k+1)/w); the earliest deadline first gives slots to released blocks, so at any slot a source deviates from
-its weight by less than one block.  Blocks are as large as it takes for all mixtures to have ``SLOTS`` slots (``LEAST``
-for one of very many), so the schedule is bounded whatever the size of the sources; records find their slot from their source's running sum.
+its weight by less than one block.  Blocks are as large as it takes for all mixtures together to have some ``SLOTS``
+slots, and one more for each of at most ``TARGETS`` sources of a mixture, so the schedule is bounded whatever the size
+of the sources; records find their slot from their source's running sum.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from corpusforge.plans.ranks import running
 from corpusforge.plans.stage import staged
 
 SLOTS = 262_144
-LEAST = 64
 BLOCK_TOKENS = 1024
 TARGETS = 20_000
 
@@ -73,7 +73,7 @@ def mixed(df: DataFrame, id: str, source: Column, tokens: Column, mixture: DataF
     rows = _planned({r["source"]: r["n"] for r in sums}, wanted)
     schedule, takes, ways = [], [], {}  # a way is an order of a source's records; all targets that none exceeds share one
     mixes = sorted({r["mix_id"] for r in rows})
-    limit = max(LEAST, SLOTS // max(1, len(mixes)))
+    limit = max(1, SLOTS // max(1, len(mixes)))
     for mix in mixes:
         own = [r for r in rows if r["mix_id"] == mix]
         block = max(BLOCK_TOKENS, -(-int(sum(r["take"] for r in own)) // limit))

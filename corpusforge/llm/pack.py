@@ -18,6 +18,7 @@ from corpusforge.plans.stage import staged
 
 BUCKETS = 96
 SPECS = 1000
+LENGTHS = 4_000_000
 
 
 def _next_bound(best: np.ndarray, n: np.ndarray, s: np.ndarray, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +98,8 @@ def packed(df: DataFrame, id: str, tokens: Column, limits: DataFrame, buckets: i
     ``limits``: ``spec_id, max_tokens``, of which null or non-positive capacities are left out.  An item is whole
     unless it exceeds the capacity; then it is ``oversize``, its full parts fill containers of their own and the rest
     is an item as any other.  Items without tokens (null, blank) take no room and come out in container 0.  Repeated
-    rows are items of their own, null ids too; an empty table or no limits give no rows.
+    rows are items of their own, null ids too; an empty table or no limits give no rows.  More than ``SPECS``
+    capacities, or than ``LENGTHS`` lengths in all of them, are refused.
     """
     spark = df.sparkSession
     specs = [(r["spec_id"], r["max_tokens"]) for r in limits.select("spec_id", "max_tokens").filter("max_tokens > 0").distinct().limit(SPECS + 1).collect()]
@@ -107,7 +109,10 @@ def packed(df: DataFrame, id: str, tokens: Column, limits: DataFrame, buckets: i
     caps = F.array(*[F.struct(F.lit(s).alias("spec_id"), F.lit(c).cast("bigint").alias("cap")) for s, c in specs]) if specs else F.from_json(F.lit("[]"), "array<struct<spec_id:string,cap:bigint>>")
     each = sizes.select("id", "all_tokens", F.inline(caps)).withColumn("full", F.when(F.col("all_tokens") > F.col("cap"), F.floor(F.col("all_tokens") / F.col("cap"))).otherwise(F.lit(0))).withColumn("rest", F.col("all_tokens") - F.col("full") * F.col("cap"))
     histogram: dict[str, dict[int, int]] = {}
-    for r in each.filter("rest > 0").groupBy("spec_id", "rest").count().collect():  # at most max_tokens rows a spec
+    cells = each.filter("rest > 0").groupBy("spec_id", "rest").count().limit(LENGTHS + 1).collect()  # at most max_tokens rows a spec
+    if len(cells) > LENGTHS:
+        raise ValueError(f"more than {LENGTHS} lengths in all capacities")
+    for r in cells:
         histogram.setdefault(r["spec_id"], {})[r["rest"]] = r["count"]
     bound_rows, plan_rows, made = [], [], {s: 0 for s, _ in specs}
     for s, cap in specs:

@@ -9,14 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusforge.functions.words import clean_category, clean_name, token_count
-from corpusforge.llm.calibrate import proportional_sample, target_gaps
+from corpusforge.llm.calibrate import proportional_sample, sample_report
 from corpusforge.llm.leaks import tilings
 from corpusforge.llm.mix import mixed
 from corpusforge.llm.near import near_groups
 from corpusforge.llm.overlaps import overlap_pairs, overlapping_records
 from corpusforge.llm.pack import packed
 from corpusforge.llm.pieces import pieces
-from corpusforge.llm.splits import grouped_split, torn
+from corpusforge.llm.splits import grouped_split, shares_of, torn
 from corpusforge.plans.stage import staged
 from corpusforge.sources.tables import table
 
@@ -79,7 +79,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_split(spark: SparkSession, folder: str) -> DataFrame:
-    shares = {r["split"]: r["target_share"] for r in table(spark, folder, "split_plan").limit(1000).collect()}
+    shares = shares_of(table(spark, folder, "split_plan"), "split", "target_share")
     return grouped_split(_linked(spark, folder), "example_id", ["family_id", "template_id"], shares)
 
 
@@ -95,7 +95,7 @@ def _targets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    gaps = target_gaps(_population(spark, folder), _targets(spark, folder))
+    gaps = sample_report(staged(_population(spark, folder)), _targets(spark, folder))
     reasons = F.array_compact(F.array(F.when(F.col("short_tokens"), "tokens"), F.when(F.col("short_examples"), "examples")))
     return gaps.select("config_id", "category", F.explode(reasons).alias("reason"))
 
@@ -106,10 +106,7 @@ def p5_sample(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_shares(spark: SparkSession, folder: str) -> DataFrame:
     """What the sample gives each target."""
-    population, targets = staged(_population(spark, folder)), _targets(spark, folder)
-    got = proportional_sample(population, targets).groupBy(F.col("config_id").alias("_c"), F.col("category").alias("_k")).agg(F.sum("tokens").alias("_t"), F.count("*").alias("_n"))
-    met = target_gaps(population, targets).join(got, (F.col("config_id") == F.col("_c")) & (F.col("category") == F.col("_k")), "left")
-    return met.select("config_id", "category", "want_tokens", F.coalesce("_t", F.lit(0)).alias("sampled_tokens"), "floor_examples", F.coalesce("_n", F.lit(0)).alias("sampled_examples"), "short_tokens", "short_examples")
+    return sample_report(staged(_population(spark, folder)), _targets(spark, folder))
 
 
 def _limits(spark: SparkSession, folder: str, purpose: str) -> DataFrame:

@@ -2,11 +2,13 @@
 
 Values of the linking columns are the nodes of a graph, records its edges (distinct pairs, pre-aggregated); its
 components come from hooking and shortcutting over parent tables.  Which component sizes fill which split is chosen
-on the histogram of sizes - N records have at most sqrt(2N) different sizes - by subset-sum bitsets.
+on the histogram of sizes - N records have at most sqrt(2N) different sizes - by subset-sum bitsets over true sizes.
+Bitsets reach ``REACH`` records; what a split wants beyond that is filled before with its largest components.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,8 @@ from corpusforge.llm.components import components
 from corpusforge.plans.ranks import ranked
 from corpusforge.plans.stage import staged
 
-BITS = 1 << 22
+REACH = 1 << 22
+SPLITS = 1000
 
 
 def related(df: DataFrame, links: list[str]) -> DataFrame:
@@ -35,49 +38,78 @@ def related(df: DataFrame, links: list[str]) -> DataFrame:
 def choose(histogram: dict[int, int], targets: dict[str, float]) -> dict[str, dict[int, int]]:
     """How many components of each size go to each split so that the totals come close to the targets' shares.
 
-    Smaller splits choose first, each by a bitset of the reachable sums over the sizes left (multiplicities by binary
-    splitting), in units that keep the bitset below ``BITS``; the largest split takes the rest.
+    Smaller splits choose first, the largest takes the rest.  A split takes components, largest first, as long as it
+    wants more than ``REACH`` records after them, or one that is larger than ``REACH`` and fits.  The rest comes from
+    the reachable sums over the sizes left: of these the closest.  Up to ``REACH`` records this is the best choice
+    there is for the split, beyond it the last ``REACH`` are.
     """
     left = dict(histogram)
     total = sum(s * n for s, n in left.items())
-    unit = max(1, total // BITS)
     order = sorted(targets, key=lambda s: (targets[s], s))
     chosen: dict[str, dict[int, int]] = {}
     for split in order[:-1]:
         want = targets[split] * total
-        cap = int(want // unit) + 2 + (max(left, default=1) // unit)
-        mask = (1 << (cap + 1)) - 1
-        reach = 1
-        steps: list[tuple[int, int, int]] = []
-        for size in sorted(left, reverse=True):
-            count, step = min(left[size], int(want // size) + 1), 1
-            while count > 0:
-                take = min(step, count)
-                grown = (reach | reach << max(1, round(size * take / unit))) & mask
-                if grown != reach:
-                    steps.append((size, take, reach))
-                    reach = grown
-                count, step = count - take, step * 2
-        goal = want / unit
-        best = _nearest(reach, goal)
         picked: dict[int, int] = {}
-        for size, take, before in reversed(steps):
-            if not before >> best & 1:
-                best -= max(1, round(size * take / unit))
-                picked[size] = picked.get(size, 0) + take
+        for size in sorted(left, reverse=True):
+            room = want if size > REACH else want - REACH
+            if take := min(left[size], max(0, int(room // size))):
+                picked[size] = take
+                left[size] -= take
+                want -= take * size
+        for size, take in _closest(left, want).items():
+            picked[size] = picked.get(size, 0) + take
+            left[size] -= take
         chosen[split] = picked
-        left = {s: n - picked.get(s, 0) for s, n in left.items() if n > picked.get(s, 0)}
+        left = {s: n for s, n in left.items() if n}
     chosen[order[-1]] = left
     return chosen
 
 
-def _nearest(reach: int, goal: float) -> int:
-    at = int(goal)
-    for gap in range(reach.bit_length() + at + 2):
-        for x in sorted({at - gap, at + 1 + gap}, key=lambda x: abs(x - goal)):
-            if x >= 0 and reach >> x & 1:
-                return x
-    return 0
+def _closest(left: dict[int, int], want: float) -> dict[int, int]:
+    """The sizes whose sum is closest to ``want``, a tie below it.
+
+    Multiplicities are split into powers of two.  Each sum remembers the step that first reached it, so its sizes are
+    found by walking back; four bytes a sum, whatever the number of steps.
+    """
+    goal = max(0, round(want))
+    if goal > 2 * REACH:  # every component left is larger than that, or it would have been taken
+        least = min((s for s, n in left.items() if n), default=0)
+        return {least: 1} if least and least - want < want else {}
+    most = 2 * goal + 1  # a sum beyond is farther than 0
+    reach = np.zeros(most + 1, bool)
+    reach[0] = True
+    step_of = np.full(most + 1, -1, np.int32)
+    steps: list[tuple[int, int]] = []
+    for size in sorted(left, reverse=True):
+        count, step = min(left[size], most // size), 1
+        while count > 0 and not reach[goal]:
+            take = min(step, count)
+            weight = size * take
+            if weight <= most:
+                new = np.flatnonzero(reach[: most + 1 - weight] & ~reach[weight:]) + weight
+                reach[new] = True
+                step_of[new] = len(steps)
+                steps.append((size, take))
+            count, step = count - take, step * 2
+    sums = np.flatnonzero(reach)
+    at = int(sums[np.argmin(np.abs(sums - want))])
+    picked: dict[int, int] = {}
+    while at:
+        size, take = steps[step_of[at]]
+        picked[size] = picked.get(size, 0) + take
+        at -= size * take
+    return picked
+
+
+def shares_of(plan: DataFrame, split: str, share: str) -> dict[str, float]:
+    """The shares of a small table of splits: at most ``SPLITS`` rows, each split once, shares not negative and 1 in all; an empty one has none."""
+    rows = plan.select(split, share).limit(SPLITS + 1).collect()
+    shares = {r[0]: r[1] for r in rows}
+    if len(rows) > SPLITS or len(shares) < len(rows) or None in shares or None in shares.values():
+        raise ValueError(f"splits are repeated, null or more than {SPLITS}")
+    if rows and (min(shares.values()) < 0 or abs(sum(shares.values()) - 1) > 1e-6):
+        raise ValueError(f"shares don't add up to 1: {shares}")
+    return shares
 
 
 def grouped_split(df: DataFrame, id: str, links: list[str], shares: dict[str, float], out: str = "new_split") -> DataFrame:

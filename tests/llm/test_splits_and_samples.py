@@ -5,8 +5,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusforge.llm.calibrate import pivotal, proportional_sample, target_gaps
-from corpusforge.llm.splits import choose, grouped_split, torn
+from corpusforge.llm.calibrate import calibrated, pivotal, proportional_sample, sample_report
+from corpusforge.llm import calibrate, splits
+from corpusforge.llm.splits import choose, grouped_split, shares_of, torn
 
 SHARES = {"train": 0.9, "validation": 0.05, "test": 0.05}
 
@@ -124,22 +125,75 @@ def test_sample_meets_targets(spark):
     assert got["c2", "big"][1] == 40 and got["c2", "mid"][1] == sum(1 for r in rows if r[1] == "mid")
     again = proportional_sample(df.repartition(5), targets).collect()
     assert set(map(tuple, again)) == set(map(tuple, out))
-    gaps = {(r["config_id"], r["category"]): (r["short_tokens"], r["short_examples"]) for r in target_gaps(df, targets).collect()}
+    gaps = {(r["config_id"], r["category"]): (r["short_tokens"], r["short_examples"]) for r in sample_report(df, targets).collect()}
     assert gaps["c1", "tiny"] == (True, True) and gaps["c1", "none"] == (True, True) and gaps["c2", "mid"] == (True, False) and gaps["c1", "big"] == (False, False)
 
 
-def test_parts_of_large_categories(spark, monkeypatch):
-    from corpusforge.llm import calibrate
-
-    monkeypatch.setattr(calibrate, "PART", 100)
+@pytest.mark.parametrize("part", [100, 12])
+def test_parts_of_large_categories(spark, monkeypatch, part):
+    monkeypatch.setattr(calibrate, "PART", part)
     _, df = population(spark, 3000, 6)
-    out = proportional_sample(df, spark.createDataFrame([("c", "big", 20000.0, 10)], "config_id string, category string, want_tokens double, floor_examples int"))
+    targets = spark.createDataFrame([("c", "big", 20000.0, 10)], "config_id string, category string, want_tokens double, floor_examples int")
+    out = proportional_sample(df, targets)
     assert abs(out.agg(F.sum("tokens")).first()[0] / 20000 - 1) < 0.02
 
 
+def test_gaps_come_from_the_draw(spark, monkeypatch):
+    """A draw that takes nothing finds no gap where there are records, as no category was drawn whole."""
+    _, df = population(spark, 300, 8)
+    targets = spark.createDataFrame([("c", "big", 9e9, 5), ("c", "none", 1.0, 1)], "config_id string, category string, want_tokens double, floor_examples int")
+    short = lambda: {r["category"] for r in sample_report(df, targets).filter("short_tokens").collect()}
+    assert short() == {"big", "none"}
+    broken = lambda *a: [r | {"eta": -50.0} for r in calibrated(*a)]
+    monkeypatch.setattr(calibrate, "calibrated", broken)
+    assert short() == {"none"}
+
+
+def test_targets_that_do_not_converge_are_told(spark, monkeypatch):
+    monkeypatch.setattr(calibrate, "ROUNDS", 1)
+    _, df = population(spark, 4000, 5)
+    targets = spark.createDataFrame(TARGETS[:1], "config_id string, category string, want_tokens double, floor_examples int")
+    assert sample_report(df, targets).first()["reason"] == "unconverged"
+
+
+@pytest.mark.parametrize("histogram", [{s: 2300 for s in range(30, 3030)}, {s: 60 for s in range(30, 3030)}])
+def test_splits_of_many_records_are_exact(histogram):
+    total = sum(s * n for s, n in histogram.items())
+    picked = choose(histogram, SHARES)
+    for split in ("test", "validation"):
+        assert abs(sum(s * n for s, n in picked[split].items()) - 0.05 * total) <= 0.5
+    assert all(sum(p.get(s, 0) for p in picked.values()) == n for s, n in histogram.items())
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_choice_beyond_the_reach(monkeypatch, seed):
+    """With a reach of a few records the totals stay as close as a small component."""
+    monkeypatch.setattr(splits, "REACH", 30)
+    r = random.Random(seed)
+    histogram = {r.randrange(1, 20): r.randrange(20, 40) for _ in range(8)} | {500: 1, 90: 2}
+    total = sum(s * n for s, n in histogram.items())
+    picked = choose(histogram, {"a": 0.7, "b": 0.2, "c": 0.1})
+    for split, share in (("b", 0.2), ("c", 0.1)):
+        assert abs(sum(s * n for s, n in picked[split].items()) - share * total) <= min(histogram)
+    assert all(sum(p.get(s, 0) for p in picked.values()) == n for s, n in histogram.items())
+
+
+def test_one_component_that_fits_nowhere():
+    assert choose({10**9: 1, 1: 3}, {"a": 0.5, "b": 0.5})["a"] in ({1: 3}, {10**9: 1})
+    assert choose({}, SHARES)["test"] == {}
+
+
+def test_broken_shares_are_refused(spark):
+    make = lambda *rows: spark.createDataFrame(rows, "split string, target_share double")
+    assert shares_of(make(("a", 0.25), ("b", 0.75)), "split", "target_share") == {"a": 0.25, "b": 0.75}
+    for rows in ([("a", 0.5)], [("a", 0.5), ("a", 0.5)], [("a", -0.5), ("b", 1.5)], [(None, 1.0)], [("a", None)], [(f"s{k}", 1 / 1200) for k in range(1200)]):
+        with pytest.raises(ValueError):
+            shares_of(make(*rows), "split", "target_share")
+
+
 def test_empty_population(spark):
     _, df = population(spark, 10, 7)
     targets = spark.createDataFrame(TARGETS, "config_id string, category string, want_tokens double, floor_examples int")
     assert proportional_sample(df.limit(0), targets).count() == 0
     assert proportional_sample(df, targets.limit(0)).count() == 0
-    assert target_gaps(df.limit(0), targets).filter("short_tokens and short_examples").count() == len(TARGETS)
+    assert sample_report(df.limit(0), targets).filter("short_tokens and short_examples").count() == len(TARGETS)
