@@ -1,9 +1,14 @@
-"""The pN_ queries over the tables of TESTDATA.md, and their SQL where SQL can express them."""
+"""The pN_ queries over the tables of TESTDATA.md.
+
+A query pN_checks states what must hold of its problem's operator whatever choice it makes, next to figures that SQL
+can tell from the tables; the SQL is in ``sql``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from fractions import Fraction
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +22,7 @@ from corpusforge.llm.overlaps import overlap_pairs, overlapping_records
 from corpusforge.llm.pack import packed
 from corpusforge.llm.pieces import pieces
 from corpusforge.llm.splits import grouped_split, shares_of, torn
+from corpusforge.llm.sql import oracle_sql
 from corpusforge.plans.stage import staged
 from corpusforge.sources.tables import table
 
@@ -83,6 +89,22 @@ def p4_split(spark: SparkSession, folder: str) -> DataFrame:
     return grouped_split(_linked(spark, folder), "example_id", ["family_id", "template_id"], shares)
 
 
+def p4_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Records of the new splits, values that lie in several of them, and splits but the largest that miss their share by more than a record."""
+    rows = _linked(spark, folder)
+    placed = staged(p4_split(spark, folder))
+    shares = shares_of(table(spark, folder, "split_plan"), "split", "target_share")
+    whole = placed.select("example_id", "new_split").distinct()
+    several = [placed.filter(F.col(c).isNotNull()).groupBy(c).agg(F.countDistinct("new_split").alias("n")).agg(F.count_if(F.col("n") > 1).alias("n")).select(F.lit(f"{c}s_in_several_splits").alias("what"), "n") for c in ("example_id", "family_id", "template_id")]
+    got = whole.groupBy("new_split").agg(F.count("*").alias("n"))
+    wanted = spark.createDataFrame(sorted((s, float(x)) for s, x in shares.items() if s != max(shares, key=lambda k: (shares[k], k))), "_split string, _share double")
+    all_ = whole.agg(F.count("*").alias("_all"))
+    off = wanted.crossJoin(all_).join(got, F.col("_split") == F.col("new_split"), "left").agg(F.count_if(F.abs(F.coalesce("n", F.lit(0)) - F.col("_share") * F.col("_all")) > 1).alias("n"))
+    missing = rows.filter("example_id is not null").select("example_id").distinct().join(whole, "example_id", "left_anti").agg(F.count("*").alias("n"))
+    parts = [whole.agg(F.count("*").alias("n")).select(F.lit("records").alias("what"), "n"), *several, off.select(F.lit("splits_off_target").alias("what"), "n"), missing.select(F.lit("records_without_split").alias("what"), "n")]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _population(spark: SparkSession, folder: str) -> DataFrame:
     train = table(spark, folder, "examples").filter(clean_name(F.col("split")) == "train")
     return train.groupBy(F.col("example_id").alias("id")).agg(F.min(clean_category(F.col("category"))).alias("category"), F.coalesce(F.max("token_count"), F.lit(0)).cast("bigint").alias("tokens"))
@@ -109,6 +131,17 @@ def p5_shares(spark: SparkSession, folder: str) -> DataFrame:
     return sample_report(staged(_population(spark, folder)), _targets(spark, folder))
 
 
+def p5_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Per target what there is and what is short, whether its floor is kept, and whether the draw comes within two records of the tokens."""
+    r = p5_shares(spark, folder)
+    longest = _population(spark, folder).agg(F.coalesce(F.max("tokens"), F.lit(0)).alias("_longest"))
+    near = F.abs(F.col("sampled_tokens") - F.least("want_tokens", "available_tokens")) <= 2 * F.col("_longest") + 1
+    close = F.coalesce(F.col("reason").isin("floor", "examples"), F.lit(False)) | near
+    kept = F.col("sampled_examples") >= F.least("floor_examples", "available_examples")
+    columns = ["config_id", "category", "available_tokens", "available_examples", "short_tokens", "short_examples"]
+    return r.crossJoin(longest).select(*columns, kept.alias("floor_kept"), close.alias("tokens_close"))
+
+
 def _limits(spark: SparkSession, folder: str, purpose: str) -> DataFrame:
     return table(spark, folder, "size_limits").filter(F.col("purpose") == purpose)
 
@@ -117,6 +150,17 @@ def p6_packed(spark: SparkSession, folder: str) -> DataFrame:
     return packed(table(spark, folder, "documents"), "doc_id", token_count(F.col("text")), _limits(spark, folder, "container")).withColumnRenamed("id", "doc_id")
 
 
+def p6_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Per capacity the parts, texts and tokens placed, containers above capacity, parts of texts that would have fitted whole, and whether nine tenths are filled."""
+    cap = _limits(spark, folder, "container").select(F.col("spec_id").alias("_s"), F.col("max_tokens").cast("bigint").alias("_cap"))
+    rows = staged(p6_packed(spark, folder)).join(F.broadcast(cap), F.col("spec_id") == F.col("_s"))
+    loads = rows.groupBy("spec_id", "container", "_cap").agg(F.sum("tokens").alias("load"), F.count("*").alias("parts"), F.count_if("oversize").alias("cut"), F.count_if(F.col("tokens") > 0).alias("filled"))
+    per = loads.groupBy("spec_id").agg(F.sum("parts").alias("parts"), F.sum("load").alias("tokens"), F.count_if(F.col("load") > F.col("_cap")).alias("overfull"), (F.sum("load") >= 0.9 * F.sum(F.when(F.col("filled") > 0, F.col("_cap")))).alias("well_filled"))
+    texts = rows.groupBy("spec_id", "doc_id", "_cap").agg(F.sum("tokens").alias("n"), F.countDistinct("part").alias("parts"))
+    cut = texts.groupBy(F.col("spec_id").alias("_s")).agg(F.count("*").alias("texts"), F.count_if((F.col("n") <= F.col("_cap")) & (F.col("parts") > 1)).alias("cut_in_vain"))
+    return per.join(cut, F.col("spec_id") == F.col("_s")).select("spec_id", "texts", "parts", "tokens", "overfull", "cut_in_vain", "well_filled")
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return p6_packed(spark, folder).filter("oversize").select("spec_id", "doc_id").distinct()
 
@@ -134,6 +178,19 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mixed(spark, folder)[1]
 
 
+def p7_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Per target what there is and what is short, repeats beyond the allowed, and whether the choice comes within a record of what it should."""
+    docs = table(spark, folder, "documents").select(clean_name(F.col("source")).alias("_source"), token_count(F.col("text")).alias("_n"))
+    longest = docs.groupBy("_source").agg(F.max("_n").alias("_longest"))
+    chosen, shares = _mixed(spark, folder)
+    limits = table(spark, folder, "source_mix").select(F.col("mix_id").alias("_m"), clean_name(F.col("source")).alias("_s"), "max_repeats")
+    most = chosen.groupBy("mix_id", "source", "id").agg((F.max("repeat") + 1).alias("times")).groupBy(F.col("mix_id").alias("_m"), F.col("source").alias("_s")).agg(F.max("times").alias("times"))
+    over = limits.join(most, ["_m", "_s"], "left").select("_m", "_s", (F.coalesce("times", F.lit(0)) > F.col("max_repeats")).alias("over_repeated"))
+    met = shares.join(longest, F.col("source") == F.col("_source"), "left").join(over, (F.col("mix_id") == F.col("_m")) & (F.col("source") == F.col("_s")))
+    close = F.abs(F.col("chosen_tokens") - F.least("target_tokens", "usable_tokens")) <= F.coalesce("_longest", F.lit(0))
+    return met.select("mix_id", "source", "available_tokens", "usable_tokens", "short", "over_repeated", close.alias("close"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return _mixed(spark, folder)[1].filter("short").select("mix_id", "source")
 
@@ -142,6 +199,26 @@ def p8_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces(table(spark, folder, "documents"), "doc_id", "text", _limits(spark, folder, "piece")).withColumnRenamed("id", "doc_id")
 
 
+def p8_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Per limit the texts cut and their tokens, pieces beyond the limit, with a wrong overlap, out of order or with another text than their span's."""
+    limits = _limits(spark, folder, "piece").select(F.col("spec_id").alias("_s"), "max_tokens", F.coalesce("overlap_tokens", F.lit(0)).alias("overlap"))
+    cut = staged(p8_pieces(spark, folder)).join(F.broadcast(limits), F.col("spec_id") == F.col("_s"))
+    texts = table(spark, folder, "documents").select(F.col("doc_id").alias("_d"), F.col("text").alias("_text"))
+    rows = cut.join(texts, F.col("doc_id") == F.col("_d"))
+    other = F.col("text") != F.substr("_text", F.col("start") + 1, F.col("end") - F.col("start"))
+    wrong = F.when(F.col("piece") == 0, F.col("n_tokens") != F.col("own_tokens")).otherwise(F.col("n_tokens") - F.col("own_tokens") != F.col("overlap"))
+    per = rows.groupBy("spec_id", "doc_id").agg(
+        F.sum("own_tokens").alias("tokens"),
+        F.count_if(F.col("n_tokens") > F.col("max_tokens")).alias("too_long"),
+        F.count_if(wrong).alias("wrong_overlap"),
+        F.count_if(other | (F.col("n_tokens") != token_count(F.col("text")))).alias("wrong_text"),
+        (F.max("piece") + 1 - F.count("*")).alias("gaps"),
+        F.count_if(F.col("ends_at") == "end").alias("ends"),
+    )
+    sums = ["tokens", "too_long", "wrong_overlap", "wrong_text", "gaps"]
+    return per.groupBy("spec_id").agg(F.count("*").alias("texts"), *[F.sum(c).alias(c) for c in sums], F.count_if(F.col("ends") != 1).alias("open_ends"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     cut = pieces(table(spark, folder, "documents"), "doc_id", "text", _limits(spark, folder, "piece"), with_text=False)
     return cut.filter("piece = 0").select("spec_id", F.col("id").alias("doc_id"), "cut_kind").distinct()
@@ -151,46 +228,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
 
 
-_SPACE = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-_TOKEN = rf"[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{_SPACE}]+"
-
-
-def _name(c: str) -> str:
-    return f"lower(regexp_replace({c}, '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g'))"
-
-
-def _category(c: str) -> str:
-    return f"regexp_replace({_name(c)}, '[{_SPACE}-]+', '_', 'g')"
-
-
-def _tokens(c: str) -> str:
-    return f"coalesce(len(regexp_extract_all({c}, '{_TOKEN}')), 0)"
-
-
-def oracle_sql() -> dict[str, str]:
-    train = f"""train AS (SELECT example_id, min({_category("category")}) AS category, coalesce(max(token_count), 0) AS tokens
-        FROM examples WHERE {_name("split")} = 'train' GROUP BY example_id),
-        have AS (SELECT category, sum(tokens) AS tokens, count(*) AS n FROM train GROUP BY category),
-        want AS (SELECT m.config_id, {_category("m.category")} AS category, m.target_share * c.target_train_tokens AS tokens, c.min_category_examples AS n
-        FROM category_mixture m JOIN pilot_subset_config c USING (config_id)),
-        met AS (SELECT w.config_id, w.category, coalesce(h.tokens, 0) < w.tokens AS t, coalesce(h.n, 0) < w.n AS e FROM want w LEFT JOIN have h ON w.category = h.category)"""
-    sizes = f"WITH sizes AS (SELECT doc_id, text, {_tokens("text")} AS n FROM documents)"
-    return {
-        "p4_found": f"""WITH RECURSIVE rec AS (SELECT DISTINCT {_name("family_id")} AS f, template_id AS t, {_name("split")} AS s FROM examples),
-            pairs AS (SELECT DISTINCT f, t FROM rec WHERE f IS NOT NULL AND t IS NOT NULL),
-            near AS (SELECT DISTINCT a.f AS x, b.f AS y FROM pairs a JOIN pairs b USING (t)),
-            reach AS (SELECT x, y FROM near UNION SELECT r.x, n.y FROM reach r JOIN near n ON r.y = n.x),
-            root AS (SELECT x AS f, min(y) AS root FROM reach GROUP BY x UNION SELECT DISTINCT f, f FROM rec WHERE f IS NOT NULL AND f NOT IN (SELECT f FROM pairs)),
-            by_t AS (SELECT t, min(root) AS root FROM pairs JOIN root USING (f) GROUP BY t),
-            placed AS (SELECT coalesce(root.root, by_t.root) AS root, rec.s FROM rec LEFT JOIN root ON rec.f = root.f LEFT JOIN by_t ON rec.t = by_t.t),
-            apart AS (SELECT root FROM placed WHERE root IS NOT NULL GROUP BY root HAVING count(DISTINCT s) > 1)
-            SELECT DISTINCT f AS family_id FROM root WHERE root IN (SELECT root FROM apart)""",
-        "p5_found": f"WITH {train} SELECT config_id, category, 'tokens' AS reason FROM met WHERE t UNION ALL SELECT config_id, category, 'examples' FROM met WHERE e",
-        "p6_found": f"{sizes} SELECT spec_id, doc_id FROM sizes JOIN size_limits ON purpose = 'container' AND n > max_tokens",
-        "p7_found": f"""WITH have AS (SELECT {_name("source")} AS source, sum({_tokens("text")}) AS n FROM documents GROUP BY 1)
-            SELECT m.mix_id, {_name("m.source")} AS source FROM source_mix m LEFT JOIN have h ON {_name("m.source")} = h.source
-            WHERE coalesce(h.n, 0) * m.max_repeats < m.target_share * m.total_tokens""",
-        "p8_found": rf"""{sizes}, big AS (SELECT spec_id, max_tokens, doc_id, text FROM sizes JOIN size_limits ON purpose = 'piece' AND n > max_tokens),
-            parts AS (SELECT spec_id, max_tokens, doc_id, unnest(string_split_regex(regexp_replace(text, '([.!?])[{_SPACE}]', E'\\1\n', 'g'), '[\r\n]')) AS part FROM big)
-            SELECT spec_id, doc_id, CASE WHEN max({_tokens("part")}) > any_value(max_tokens) THEN 'inside' ELSE 'boundary' END AS cut_kind FROM parts GROUP BY spec_id, doc_id""",
-    }
+__all__ = ["oracle_sql", "queries"]
