@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
 from decimal import ROUND_HALF_UP, Decimal
 from fractions import Fraction
 from math import prod
@@ -57,53 +56,90 @@ def _root(value: Fraction, places: Fraction) -> Fraction:
     return _half_up((Decimal(value.numerator) / Decimal(value.denominator)).sqrt(), places)
 
 
-# name: (number of operands or None for any, function)
-FULL: dict[str, tuple[int | None, Callable]] = {
-    "add": (None, lambda *x: sum(x, Fraction(0))),
-    "sub": (2, lambda a, b: a - b),
-    "mul": (None, lambda *x: prod(x, start=Fraction(1))),
-    "div": (2, _quotient),
-    "neg": (1, lambda a: -a),
-    "abs": (1, abs),
-    "pow": (2, _power),
-    "percent_of": (2, lambda p, w: p * w / 100),
-    "max": (None, max),
-    "min": (None, min),
-    "ratio": (2, _quotient),
-    "round": (2, lambda a, p: _half_up(Decimal(a.numerator) / Decimal(a.denominator), p)),
-    "sqrt": (2, _root),
-    "lt": (2, lambda a, b: a < b),
-    "le": (2, lambda a, b: a <= b),
-    "gt": (2, lambda a, b: a > b),
-    "ge": (2, lambda a, b: a >= b),
-    "equals": (2, lambda a, b: a == b),
-}
-FROZEN = {name: FULL[name] for name in ("add", "sub", "mul", "div", "neg", "pow", "percent_of", "equals")}
-
-
-def evaluate(node: Any, operations: dict = FULL) -> Fraction | bool:
-    """Value of an expression tree: a number, or ``{"op": name, "args": [trees]}`` with nothing else in it."""
-    if not isinstance(node, dict):
-        return rational(node)
-    if set(node) != {"op", "args"} or not isinstance(node["args"], list) or not node["args"]:
-        raise Undefined("not an operation with operands")
-    if not isinstance(node["op"], str) or node["op"] not in operations:
-        raise Undefined(f"unknown operation {node['op']!r}")
-    count, function = operations[node["op"]]
-    if count not in (None, len(node["args"])):
-        raise Undefined(f"{node['op']} takes {count} operands")
-    values = [evaluate(a, operations) for a in node["args"]]
-    if any(isinstance(v, bool) for v in values):
-        raise Undefined("a truth value is no operand")
-    try:
-        return function(*values)
-    except (ArithmeticError, OverflowError) as e:
-        raise Undefined(str(e)) from e
+def _places(value: Fraction) -> Decimal:
+    return Decimal(value.numerator) / Decimal(value.denominator)
+
+
+class Operations:
+    """The operations on rationals, each by its name; the parameters say how many operands one takes."""
+
+    def add(*x): return sum(x, Fraction(0))
+    def sub(a, b): return a - b
+    def mul(*x): return prod(x, start=Fraction(1))
+    def div(a, b): return _quotient(a, b)
+    def ratio(a, b): return _quotient(a, b)
+    def percent_of(percent, whole): return percent * whole / 100
+    def pow(a, b): return _power(a, b)
+    def neg(a): return -a
+    def abs(a): return abs(a)
+    def max(*x): return max(x)
+    def min(*x): return min(x)
+    def round(a, places): return _half_up(_places(a), places)
+    def sqrt(a, places): return _root(a, places)
+    def lt(a, b): return a < b
+    def le(a, b): return a <= b
+    def gt(a, b): return a > b
+    def ge(a, b): return a >= b
+    def equals(a, b): return a == b
+    # fmt: skip
+
+
+# The operations that recorded suites are checked with.
+FROZEN = ["add", "sub", "mul", "div", "neg", "pow", "percent_of", "equals"]
+FULL = [name for name in vars(Operations) if not name.startswith("_")]
+
+
+def _operands(name: str) -> int | None:
+    """How many operands an operation takes; None for any number."""
+    code = vars(Operations)[name].__code__
+    return None if code.co_flags & 0x04 else code.co_argcount
+
+
+def postfix(tree: Any, allowed: list[str] = FULL) -> list[Fraction | tuple[str, int]]:
+    """An expression tree as a list of numbers and of operations with their number of operands, operands first.
+
+    A tree is a number, or ``{"op": name, "args": [trees]}`` with nothing else in it.
+    """
+    out: list[Fraction | tuple[str, int]] = []
+    waiting = [tree]
+    while waiting:
+        node = waiting.pop()
+        if not isinstance(node, dict):
+            out.append(rational(node))
+            continue
+        name, args = node.get("op"), node.get("args")
+        if len(node) != 2 or not isinstance(name, str) or name not in allowed or not isinstance(args, list):
+            raise Undefined("not an operation with operands")
+        if len(args) != (_operands(name) or max(1, len(args))):
+            raise Undefined(f"{name} of {len(args)} operands")
+        out.append((name, len(args)))
+        waiting += args
+    return out[::-1]
+
+
+def evaluate(tree: Any, allowed: list[str] = FULL) -> Fraction | bool:
+    """Value of an expression tree, folded over its postfix form; a truth value is no operand."""
+    stack: list[Fraction | bool] = []
+    for step in postfix(tree, allowed):
+        if isinstance(step, Fraction):
+            stack.append(step)
+            continue
+        name, count = step
+        operands = stack[-count:]
+        del stack[-count:]
+        if bool in map(type, operands):
+            raise Undefined("a truth value is no operand")
+        try:
+            stack.append(vars(Operations)[name](*operands))
+        except ArithmeticError as e:
+            raise Undefined(str(e)) from e
+    (value,) = stack
+    return value
 
 
-def agrees(expression: Any, answer: Any, tolerance: Any, operations: dict = FULL) -> bool:
+def agrees(expression: Any, answer: Any, tolerance: Any, allowed: list[str] = FULL) -> bool:
     """Whether the expression's value is the answer, within an absolute tolerance (null: 0); truth values only match themselves."""
-    value = evaluate(expression, operations)
+    value = evaluate(expression, allowed)
     if isinstance(value, bool) or isinstance(answer, bool):
         return isinstance(value, bool) and isinstance(answer, bool) and value == answer
     allowed = Fraction(0) if tolerance is None else rational(tolerance)
@@ -143,14 +179,14 @@ def expression_value(tree: Column) -> Column:
     return _value(tree)
 
 
-def _verdict(operations: dict):
+def _verdict(allowed: list[str]):
     @F.pandas_udf(T.StringType())
     def verdict(trees: pd.Series, answers: pd.Series, tolerances: pd.Series) -> pd.Series:
         def of(tree: str | None, answer: str | None, tolerance: float | None) -> str:
             if tree is None or answer is None:
                 return "error"
             try:
-                return "ok" if agrees(json.loads(tree), json.loads(answer), None if pd.isna(tolerance) else tolerance, operations) else "mismatch"
+                return "ok" if agrees(json.loads(tree), json.loads(answer), None if pd.isna(tolerance) else tolerance, allowed) else "mismatch"
             except (ValueError, TypeError, RecursionError):
                 return "error"
 
