@@ -50,23 +50,11 @@ def shape(c: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(numbered, r"\$\s*<NUM>", r"\$<NUM>"), f"[{SPACE}]+", " "))
 
 
-def _shingles(size: int):
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def make(texts: pd.Series) -> pd.Series:
-        def of(t: str | None) -> list[str] | None:
-            if t is None:
-                return None
-            found = t.lower().split()
-            return sorted({" ".join(found[k : k + size]) for k in range(max(1, len(found) - size + 1))})
-
-        return texts.map(of)
-
-    return make
-
-
 def shingles(c: Column, size: int) -> Column:
-    """Distinct runs of ``size`` words split at white space; of a shorter text the whole; null stays null."""
-    return _shingles(size)(c)
+    """Distinct runs of ``size`` words split at white space, in lower case; of a shorter text the whole; null stays null."""
+    found = F.split(strip(F.lower(c)), f"[{SPACE}]+")
+    runs = F.transform(F.array(found), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - size + 1)), lambda k: F.array_join(F.slice(w, k, F.lit(size)), " ")))
+    return F.when(c.isNotNull(), F.array_sort(F.array_distinct(runs[0])))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from corpusforge.functions.exact import verified
 from corpusforge.functions.text import normalized
+from corpusforge.operators.dedup import capped
 from corpusforge.plans.stage import staged
 from corpusforge.schema import example_rules, violations
 
@@ -132,14 +133,17 @@ def build(df: DataFrame, family: Column, exact_key: Column, text: Column, shape:
     """The build without limits on shares: each row's decision by set operations alone, at any size.
 
     ``df`` with ``decision``: first row of an exact key, then the first ``shape_cap`` of a shape within a family, then
-    the length; a null text is ``schema_invalid``.
+    the length; a null text is ``schema_invalid``.  Rows that agree in the whole order are decided alike.
+    First rows and shapes within the cap are found by aggregates that drop the others before the shuffle, and rows meet
+    them by their own place in the order, so a key or shape may hold any share of the rows.
     """
-    from pyspark.sql import Window
-
-    keyed = df.withColumns({"_key": exact_key, "_family": family, "_shape": shape, "_n": tokens, "_text": text, "_o": F.struct(*order)})
-    firsts = keyed.filter("_text is not null").groupBy(F.col("_key").alias("_k")).agg(F.min("_o").alias("_first"))
-    met = keyed.join(firsts, F.col("_key") == F.col("_k"), "left").withColumn("_new", F.coalesce(F.col("_o") == F.col("_first"), F.lit(False)))
-    rank = F.row_number().over(Window.partitionBy("_new", "_family", "_shape").orderBy("_o"))
-    ranked = met.withColumn("_rank", rank)
-    decision = F.when(F.col("_text").isNull(), "schema_invalid").when(~F.col("_new"), "exact_duplicate").when(F.col("_rank") > shape_cap, "near_duplicate").when(F.coalesce("_n", F.lit(0)) > context, "exceeds_context").otherwise("accepted")
-    return ranked.withColumn("decision", decision).drop("_key", "_family", "_shape", "_n", "_text", "_o", "_k", "_first", "_new", "_rank")
+    thin = {"_key": exact_key, "_family": family, "_shape": F.xxhash64(shape), "_shape2": F.md5(shape), "_n": tokens, "_null": text.isNull(), "_o": F.struct(*order)}
+    keyed = staged(df.withColumns(thin))
+    firsts = keyed.filter("not _null").groupBy("_key").agg(F.min("_o").alias("_o")).select("_o")
+    new = keyed.filter("not _null").join(firsts, "_o", "left_semi")
+    within = capped(new.select("_o", "_family", "_shape", "_shape2").distinct(), [F.col("_family"), F.col("_shape"), F.col("_shape2")], ["_o"], shape_cap)
+    known = firsts.select(F.col("_o").alias("_f"), F.lit(True).alias("_new")).join(within.select(F.col("_o").alias("_w"), F.lit(True).alias("_kept")), F.col("_f") == F.col("_w"), "left")
+    met = keyed.join(known, F.col("_o") == F.col("_f"), "left")
+    decision = F.when(F.col("_null"), "schema_invalid").when(F.col("_new").isNull(), "exact_duplicate").when(F.col("_kept").isNull(), "near_duplicate")
+    decided = met.withColumn("decision", decision.when(F.coalesce("_n", F.lit(0)) > context, "exceeds_context").otherwise("accepted"))
+    return decided.drop(*thin, "_f", "_new", "_w", "_kept")

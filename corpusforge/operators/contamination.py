@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusforge.functions.text import shape, shingles
+from corpusforge.plans.stage import staged
 
 
 def split_violations(df: DataFrame, key: Column, split: str, order: list[str]) -> DataFrame:
@@ -23,18 +24,30 @@ def split_violations(df: DataFrame, key: Column, split: str, order: list[str]) -
 def near_pairs(eval_rows: DataFrame, eval_id: str, eval_text: str, train: DataFrame, train_id: str, train_text: str, size: int, threshold: float) -> DataFrame:
     """Evaluation and training rows whose word shingles have a Jaccard index of ``threshold`` or more.
 
-    Columns ``eval_id, train_id, jaccard``.  An inverted index by shingle hash; the pairs' common shingles are counted
-    and the sets' sizes travel along, so texts move once.  Null texts match nothing.  Shingles that a great part of the
-    training rows share are met by few evaluation rows, and their pairs are summed before the shuffle.
+    Columns ``eval_id, train_id, jaccard``.  A pair needs a share of ``threshold`` of the evaluation row's shingles in
+    the training row, so one of its ``n - ceil(threshold n) + 1`` rarest shingles at least: only these, the rarest by
+    the training rows that hold them, look for candidates, and boilerplate that many rows share looks for none.
+    Training shingles that no evaluation row has are dropped before any pairing.  Candidates are settled by their sets.
+    Null texts match nothing; a threshold of 0 or less is refused.
     """
-
-    def index(df: DataFrame, id: str, text: str, tag: str) -> DataFrame:
-        sets = df.select(F.col(id).alias(f"{tag}_id"), shingles(F.col(text), size).alias("_s"))
-        return sets.select(f"{tag}_id", F.size("_s").alias(f"{tag}_n"), F.explode("_s").alias("_s")).select(f"{tag}_id", f"{tag}_n", F.xxhash64("_s").alias(f"{tag}_s"))
-
-    left, right = index(eval_rows, eval_id, eval_text, "eval"), index(train, train_id, train_text, "train")
-    common = left.join(right, F.col("eval_s") == F.col("train_s")).groupBy("eval_id", "train_id", "eval_n", "train_n").agg(F.count("*").alias("_both"))
-    scored = common.withColumn("jaccard", F.col("_both") / (F.col("eval_n") + F.col("train_n") - F.col("_both")))
+    if threshold <= 0:
+        raise ValueError("a threshold above 0, please")
+
+    def sets(df: DataFrame, id: str, text: str, tag: str) -> DataFrame:
+        hashes = F.transform(shingles(F.col(text), size), lambda x: F.xxhash64(x))
+        return df.filter(F.col(text).isNotNull()).select(F.col(id).alias(f"{tag}_id"), hashes.alias(f"{tag}_set")).distinct()
+
+    left, right = staged(sets(eval_rows, eval_id, eval_text, "eval")), staged(sets(train, train_id, train_text, "train"))
+    own = left.select("eval_id", F.size("eval_set").alias("n"), "eval_set", F.explode("eval_set").alias("s"))
+    asked = own.select(F.col("s").alias("_s")).distinct()
+    hits = staged(right.select("train_id", F.explode("train_set").alias("s")).join(asked, F.col("s") == F.col("_s"), "left_semi"))
+    counts = hits.groupBy(F.col("s").alias("_s")).agg(F.count("*").alias("often"))
+    rarest = Window.partitionBy("eval_id", "eval_set").orderBy("often", "s")
+    prefix = own.join(counts, F.col("s") == F.col("_s"), "left").withColumn("_at", F.row_number().over(rarest))
+    prefix = prefix.filter((F.col("_at") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1) & F.col("often").isNotNull())
+    pairs = prefix.select("eval_id", "s").join(hits, "s").select("eval_id", "train_id").distinct()
+    met = pairs.join(left, "eval_id").join(right, "train_id").withColumn("_both", F.size(F.array_intersect("eval_set", "train_set")))
+    scored = met.withColumn("jaccard", F.col("_both") / (F.size("eval_set") + F.size("train_set") - F.col("_both")))
     return scored.filter(F.col("jaccard") >= threshold).select("eval_id", "train_id", "jaccard")
 
 

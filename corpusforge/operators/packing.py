@@ -81,9 +81,9 @@ def batch_padding(df: DataFrame, batch: str, length: str) -> DataFrame:
     return df.groupBy(batch).agg(F.count("*").alias("rows"), F.max(length).alias("width"), (F.max(length) * F.count("*") - F.sum(length)).alias("padding"))
 
 
-def micro_batches(df: DataFrame, id: str, size: int, bucket: Column) -> DataFrame:
+def micro_batches(df: DataFrame, id: str, size: int) -> DataFrame:
     """``df`` with ``batch`` and ``slot``: consecutive rows in the order of ``id``; the last batch may be short."""
-    placed = ranked(df, [], id, [], "_at", bucket=bucket)
+    placed = ranked(df, [], id, [], "_at")
     return placed.withColumn("batch", F.floor(F.col("_at") / size)).withColumn("slot", F.col("_at") % size).drop("_at")
 
 

@@ -37,46 +37,49 @@ def stride(n: int, target: int, seed: int) -> tuple[int, int]:
     return step, seed % step
 
 
-def id_bucket(id: str) -> Column:
-    """Order-preserving buckets of hexadecimal ids."""
-    return F.substring(F.col(id), 1, 2)
-
-
 def stride_sample(df: DataFrame, id: str, targets: DataFrame, by: str, seed: int) -> DataFrame:
     """``target`` evenly spaced rows of each group in the order of ``id``; groups without a target give none.
 
     ``targets``: ``by, available, target``, one row per group (small).  The rows' places come from bucketed ranks, so a
-    group may be any part of the data.
+    group may be any part of the data.  A group with fewer rows than its ``available`` says comes out short; ``missed``
+    tells, and ``selection`` refuses.
     """
     wanted = targets.filter("target > 0").select(F.col(by).alias("_by"), "available", "target")
-    placed = ranked(df, [by], id, [], "_at", bucket=id_bucket(id)).join(wanted, F.col(by) == F.col("_by"))
+    placed = ranked(df, [by], id, [], "_at").join(wanted, F.col(by) == F.col("_by"))
     step = F.greatest(F.lit(1), F.floor(F.col("available") / F.col("target")))
     hit = (F.col("_at") - F.lit(seed) % step)
     return placed.filter((hit >= 0) & (hit % step == 0) & (F.floor(hit / step) < F.col("target"))).drop("_by", "available", "target", "_at")
 
 
+def missed(selected: DataFrame, targets: DataFrame, by: str) -> DataFrame:
+    """Groups with fewer selected rows than their target: ``by, target, selected``."""
+    got = selected.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("_n"))
+    met = targets.join(got, F.col(by) == F.col("_by"), "left").select(by, "target", F.coalesce("_n", F.lit(0)).alias("selected"))
+    return met.filter("selected < target")
+
+
 def gated_sample(df: DataFrame, id: str, by: str, targets: DataFrame, fits: Column, seed: int, factor: float = 1.15, extra: int = 5) -> DataFrame:
     """A stride sample with reserve (``factor`` times the target and ``extra``), of which rows that don't fit are dropped and the first ``target`` kept."""
     reserve = targets.withColumn("_target", F.col("target")).withColumn("target", F.least("available", F.floor(F.col("target") * factor).cast("bigint") + extra))
     kept = stride_sample(df, id, reserve, by, seed).filter(F.coalesce(fits, F.lit(False)))
     wanted = reserve.select(F.col(by).alias("_by"), "_target")
-    return ranked(kept, [by], id, [], "_at", bucket=id_bucket(id)).join(wanted, F.col(by) == F.col("_by")).filter("_at < _target").drop("_by", "_target", "_at")
+    return ranked(kept, [by], id, [], "_at").join(wanted, F.col(by) == F.col("_by")).filter("_at < _target").drop("_by", "_target", "_at")
 
 
-def quota_prefix(df: DataFrame, by: str, order: str, tokens: Column, quota: int, bucket: Column | None = None) -> DataFrame:
+def quota_prefix(df: DataFrame, by: str, order: str, tokens: Column, quota: int) -> DataFrame:
     """Rows of each group, in order, while the tokens before them are below the quota."""
-    return running(df, [by], order, [], tokens, "_before", bucket=bucket).filter(F.col("_before") < quota).drop("_before")
+    return running(df, [by], order, [], tokens, "_before").filter(F.col("_before") < quota).drop("_before")
 
 
 def shuffled(df: DataFrame, id: Column, seed: int, epoch: int, out: str = "position") -> DataFrame:
     """``df`` with each row's position in the epoch's order: by a hash of seed, epoch and id."""
     keyed = df.withColumn("_hash", digest(F.lit(str(seed)), F.lit(str(epoch)), id))
-    return ranked(keyed, [], "_hash", [], out, bucket=F.substring("_hash", 1, 2)).drop("_hash")
+    return ranked(keyed, [], "_hash", [], out).drop("_hash")
 
 
-def round_robin(df: DataFrame, order: str, slots: list[str], out: str, bucket: Column) -> DataFrame:
+def round_robin(df: DataFrame, order: str, slots: list[str], out: str) -> DataFrame:
     """``df`` with the slots dealt in turn, in order."""
-    dealt = ranked(df, [], order, [], "_at", bucket=bucket)
+    dealt = ranked(df, [], order, [], "_at")
     return dealt.withColumn(out, F.element_at(F.array(*[F.lit(s) for s in slots]), (F.col("_at") % len(slots) + 1).cast("int"))).drop("_at")
 
 

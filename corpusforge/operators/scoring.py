@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corpusforge.functions.calculator import call_refusal, canonical_json, run_call
+from corpusforge.functions.calculator import Refused, call_refusal, canonical, executed, parsed
 from corpusforge.functions.exact import number_matches
 from corpusforge.functions.text import first_call, last_number, strip, tagged
 from corpusforge.operators.render import answer_text, expected_tag
@@ -60,6 +64,31 @@ def final_answer_correct(answer_json: Column, tolerance: Column, final: Column)
     return F.when(expected.isNull(), F.lit(None).cast("boolean")).when(final.isNull(), F.lit(False)).when(numeric, close).otherwise(same)
 
 
+CALL_FACTS = T.StructType([T.StructField(n, t) for n, t in (("valid", T.BooleanType()), ("tool", T.StringType()), ("status", T.StringType()), ("same_arguments", T.BooleanType()))])
+
+
+@F.pandas_udf(CALL_FACTS)
+def _call_facts(calls: pd.Series, traced: pd.Series) -> pd.DataFrame:
+    def arguments(text: str | None) -> str | None:
+        try:
+            found = json.loads(text)
+            return canonical(found["arguments"]) if isinstance(found, dict) and found.get("arguments") is not None else None
+        except (ValueError, TypeError):
+            return None
+
+    def of(call: str | None, trace: str | None) -> tuple:
+        if call is None:
+            return False, None, None, False
+        try:
+            _, tool, own = parsed(call)
+        except Refused:
+            return False, None, executed(call)["status"], False
+        wanted = arguments(trace)
+        return True, tool, executed(call)["status"], wanted is not None and wanted == canonical(own)
+
+    return pd.DataFrame([of(*x) for x in zip(calls, traced)], columns=CALL_FACTS.names).astype(object)
+
+
 def interactions(df: DataFrame, generated: str) -> DataFrame:
     """``df`` with what a generated turn does: its routing, first call, that call's result, and the ending.
 
@@ -67,14 +96,12 @@ def interactions(df: DataFrame, generated: str) -> DataFrame:
     are null where no tool is required and false for missing or malformed calls.
     """
     text, required = F.col(generated), F.coalesce(F.col("tool_required"), F.lit(False))
-    read = df.withColumn("_call", first_call(text)).withColumn("_refusal", call_refusal(F.col("_call"))).withColumn("_result", run_call(F.col("_call")))
-    parsed = F.coalesce(F.col("_refusal") == "", F.lit(False))
     first = F.try_element_at("tool_traces", F.lit(1))
-    read = read.withColumn("emitted_call", F.col("_call").isNotNull()).withColumn("call_parsed", parsed)
-    name = F.col("call_parsed") & F.coalesce(F.get_json_object("_call", "$.tool").eqNullSafe(F.col("tool_name")), F.lit(False))
-    read = read.withColumn("_want", canonical_json(F.get_json_object(first["call"], "$.arguments"))).withColumn("_have", canonical_json(F.get_json_object("_call", "$.arguments")))
-    arguments = name & F.coalesce(F.col("_want") == F.col("_have"), F.lit(False))
-    success = F.when(F.col("emitted_call"), F.coalesce(F.col("_result.status") == "success", F.lit(False)))
+    read = df.withColumn("_call", first_call(text)).withColumn("_facts", _call_facts(F.col("_call"), first["call"]))
+    read = read.withColumn("emitted_call", F.col("_call").isNotNull()).withColumn("call_parsed", F.col("_facts.valid"))
+    name = F.col("call_parsed") & F.coalesce(F.col("_facts.tool").eqNullSafe(F.col("tool_name")), F.lit(False))
+    arguments = name & F.col("_facts.same_arguments")
+    success = F.when(F.col("emitted_call"), F.coalesce(F.col("_facts.status") == "success", F.lit(False)))
     final = F.coalesce(tagged(text, "final"), F.lit(None).cast("string"))
     ending = F.when(text.contains("<final>"), "final").when(text.contains("<unsupported>"), "unsupported").when(text.contains("<error>"), "error")
     out = expected_tag(read).withColumns({
@@ -88,10 +115,10 @@ def interactions(df: DataFrame, generated: str) -> DataFrame:
         "missing_call": required & ~F.col("emitted_call"),
         "fabricated_result": F.coalesce(text.contains("<tool_result>"), F.lit(False)),
     })
-    told = F.coalesce((F.col("_result.status") == F.get_json_object(first["result"], "$.status")) & (F.col("ending") == "error"), F.lit(False))
+    told = F.coalesce((F.col("_facts.status") == F.get_json_object(first["result"], "$.status")) & (F.col("ending") == "error"), F.lit(False))
     done = F.when(F.col("expected_value").isNull(), F.col("arguments_correct") & told).otherwise(F.col("arguments_correct") & F.coalesce("execution_successful", F.lit(False)) & F.coalesce("final_correct", F.lit(False)))
     out = out.withColumn("end_to_end", F.when(required, done)).withColumn("ending_correct", F.when(F.col("expected_tag").isNotNull(), F.coalesce(F.col("ending") == F.col("expected_tag"), F.lit(False))))
-    return out.drop("_call", "_refusal", "_result", "_want", "_have")
+    return out.drop("_call", "_facts")
 
 
 def interaction_rates() -> dict[str, tuple[Column, Column]]:

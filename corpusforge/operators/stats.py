@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusforge.plans.digests import ordered_digest
+
 
 def totals(df: DataFrame, text: str, tokens: str, context: int = 1024) -> DataFrame:
     """One row: examples, tokens, bytes, mean, median and greatest length, share beyond the context.  Null tokens count 0; zeros for no rows."""
@@ -54,11 +56,11 @@ def weighted_means(df: DataFrame, value: str, weight: str, by: str) -> DataFrame
 
 
 def set_digest(df: DataFrame, id: str, by: list[str] = []) -> DataFrame:  # noqa: B006
-    """SHA-256 of the sorted ids joined by line feeds, per group: ``digest, n``; the identity of a set of records.
+    """SHA-256 of the sorted ids, one per line, per group: ``digest, n``; the identity of a set of records.
 
-    The ids of one group have to meet in one row (2 GB at most), as the identity is defined on their sequence.
+    Streamed in order (``plans.digests``); null ids are left out.
     """
-    return df.groupBy(*by).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(id)), "\n"), 256).alias("digest"), F.count(id).alias("n"))
+    return ordered_digest(df, by, F.col(id), F.col(id))
 
 
 def log_drift(left: DataFrame, right: DataFrame, step: str, value: str) -> DataFrame:

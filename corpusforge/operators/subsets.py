@@ -2,46 +2,47 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusforge.functions.calculator import canonical
+from corpusforge.plans.digests import ordered_digest
 
 
 def subset_manifest(df: DataFrame, id: str, split: str, tokens: str, counted: list[str], distinct: list[str] = [], flag: str | None = None) -> DataFrame:  # noqa: B006
     """One row per split: records, tokens, the ids' digest, a map of counts for each column of ``counted``, numbers of distinct values, and how many have ``flag``.
 
-    The digest is of the sorted ids, one per line; everything else is aggregated before the shuffle.
+    The digest is of the sorted ids, one per line, streamed in order; everything else is aggregated before the shuffle.
     """
+    digests = ordered_digest(df, [split], F.col(id), F.col(id)).select(F.col(split).alias("_d"), F.col("digest").alias("ids_sha256"))
     base = df.groupBy(split).agg(
         F.count("*").alias("records"),
         F.coalesce(F.sum(tokens), F.lit(0)).alias("tokens"),
-        F.sha2(F.array_join(F.array_sort(F.collect_list(id)), "\n"), 256).alias("ids_sha256"),
         *[F.countDistinct(c).alias(f"distinct_{c}") for c in distinct],
         *([F.count_if(F.coalesce(F.col(flag), F.lit(False))).alias(f"with_{flag}")] if flag else []),
     )
+    base = base.join(digests, base[split].eqNullSafe(F.col("_d")), "left").drop("_d")
     for c in counted:
         counts = df.filter(F.col(c).isNotNull()).groupBy(F.col(split).alias("_s"), c).count().groupBy("_s").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(c), F.col("count"))))).alias(f"{c}_counts"))
         base = base.join(counts, base[split].eqNullSafe(F.col("_s")), "left").drop("_s")
     return base
 
 
-def representation_digest(df: DataFrame, id: str, input_ids: str, labels: str, by: list[str]) -> DataFrame:
-    """SHA-256 over the canonical JSON of ``(id, input_ids, labels)`` in the order of ids: ``by, representation_sha256, n``.
+@F.pandas_udf(T.StringType())
+def _represented(ids: pd.Series, inputs: pd.Series, labels: pd.Series) -> pd.Series:
+    return pd.Series([canonical({"example_id": i, "input_ids": [int(x) for x in a], "labels": [int(x) for x in b]}) for i, a, b in zip(ids, inputs, labels)])
 
-    The records' own hashes are made where they are; one task per group then only joins hashes in order, so texts and
-    token lists never meet in one task.
-    """
 
-    @F.pandas_udf("string")
-    def own(ids: pd.Series, inputs: pd.Series, targets: pd.Series) -> pd.Series:
-        return pd.Series([hashlib.sha256(canonical([i, [int(x) for x in a], [int(x) for x in b]]).encode()).hexdigest() for i, a, b in zip(ids, inputs, targets)])
+def representation_digest(df: DataFrame, id: str, input_ids: str, labels: str, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """SHA-256 of the canonical JSON list of ``example_id, input_ids, labels`` in the order of ids: ``by, representation_sha256, n``.
 
-    hashed = df.select(*by, F.col(id).alias("_id"), own(F.col(id), F.col(input_ids), F.col(labels)).alias("_hash"))
-    return hashed.groupBy(*by).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_id", "_hash"))), lambda x: x["_hash"]), "\n"), 256).alias("representation_sha256"), F.count("*").alias("n"))
+    The records' JSON is made where they are; the hash of a group streams over them.  Replay records have their ids as
+    labels.  No records give the hash of an empty list (without ``by``).
+    """
+    item = _represented(F.col(id), F.col(input_ids), F.col(labels))
+    return ordered_digest(df, by, F.col(id), item, "[", ",", "]").withColumnRenamed("digest", "representation_sha256")
 
 
 def union_identity(manifest: DataFrame, split: str, digests: list[str]) -> DataFrame:

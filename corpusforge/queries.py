@@ -216,44 +216,67 @@ def _train(spark: SparkSession, folder: str) -> DataFrame:
     return records(spark, folder).filter("split = 'train'")
 
 
+def _near(rows: DataFrame, cases: DataFrame) -> DataFrame:
+    return contamination.near_pairs(cases, "id", "prompt", rows.filter("split = 'train'"), "example_id", "prompt", 3, 0.5)
+
+
 @query(_NEAR)
 def shingle_jaccard_contamination(spark: SparkSession, folder: str) -> DataFrame:
-    return contamination.near_pairs(table(spark, folder, "phase0_v1"), "id", "prompt", _train(spark, folder), "example_id", "prompt", 3, 0.5)
+    return _near(records(spark, folder), table(spark, folder, "phase0_v1"))
+
 
+_SHAPES = f"""WITH {_REC}, t AS (SELECT {_shape_sql('prompt')} AS s, arg_min(prompt, example_id) AS train_text FROM rec
+    WHERE split = 'train' AND prompt IS NOT NULL GROUP BY 1) SELECT id AS eval_id, train_text FROM phase0_v1 JOIN t ON {_shape_sql('prompt')} = s"""
 
-_SHAPES = f"WITH {_REC}, t AS (SELECT {_shape_sql('prompt')} AS s, arg_min(prompt, example_id) AS train_text FROM rec WHERE split = 'train' AND prompt IS NOT NULL GROUP BY 1) SELECT id AS eval_id, train_text FROM phase0_v1 JOIN t ON {_shape_sql('prompt')} = s"
+
+def _same_shape(rows: DataFrame, cases: DataFrame) -> DataFrame:
+    return contamination.shape_pairs(cases, "id", "prompt", rows.filter("split = 'train'"), "prompt", "example_id")
 
 
 @query(_SHAPES)
 def structural_contamination(spark: SparkSession, folder: str) -> DataFrame:
-    return contamination.shape_pairs(table(spark, folder, "phase0_v1"), "id", "prompt", _train(spark, folder), "prompt", "example_id")
+    return _same_shape(records(spark, folder), table(spark, folder, "phase0_v1"))
 
 
 def _violations_sql(key: str) -> str:
-    return f"WITH {_REC} SELECT example_id, key, split, first_split FROM (SELECT example_id, split, {key} AS key, first_value(split) OVER (PARTITION BY {key} ORDER BY example_id) AS first_split FROM rec) WHERE split IS DISTINCT FROM first_split"
+    return f"""WITH {_REC} SELECT example_id, key, split, first_split FROM
+        (SELECT example_id, split, {key} AS key, first_value(split) OVER (PARTITION BY {key} ORDER BY example_id) AS first_split FROM rec) WHERE split IS DISTINCT FROM first_split"""
 
 
 _DERIVATION = "coalesce(generator_id, '') || '/' || coalesce(family_id, '') || '/' || coalesce(derivation_id, '')"
 
 
+def _torn(rows: DataFrame, key: Column) -> DataFrame:
+    return contamination.split_violations(rows, key, "split", ["example_id"]).select("example_id", "key", "split", "first_split")
+
+
+def _derivation() -> Column:
+    return F.concat_ws("/", *[F.coalesce(c, F.lit("")) for c in ("generator_id", "family_id", "derivation_id")])
+
+
 @query(_violations_sql(_DERIVATION))
 def split_isolation(spark: SparkSession, folder: str) -> DataFrame:
-    key = F.concat_ws("/", *[F.coalesce(c, F.lit("")) for c in ("generator_id", "family_id", "derivation_id")])
-    return contamination.split_violations(records(spark, folder), key, "split", ["example_id"]).select("example_id", "key", "split", "first_split")
+    return _torn(records(spark, folder), _derivation())
 
 
 @query(_violations_sql(_KEY_SQL))
 def cross_split_dups(spark: SparkSession, folder: str) -> DataFrame:
-    return contamination.split_violations(records(spark, folder), _key(), "split", ["example_id"]).select("example_id", "key", "split", "first_split")
+    return _torn(records(spark, folder), _key())
+
 
+_SHARED_FIELDS = ["generator_id", "family_id", "template_id"]
+_SHARED = f"WITH {_REC} " + " UNION ALL ".join(
+    f"(SELECT '{c}' AS field, {c} AS value FROM rec WHERE split = 'test' AND {c} IS NOT NULL INTERSECT SELECT '{c}', {c} FROM rec WHERE split = 'train')" for c in _SHARED_FIELDS
+)
 
-_SHARED = f"WITH {_REC} " + " UNION ALL ".join(f"(SELECT '{c}' AS field, {c} AS value FROM rec WHERE split = 'test' AND {c} IS NOT NULL INTERSECT SELECT '{c}', {c} FROM rec WHERE split = 'train')" for c in ("generator_id", "family_id", "template_id"))
+
+def _shared(rows: DataFrame) -> DataFrame:
+    return contamination.shared_values(rows.filter("split = 'test'"), rows.filter("split = 'train'"), _SHARED_FIELDS)
 
 
 @query(_SHARED)
 def shared_ids(spark: SparkSession, folder: str) -> DataFrame:
-    rows = records(spark, folder)
-    return contamination.shared_values(rows.filter("split = 'test'"), rows.filter("split = 'train'"), ["generator_id", "family_id", "template_id"])
+    return _shared(records(spark, folder))
 
 
 _CHECKS = {"split_isolation": _violations_sql(_DERIVATION), "cross_split_duplicates": _violations_sql(_KEY_SQL), "near_pairs": _NEAR, "shape_pairs": _SHAPES, "shared_ids": _SHARED}
@@ -261,8 +284,11 @@ _CHECKS = {"split_isolation": _violations_sql(_DERIVATION), "cross_split_duplica
 
 @query(" UNION ALL ".join(f"SELECT '{name}' AS \"check\", count(*) AS violations, count(*) = 0 AS clean FROM ({sql})" for name, sql in _CHECKS.items()))
 def contamination_report(spark: SparkSession, folder: str) -> DataFrame:
-    checks = zip(_CHECKS, (split_isolation, cross_split_dups, shingle_jaccard_contamination, structural_contamination, shared_ids))
-    return contamination.report({name: f(spark, folder) for name, f in checks})
+    """All checks over records that are gathered once."""
+    cases = table(spark, folder, "phase0_v1")
+    rows = staged(records(spark, folder).withColumn("_exact", _key()).select("example_id", "prompt", "split", "derivation_id", "_exact", *_SHARED_FIELDS))
+    found = (_torn(rows, _derivation()), _torn(rows, F.col("_exact")), _near(rows, cases), _same_shape(rows, cases), _shared(rows))
+    return contamination.report(dict(zip(_CHECKS, found)))
 
 
 # --- statistics ------------------------------------------------------------------------------------------------------
@@ -361,7 +387,7 @@ def oversample_length_gate(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {_REC} SELECT example_id FROM (SELECT example_id, coalesce(sum(tokens) OVER (PARTITION BY category ORDER BY example_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM rec) WHERE before < 2000")
 def token_quota_prefix(spark: SparkSession, folder: str) -> DataFrame:
-    return sampling.quota_prefix(records(spark, folder), "category", "example_id", F.col("tokens"), 2000, sampling.id_bucket("example_id")).select("example_id")
+    return sampling.quota_prefix(records(spark, folder), "category", "example_id", F.col("tokens"), 2000).select("example_id")
 
 
 _POSITION = "row_number() OVER (ORDER BY sha256('17' || chr(31) || '2' || chr(31) || example_id)) - 1"
@@ -374,7 +400,7 @@ def epoch_order(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {_REC} SELECT example_id, ['red', 'green', 'blue'][(row_number() OVER (ORDER BY example_id) - 1) % 3 + 1] AS slot FROM rec")
 def round_robin(spark: SparkSession, folder: str) -> DataFrame:
-    return sampling.round_robin(records(spark, folder).select("example_id"), "example_id", ["red", "green", "blue"], "slot", sampling.id_bucket("example_id"))
+    return sampling.round_robin(records(spark, folder).select("example_id"), "example_id", ["red", "green", "blue"], "slot")
 
 
 @query("SELECT * FROM (SELECT id, category, difficulty FROM phase0_v1 ORDER BY id LIMIT 50)")
@@ -490,7 +516,7 @@ def dynamic_pad(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {_REC}, k AS (SELECT example_id, row_number() OVER (ORDER BY example_id) - 1 AS k FROM rec) SELECT example_id, k // 32 AS batch, k % 32 AS slot FROM k")
 def micro_batches(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.micro_batches(records(spark, folder).select("example_id"), "example_id", 32, sampling.id_bucket("example_id"))
+    return packing.micro_batches(records(spark, folder).select("example_id"), "example_id", 32)
 
 
 @query("SELECT range AS step, CASE WHEN range < 100 THEN 0.001 * (range + 1) / 100 ELSE 0.0001 + 0.5 * (0.001 - 0.0001) * (1 + cos(pi() * least(1.0, (range - 100) / 900.0))) END AS rate FROM range(1000)")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,7 +32,7 @@ def read_manifested(spark: SparkSession, path: str, manifest: DataFrame, split:
     return rows.withColumn("split", F.when(F.col("split") == split, F.col("split")).otherwise(F.raise_error(F.lit("a row of another split"))))
 
 
-def write_shards(df: DataFrame, path: str, name: str, split: str, id: str, bucket: Column, rows_per_shard: int = 50_000) -> DataFrame:
+def write_shards(df: DataFrame, path: str, name: str, split: str, id: str, rows_per_shard: int = 50_000) -> DataFrame:
     """Write exactly ``rows_per_shard`` rows a file (the last one fewer), sorted by id, for each split; the manifest is returned.
 
     Row places come from bucketed ranks; each file is one task that writes through the executor's file system, so the
@@ -40,7 +40,7 @@ def write_shards(df: DataFrame, path: str, name: str, split: str, id: str, bucke
     Rows with a null split go to the split ``none``.
     """
     columns = df.columns
-    placed = ranked(df.withColumn("_split", F.coalesce(F.col(split), F.lit("none"))), ["_split"], id, [], "_at", bucket=bucket)
+    placed = ranked(df.withColumn("_split", F.coalesce(F.col(split), F.lit("none"))), ["_split"], id, [], "_at")
     lined = placed.select("_split", F.floor(F.col("_at") / rows_per_shard).cast("int").alias("_shard"), "_at", F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("_line"))
 
     def write(rows: pd.DataFrame) -> pd.DataFrame:

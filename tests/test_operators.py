@@ -40,9 +40,9 @@ def test_running_sums_equal_a_window(spark, buckets):
 
 def test_ranks_without_groups_and_rows(spark):
     df = spark.createDataFrame([(f"{k:04x}",) for k in range(300)], "id string")
-    found = ranked(df.repartition(5), [], "id", [], "n", bucket=sampling.id_bucket("id")).collect()
+    found = ranked(df.repartition(5), [], "id", [], "n").collect()
     assert {x["id"]: x["n"] for x in found} == {f"{k:04x}": k for k in range(300)}
-    assert ranked(df.limit(0), [], "id", [], "n", bucket=sampling.id_bucket("id")).count() == 0
+    assert ranked(df.limit(0), [], "id", [], "n").count() == 0
 
 
 # --- rules ----

@@ -7,7 +7,6 @@ from corpusforge.functions import tokenizer
 from corpusforge.functions.ids import derive_id
 from corpusforge.operators import generate, manifests
 from corpusforge.operators.build import ground_truth
-from corpusforge.operators.sampling import id_bucket
 from corpusforge.schema import CASE_SCHEMA, CATEGORIES, example_rules, violations
 from corpusforge.sources import shards
 from corpusforge.streaming import records as streams
@@ -29,7 +28,7 @@ def test_generated_records_hold(spark):
 
 
 def test_shards_round_trip(spark, corpus, tmp_path):
-    manifest = shards.write_shards(corpus, str(tmp_path / "s"), "set", "split", "example_id", id_bucket("example_id"), 50)
+    manifest = shards.write_shards(corpus, str(tmp_path / "s"), "set", "split", "example_id", 50)
     rows = manifest.collect()
     told = spark.createDataFrame(rows, manifest.schema)
     counts = {r["split"]: r["count"] for r in corpus.groupBy("split").count().collect()}
