@@ -51,10 +51,11 @@ def accept(df: DataFrame, by: str, order: str, columns: dict[str, str], template
     remembered, until nothing changes - after n rounds the first n groups are settled, mostly all after two or three.
     ``columns`` names the frame's ``family, template, exact_key, shape, tokens, reject`` columns; ``reject`` is a
     reason found before (null for none).  Nulls are values of their own, null tokens count 0.  ``family_tokens`` and
-    ``quota`` may be columns with one value in each group; null is no limit.
+    ``quota`` may be columns with one value in each group; null is no limit.  Optional columns ``reserved`` (boolean: the
+    exact key is another set's) and ``seeded`` (how often the family's shape counts as met before) come from ``seeded``.
     """
-    names = ["family", "template", "exact_key", "shape", "tokens", "reject"]
-    given = {n: F.col(columns[n]) for n in names}
+    names = ["family", "template", "exact_key", "shape", "tokens", "reject", "reserved", "seeded"]
+    given = {n: F.col(columns[n]) if n in columns else F.lit(0 if n == "seeded" else False) for n in names}
     given |= {n: F.substring(F.unhex(F.sha2(given[n].cast("string"), 256)), 1, 16) for n in ("exact_key", "shape")}
     given |= {n: (c if isinstance(c, Column) else F.lit(c)).cast("long") for n, c in (("family_tokens", family_tokens), ("quota", quota))}
     thin = staged(df.select(F.col(by).alias("by"), F.col(order).alias("order"), *[c.alias(n) for n, c in given.items()]))
@@ -65,7 +66,7 @@ def accept(df: DataFrame, by: str, order: str, columns: dict[str, str], template
         seen, shared = set(across["exact_key"][across["taken"]]), set(across["exact_key"])
         most, family_most = (math.inf if pd.isna(rows[n].iloc[0]) else int(rows[n].iloc[0]) for n in ("quota", "family_tokens"))
         total, decisions, kept = 0, [], []
-        for family, template, key, shape, tokens, reject in zip(*(rows[n] for n in names)):
+        for family, template, key, shape, tokens, reject, reserved, before in zip(*(rows[n] for n in names)):
             tokens = 0 if pd.isna(tokens) else int(tokens)
             kept.append(False)
             if total >= most:
@@ -78,15 +79,15 @@ def accept(df: DataFrame, by: str, order: str, columns: dict[str, str], template
             if n >= grace and (t + 1) / (n + 1) > template_share:
                 decisions.append("diversity_cap")
                 continue
-            if key in seen:
+            if reserved or key in seen:
                 decisions.append("exact_duplicate")
                 continue
             seen.add(key)
             kept[-1] = key in shared
-            if shapes.get((family, shape), 0) >= shape_cap:
+            if shapes.get((family, shape), before) >= shape_cap:
                 decisions.append("near_duplicate")
                 continue
-            shapes[family, shape] = shapes.get((family, shape), 0) + 1
+            shapes[family, shape] = shapes.get((family, shape), before) + 1
             if tokens > context:
                 decisions.append("exceeds_context")
                 continue
@@ -115,6 +116,18 @@ def accept(df: DataFrame, by: str, order: str, columns: dict[str, str], template
         part, known = (x.join(again, F.col("by").eqNullSafe(F.col("_by")), "left_semi") for x in (thin, across))
 
 
+def seeded(df: DataFrame, family: str, exact_key: str, shape: str, reserved: DataFrame) -> DataFrame:
+    """``df`` with ``reserved`` and ``seeded`` for ``accept``: evaluation records were there first.
+
+    ``reserved``: their ``exact_key``, and ``family, shape`` pairs, each of which counts as one occurrence.  Nulls are
+    values of their own.
+    """
+    keys = reserved.select(F.col("exact_key").alias("_k")).distinct().withColumn("reserved", F.lit(True))
+    shapes = reserved.select(F.col("family").alias("_f"), F.col("shape").alias("_s")).distinct().withColumn("seeded", F.lit(1))
+    met = df.join(keys, F.col(exact_key).eqNullSafe(F.col("_k")), "left").join(shapes, F.col(family).eqNullSafe(F.col("_f")) & F.col(shape).eqNullSafe(F.col("_s")), "left")
+    return met.withColumns({"reserved": F.coalesce("reserved", F.lit(False)), "seeded": F.coalesce("seeded", F.lit(0))}).drop("_k", "_f", "_s")
+
+
 def funnel(df: DataFrame, decision: str, by: list[str] = [], beyond: bool = False) -> DataFrame:  # noqa: B006
     """Rows per decision, a column for each reason and ``generated`` for all but those beyond a quota, which ``beyond`` counts in ``beyond_quota``."""
     counts = [F.count_if(F.col(decision) == r).alias(r if r == "accepted" else f"rejected_{r}") for r in REASONS]

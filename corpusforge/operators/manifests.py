@@ -41,3 +41,21 @@ def identity(manifest: DataFrame) -> str:
 
     rows = manifest.orderBy("split", "shard_index").select("sha256").collect()  # one row a shard file
     return hashlib.sha256("\n".join(r["sha256"] for r in rows).encode()).hexdigest()
+
+
+def declared_dependencies(toml: str) -> dict[str, list[str]]:
+    """Names a project's TOML text declares, in their normal form: ``runtime`` and ``dev`` (all optional groups), sorted."""
+    import re
+    import tomllib
+
+    project = tomllib.loads(toml).get("project", {})
+    name = lambda x: re.sub("[-_.]+", "-", re.match(r"[A-Za-z0-9._-]+", x.strip()).group()).lower()
+    groups = project.get("optional-dependencies", {})
+    return {"runtime": sorted({name(x) for x in project.get("dependencies", [])}), "dev": sorted({name(x) for of in groups.values() for x in of})}
+
+
+def artifact_outcomes(manifest: DataFrame, found: DataFrame) -> DataFrame:
+    """Recorded artifacts (``file, sha256``) against files: ``file, outcome`` of ``ok, missing, hash``; files nobody recorded don't count."""
+    there = found.groupBy(F.col("file").alias("_f")).agg(F.min("sha256").alias("_is"))
+    met = manifest.join(there, F.col("file") == F.col("_f"), "left")
+    return met.select("file", F.when(F.col("_f").isNull(), "missing").when(F.lower("sha256") != F.col("_is"), "hash").otherwise("ok").alias("outcome"))

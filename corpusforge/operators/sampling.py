@@ -58,12 +58,24 @@ def missed(selected: DataFrame, targets: DataFrame, by: str) -> DataFrame:
     return met.filter("selected < target")
 
 
+def _reserved(df: DataFrame, id: str, by: str, targets: DataFrame, seed: int, factor: float, extra: int) -> DataFrame:
+    """A stride sample with reserve, at most all there is, with ``_target``."""
+    reserve = targets.withColumn("_target", F.col("target")).withColumn("target", F.least("available", F.floor(F.col("target") * factor).cast("bigint") + extra))
+    wanted = reserve.select(F.col(by).alias("_by"), "_target").filter("_target > 0")
+    return stride_sample(df, id, reserve, by, seed).join(wanted, F.col(by) == F.col("_by")).drop("_by")
+
+
 def gated_sample(df: DataFrame, id: str, by: str, targets: DataFrame, fits: Column, seed: int, factor: float = 1.15, extra: int = 5) -> DataFrame:
     """A stride sample with reserve (``factor`` times the target and ``extra``), of which rows that don't fit are dropped and the first ``target`` kept."""
-    reserve = targets.withColumn("_target", F.col("target")).withColumn("target", F.least("available", F.floor(F.col("target") * factor).cast("bigint") + extra))
-    kept = stride_sample(df, id, reserve, by, seed).filter(F.coalesce(fits, F.lit(False)))
-    wanted = reserve.select(F.col(by).alias("_by"), "_target")
-    return ranked(kept, [by], id, [], "_at").join(wanted, F.col(by) == F.col("_by")).filter("_at < _target").drop("_by", "_target", "_at")
+    kept = _reserved(df, id, by, targets, seed, factor, extra).filter(F.coalesce(fits, F.lit(False)))
+    return ranked(kept, [by], id, [], "_at").filter("_at < _target").drop("_target", "_at")
+
+
+def passed_over(df: DataFrame, id: str, by: str, targets: DataFrame, fits: Column, seed: int, factor: float = 1.15, extra: int = 5) -> DataFrame:
+    """``by, n``: rows that ``gated_sample`` meets before it has its target and drops as they don't fit."""
+    ok = F.coalesce(fits, F.lit(False))
+    met = running(_reserved(df, id, by, targets, seed, factor, extra), [by], id, [], ok.cast("int"), "_kept")
+    return met.filter(~ok & (F.col("_kept") < F.col("_target"))).groupBy(by).agg(F.count("*").alias("n"))
 
 
 def quota_prefix(df: DataFrame, by: str, order: str, tokens: Column, quota: int) -> DataFrame:

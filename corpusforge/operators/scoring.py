@@ -28,6 +28,23 @@ def accuracy(df: DataFrame, correct: str, by: str) -> DataFrame:
     return df.rollup(by).agg(F.count("*").alias("cases"), F.count_if(F.coalesce(F.col(correct), F.lit(False))).alias("correct")).withColumn("accuracy", F.coalesce(F.try_divide("correct", "cases"), F.lit(0.0)))
 
 
+def joined(cases: DataFrame, generations: DataFrame, id: str, generated: str) -> DataFrame:
+    """``cases`` with the text generated for each, by id; a case without one keeps a null and counts as wrong.
+
+    Of several texts for an id the least is taken, so a case stays one row.
+    """
+    one = generations.groupBy(F.col(id).alias("_id")).agg(F.min(generated).alias(generated))
+    return cases.join(one, F.col(id) == F.col("_id"), "left").drop("_id")
+
+
+def capability_suites(cases: DataFrame, generations: DataFrame, id: str, suite: str, by: str, generated: str = "generated") -> DataFrame:
+    """Accuracy of each suite, per group and overall (null group), in one pass: ``suite, by, cases, correct, accuracy``."""
+    scored = capability(joined(cases, generations, id, generated), generated)
+    right = F.count_if(F.coalesce("correct", F.lit(False)))
+    sums = scored.groupingSets([[F.col(suite), F.col(by)], [F.col(suite)]], suite, by).agg(F.count("*").alias("cases"), right.alias("correct"))
+    return sums.withColumn("accuracy", F.col("correct") / F.col("cases"))
+
+
 def tool_format(df: DataFrame, generated: str) -> DataFrame:
     """``df`` with ``emitted`` (a tool call is there), ``valid`` (it is well formed) and ``name_match``; nothing is run."""
     text = tagged(F.col(generated), "tool_call")

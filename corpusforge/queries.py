@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,7 @@ from corpusforge.functions.ids import derive_id, derive_seed, hash_split
 from corpusforge.functions.text import first_call, first_tag, last_number, normalized, quality_counts, shape, tagged
 from corpusforge.functions.words import clean_category, clean_name, token_count
 from corpusforge.operators import build as building
-from corpusforge.operators import contamination, dedup, dialogue, generate, manifests, packing, render, sampling, scoring, stats, subsets
+from corpusforge.operators import contamination, dedup, dialogue, generate, manifests, packing, render, sampling, scoring, selection, stats, subsets
 from corpusforge.plans.stage import staged
 from corpusforge.schema import CATEGORIES, case_rules, example_rules, violations
 from corpusforge.sources.tables import table
@@ -55,6 +56,7 @@ _SEED_SQL = "(('0x' || substr(sha256({0}), 1, 16))::UBIGINT & 922337203685477580
 _REC = f"""rec AS (SELECT example_id, min(prompt) AS prompt, min(lower({_strip_sql("split")})) AS split, min(lower({_strip_sql("family_id")})) AS family_id,
     min(template_id) AS template_id, min({_category_sql("category")}) AS category, min(generator_id) AS generator_id, min(derivation_id) AS derivation_id,
     min(answer_json) AS answer_json, min(answer_kind) AS answer_kind, min(tolerance) AS tolerance, min(expected_behavior) AS expected_behavior,
+    min(difficulty) AS difficulty, min(tool_required) AS tool_required, min(synthetic) AS synthetic, min(tool_name) AS tool_name,
     coalesce(max(token_count), 0) AS tokens FROM examples GROUP BY example_id)"""
 
 
@@ -304,12 +306,22 @@ def split_composition(spark: SparkSession, folder: str) -> DataFrame:
     return records(spark, folder).groupBy("split").agg(F.count("*").alias("examples"), F.sum("tokens").alias("tokens"))
 
 
-_DIMENSIONS = {"category": "category", "behavior": "expected_behavior", "family": "generator_id || '/' || family_id", "answer_kind": "answer_kind"}
+_DIMENSIONS = {
+    "category": "category",
+    "difficulty": "difficulty",
+    "tool_required": "CASE WHEN tool_required THEN 'tool_required' ELSE 'no_tool' END",
+    "synthetic": "CASE WHEN synthetic THEN 'synthetic' ELSE 'external' END",
+    "family": "generator_id || '/' || family_id",
+    "tool_name": "tool_name",
+    "behavior": "expected_behavior",
+    "answer_kind": "answer_kind",
+}
+_MORE = ["difficulty", "tool_required", "synthetic", "tool_name"]
 
 
 @query(f"WITH {_REC} " + " UNION ALL ".join(f"SELECT '{d}' AS dimension, {e} AS value, count(*) AS examples, sum(tokens) AS tokens FROM rec WHERE {e} IS NOT NULL GROUP BY 2" for d, e in _DIMENSIONS.items()))
 def distributions(spark: SparkSession, folder: str) -> DataFrame:
-    return stats.distributions(records(spark, folder), {d: F.expr(e) for d, e in _DIMENSIONS.items()}, "tokens")
+    return stats.distributions(records(spark, folder, *_MORE), {d: F.expr(e) for d, e in _DIMENSIONS.items()}, "tokens")
 
 
 @query(f"""WITH {_REC}, r AS (SELECT category, tokens, row_number() OVER (PARTITION BY category ORDER BY tokens) - 1 AS k, count(*) OVER (PARTITION BY category) AS n FROM rec)
@@ -329,11 +341,47 @@ def log_event_rollup(spark: SparkSession, folder: str) -> DataFrame:
     return windowed_counts(table(spark, folder, "events"), "ts", "1 hour", ["event_type"], "value")
 
 
-@query("""WITH a AS (SELECT user_id AS s, max(value) AS v FROM events WHERE event_type = 'click' GROUP BY 1), b AS (SELECT user_id AS s, max(value) AS v FROM events WHERE event_type = 'view' GROUP BY 1)
-    SELECT count(*) FILTER (a.s IS NOT NULL AND b.s IS NOT NULL) AS common_steps, count(*) FILTER (a.s IS NULL OR b.s IS NULL) AS single_steps, max(abs(a.v - b.v)) AS greatest_difference FROM a FULL JOIN b ON a.s = b.s""")
+@query("""WITH e AS (SELECT *, event_id % 2 = 0 AS l, event_id // 2 AS step FROM events), a AS (SELECT step AS s, max(value) AS v FROM e WHERE l GROUP BY 1), b AS (SELECT step AS s, max(value) AS v FROM e WHERE NOT l GROUP BY 1)
+    SELECT count(*) FILTER (a.s IS NOT NULL AND b.s IS NOT NULL) AS common_steps, count(*) FILTER (a.s IS NULL OR b.s IS NULL) AS single_steps, max(abs(a.v - b.v)) AS greatest_difference,
+    count(*) FILTER (a.s IS NOT NULL AND b.s IS NOT NULL) > 0 AND max(abs(a.v - b.v)) <= 1e-6 AS resumed FROM a FULL JOIN b ON a.s = b.s""")
 def resume_comparison(spark: SparkSession, folder: str) -> DataFrame:
-    log = table(spark, folder, "events")
-    return stats.log_drift(log.filter("event_type = 'click'"), log.filter("event_type = 'view'"), "user_id", "value")
+    """All events as two logs by turns, aligned by step."""
+    log = table(spark, folder, "events").withColumn("step", F.floor(F.col("event_id") / 2))
+    return stats.log_drift(log.filter("event_id % 2 = 0"), log.filter("event_id % 2 != 0"), "step", "value", 1e-6)
+
+
+_DOCUMENT = {"category_distribution": "category", "difficulty_distribution": "difficulty", "tool_required_distribution": _DIMENSIONS["tool_required"], "synthetic_vs_external": _DIMENSIONS["synthetic"],
+    "generator_family_distribution": "concat_ws('/', coalesce(generator_id, ''), coalesce(family_id, ''))", "tool_name_distribution": "nullif(tool_name, '')", "expected_behavior_distribution": "expected_behavior"}
+_COUNTERS = "generated rejected_ground_truth_mismatch rejected_schema_invalid rejected_exceeds_context rejected_exact_duplicate rejected_near_duplicate rejected_diversity_cap accepted".split()
+
+
+@query(f"""WITH {_REC}, shapes AS (SELECT {_shape_sql('prompt')} AS shp, count(*) AS n, min(example_id) AS f FROM rec WHERE prompt IS NOT NULL GROUP BY 1), top AS (SELECT shp, n FROM shapes ORDER BY n DESC, f, shp LIMIT 20),
+    b AS (SELECT {", ".join(f"max({c}) AS {c}" for c in _COUNTERS)} FROM build_counters GROUP BY build_id, family_id), k AS (SELECT tokens, row_number() OVER (ORDER BY tokens) - 1 AS k, count(*) OVER () AS n FROM rec)
+    """ + " UNION ALL ".join([
+    *[f"(SELECT '{k}' AS key, {e} AS name, count(*)::DOUBLE AS value FROM rec WHERE {e} IS NOT NULL GROUP BY 2)" for k, e in _DOCUMENT.items()],
+    f"(SELECT 'tokens_by_generator_family', {_DOCUMENT['generator_family_distribution']}, sum(tokens)::DOUBLE FROM rec GROUP BY 2)",
+    "(SELECT 'split_composition.examples', split, count(*)::DOUBLE FROM rec WHERE split IS NOT NULL GROUP BY 2)", "(SELECT 'split_composition.tokens', split, sum(tokens)::DOUBLE FROM rec WHERE split IS NOT NULL GROUP BY 2)",
+    "(SELECT 'top_structural_template_counts', shp, n::DOUBLE FROM top)", "(SELECT 'structural_template_count', '', count(*)::DOUBLE FROM shapes)",
+    *[f"(SELECT '{k}', '', ({e})::DOUBLE FROM rec)" for k, e in {"total_examples": "count(*)", "total_tokens": "sum(tokens)", "total_bytes": "sum(strlen(prompt))", "average_tokens_per_example": "avg(tokens)", "median_tokens_per_example": "median(tokens)",
+        "max_example_tokens": "max(tokens)", "fraction_exceeding_context": "avg((tokens > 64)::INT)"}.items()],
+    *[f"(SELECT 'token_length_percentiles', 'p{p}', tokens::DOUBLE FROM k WHERE k = least(n - 1, floor(n * {p / 100}::DOUBLE)))" for p in (50, 90, 99)],
+    *[f"(SELECT 'build_counters', '{c}', coalesce(sum({c}), 0)::DOUBLE FROM b)" for c in _COUNTERS],
+    ]))
+def statistics_document(spark: SparkSession, folder: str) -> DataFrame:
+    """The statistics document of the corpus and its build counters, a row per number."""
+    rows = _chosen(spark, folder, "synthetic", "tool_name")
+    once = table(spark, folder, "build_counters").groupBy("build_id", "family_id").agg(*[F.max(c).alias(c) for c in _COUNTERS])
+    counters = once.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _COUNTERS]).first().asDict()
+    told = stats.document(rows, 64, counters, shape(F.col("prompt")))
+    flat = []
+    for key, value in told.items():
+        if key == "split_composition":
+            flat += [(f"{key}.{k}", split, float(n)) for split, of in value.items() for k, n in of.items()]
+        elif isinstance(value, dict):
+            flat += [(key, name, float(n)) for name, n in value.items()]
+        else:
+            flat.append((key, "", float(value)))
+    return spark.createDataFrame(flat, "key string, name string, value double")
 
 
 # --- sampling --------------------------------------------------------------------------------------------------------
@@ -425,9 +473,98 @@ def subset_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return subsets.subset_manifest(records(spark, folder), "example_id", "split", "tokens", [], ["family_id"])
 
 
-@query()
+def _map_sql(c: str, rows: str = "rec", by: str = "split") -> str:
+    return f"""SELECT {by}, '{{' || string_agg('"' || {c} || '":' || n, ',' ORDER BY {c}) || '}}' AS j FROM (SELECT {by}, {c}, count(*) AS n FROM {rows} WHERE {c} IS NOT NULL GROUP BY ALL) GROUP BY {by}"""
+
+
+@query(f"""WITH {_REC}, c AS ({_map_sql("category")}), b AS ({_map_sql("expected_behavior")}), m AS (SELECT split, count(*) AS records, sum(tokens) AS tokens, sha256(string_agg(example_id, chr(10) ORDER BY example_id)) AS ids_sha256,
+    count(DISTINCT family_id) AS distinct_family_id, count(*) FILTER (tool_required) AS with_tool_required FROM rec GROUP BY split)
+    SELECT m.*, c.j AS category_counts, b.j AS expected_behavior_counts FROM m LEFT JOIN c ON m.split IS NOT DISTINCT FROM c.split LEFT JOIN b ON m.split IS NOT DISTINCT FROM b.split""")
 def subset_manifest_maps(spark: SparkSession, folder: str) -> DataFrame:
-    return subsets.subset_manifest(records(spark, folder), "example_id", "split", "tokens", ["category", "expected_behavior"], ["family_id"]).withColumns({f"{c}_counts": F.to_json(f"{c}_counts") for c in ("category", "expected_behavior")})
+    counted = ["category", "expected_behavior"]
+    found = subsets.subset_manifest(records(spark, folder, "tool_required"), "example_id", "split", "tokens", counted, ["family_id"], "tool_required")
+    return found.withColumns({f"{c}_counts": F.to_json(f"{c}_counts") for c in counted})
+
+
+_FACTS = ["example_count", "total_token_count", "example_ids_sha256", "tool_required_count", "family_count", "category_counts", "difficulty_counts"]
+_FACTS_SQL = f"""SELECT s.split, count(*) AS example_count, sum(tokens) AS total_token_count, sha256(string_agg(example_id, chr(10) ORDER BY example_id)) AS example_ids_sha256,
+    count(*) FILTER (tool_required) AS tool_required_count, count(DISTINCT family_id) AS family_count, any_value(c.j) AS category_counts, any_value(d.j) AS difficulty_counts
+    FROM sel s LEFT JOIN ({_map_sql("category", "sel")}) c USING (split) LEFT JOIN ({_map_sql("difficulty", "sel")}) d USING (split) GROUP BY s.split"""
+
+
+def _manifest_rows(spark: SparkSession, manifest: dict, more: list[str] = []) -> DataFrame:  # noqa: B006
+    """A manifest's splits as rows, maps as JSON."""
+    rows = [(s, *[json.dumps(of[k], sort_keys=True, separators=(",", ":"), ensure_ascii=False) if isinstance(of[k], dict) else of[k] for k in [*_FACTS, *more]]) for s, of in manifest["splits"].items()]
+    kinds = {"example_ids_sha256": "string", "category_counts": "string", "difficulty_counts": "string", "representation_sha256": "string"}
+    return spark.createDataFrame(rows, "split string, " + ", ".join(f"{k} {kinds.get(k, 'bigint')}" for k in [*_FACTS, *more]))
+
+
+def _chosen(spark: SparkSession, folder: str, *more: str) -> DataFrame:
+    return staged(records(spark, folder, "difficulty", "tool_required", *more).withColumnRenamed("tokens", "token_count"))
+
+
+_EVENLY = """w AS (SELECT split, count(*) AS n, greatest(1, count(*) // CASE split WHEN 'train' THEN 9 ELSE 3 END) AS target FROM rec WHERE split IN ('train', 'validation') GROUP BY 1),
+    k AS (SELECT rec.*, n, target, greatest(1, n // target) AS step, row_number() OVER (PARTITION BY split ORDER BY example_id) - 1 AS k FROM rec JOIN w USING (split)),
+    sel AS (SELECT * FROM k WHERE k >= 7 % step AND (k - 7 % step) % step = 0 AND (k - 7 % step) // step < target)"""
+
+
+@query(f"WITH {_REC}, {_EVENLY} {_FACTS_SQL}")
+def smoke_subset_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """A ninth of the training and a third of the validation records, evenly spaced, and their manifest."""
+    rows = _chosen(spark, folder)
+    counts = {r["split"]: r["count"] for r in rows.filter("split in ('train', 'validation')").groupBy("split").count().collect()}
+    targets = {s: max(1, n // (9 if s == "train" else 3)) for s, n in counts.items()}
+    return _manifest_rows(spark, selection.smoke_subset(rows, "example_id", "split", targets, 7)[1])
+
+
+_BY_TOKENS = """cfg AS (SELECT * FROM pilot_subset_config ORDER BY config_id LIMIT 1), part AS (SELECT * FROM rec WHERE split IN ('train', 'validation') AND category IS NOT NULL),
+    wanted AS (SELECT 'train' AS split, target_train_tokens AS tokens, min_category_examples AS floor_ FROM cfg UNION ALL SELECT 'validation',
+    (SELECT round_even(sum(tokens) / count(*) * (SELECT validation_examples FROM cfg), 0)::BIGINT FROM part WHERE split = 'validation'), min_category_examples_validation FROM cfg),
+    c AS (SELECT split, category, count(*) AS available, sum(tokens) AS t FROM part GROUP BY ALL),
+    targets AS (SELECT split, category, available, greatest(least(w.floor_, available), least(coalesce(round_even((t / sum(t) OVER (PARTITION BY split)) * w.tokens / nullif(t / available, 0), 0), 0), available))::BIGINT AS target FROM c JOIN wanted w USING (split)),
+    k AS (SELECT part.*, target, greatest(1, available // target) AS step, row_number() OVER (PARTITION BY split, category ORDER BY example_id) - 1 AS k FROM part JOIN targets USING (split, category) WHERE target > 0),
+    sel AS (SELECT * FROM k WHERE k >= 11 % step AND (k - 11 % step) % step = 0 AND (k - 11 % step) // step < target)"""
+
+
+@query(f"WITH {_REC}, {_BY_TOKENS} {_FACTS_SQL}")
+def pilot_subset_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """The first pilot configuration's records by category, and their manifest."""
+    config = table(spark, folder, "pilot_subset_config").orderBy("config_id").first().asDict()
+    return _manifest_rows(spark, selection.pilot_subset(_chosen(spark, folder), "example_id", "split", "category", "token_count", config, 11)[1])
+
+
+@query(f"WITH {_REC}, sel AS (SELECT * FROM rec WHERE split IN ('train', 'validation')) {_FACTS_SQL}")
+def full_set_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return _manifest_rows(spark, selection.full_set(_chosen(spark, folder), "example_id", "split", "token_count")[1])
+
+
+def _code_points(c: Column) -> Column:
+    return F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.ascii(x))
+
+
+def _represented(df: DataFrame) -> DataFrame:
+    """Records with code points for token ids: the prompt masked, the answer supervised."""
+    answer = F.coalesce(F.concat(F.lit("\n<final>"), render.answer_text(F.col("answer_json"))), F.lit(""))
+    parts = F.array(_code_points(F.coalesce("prompt", F.lit(""))), _code_points(answer))
+    ids, labels = render.masked(parts, F.array(F.lit("context"), F.lit("supervised")), SPECIAL["begin"], SPECIAL["end"])
+    return df.withColumns({"input_ids": ids, "labels": labels})
+
+
+_POINTS = "list_transform(list_filter(string_split({0}, ''), lambda x: x != ''), lambda x: unicode(x))"
+_TUNED = f"""c AS (SELECT split, category, count(*) AS available, least(CASE split WHEN 'train' THEN 12 ELSE 3 END * CASE category WHEN 'tool_error' THEN 1.5 ELSE 1 END, count(*)) AS t FROM rec WHERE split IN ('train', 'validation') AND category IS NOT NULL GROUP BY split, category),
+    targets AS (SELECT split, category, available, round_even(t, 0)::BIGINT AS target FROM c), more AS (SELECT *, least(available, floor(target * 1.15::DOUBLE)::BIGINT + 5) AS reserve FROM targets WHERE target > 0),
+    k AS (SELECT rec.*, target, reserve, greatest(1, available // reserve) AS step, row_number() OVER (PARTITION BY split, category ORDER BY example_id) - 1 AS k FROM rec JOIN more USING (split, category)),
+    hit AS (SELECT *, row_number() OVER (PARTITION BY split, category ORDER BY example_id) AS r FROM k WHERE k >= 5 % step AND (k - 5 % step) % step = 0 AND (k - 5 % step) // step < reserve AND tokens <= 1024), sel AS (SELECT * FROM hit WHERE r <= target),
+    p AS (SELECT split, example_id, {_POINTS.format("coalesce(prompt, '')")} AS p, {_POINTS.format(f"coalesce(chr(10) || '<final>' || ({_ANSWER_SQL}), '')")} AS a FROM sel),
+    q AS (SELECT split, example_id, '{{"example_id":"' || example_id || '","input_ids":[' || array_to_string([1] || p || a || [2], ',') || '],"labels":[' || array_to_string([-100] || list_transform(p, lambda x: -100) || a || [2], ',') || ']}}' AS j FROM p),
+    d AS (SELECT split, sha256('[' || string_agg(j, ',' ORDER BY example_id) || ']') AS representation_sha256 FROM q GROUP BY split)"""
+
+
+@query(f"WITH {_REC}, {_TUNED} SELECT m.*, d.representation_sha256 FROM ({_FACTS_SQL}) m JOIN d USING (split)")
+def tuning_subset_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """The same number of records of every category, and the hash of their exact representation by code points."""
+    made = selection.tuning_subset(_chosen(spark, folder), "example_id", "split", "category", {"train": 12, "validation": 3}, {"tool_error": 1.5}, F.col("token_count") <= 1024, 1024, 5, _represented)
+    return _manifest_rows(spark, made[1], ["representation_sha256"])
 
 
 _UNION = f"WITH {_REC}, m AS (SELECT split, sha256(string_agg(example_id, chr(10) ORDER BY example_id)) AS d FROM rec WHERE split IS NOT NULL GROUP BY split) SELECT sha256(string_agg(l, chr(10) ORDER BY l)) AS identity FROM (SELECT split || ':' || d || ':none' AS l FROM m)"
@@ -650,6 +787,46 @@ def unit_convert(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").filter("n_chars is not null").select("doc_id", "n_chars", F.inline(units)).select("doc_id", "unit", (F.col("n_chars") / F.col("per")).alias("size"))
 
 
+# every operation of the calculator over the parts' numbers a and b; SQL has them in whole numbers: the value times 10 ** places
+_CALLS = {
+    "percentage_of": ('{"operation":"percentage_of","number":$b,"percent":$a}', "b * a", 2),
+    "percentage_increase": ('{"operation":"percentage_increase","number":$b,"percent":$a}', "b * (100 + a)", 2),
+    "percentage_decrease": ('{"operation":"percentage_decrease","number":$b,"percent":$a}', "b * (100 - a)", 2),
+    "percentage_difference": ('{"operation":"percentage_difference","old_value":$a,"new_value":$b}', "sign(b - a) * ((2 * abs(b - a) * 100000000 + a) // (2 * a))", 6),
+    "discount": ('{"operation":"discount","price":$b,"percent":$a}', "b * (100 - a)", 2),
+    "sales_tax": ('{"operation":"sales_tax","price":$b,"tax_rate_percent":$a}', "b * a", 2),
+    "final_price": ('{"operation":"final_price","price":$b,"discount_percent":$a,"tax_rate_percent":8}', "(b * (100 - a) * 108 + 50) // 100", 2),
+    "tip": ('{"operation":"tip","bill_total":$b,"tip_percent":$a}', "b * a", 2),
+    "split_bill": ('{"operation":"split_bill","bill_total":$b,"num_people":$a,"tip_percent":15}', "(2 * b * 115 + a) // (2 * a)", 2),
+    "simple_interest": ('{"operation":"simple_interest","principal":$b,"annual_rate_percent":$a,"years":3}', "b * a * 3", 2),
+    "compound_interest": ('{"operation":"compound_interest","principal":$b,"annual_rate_percent":$a,"years":2}', "(b * (100 + a) * (100 + a) + 50) // 100", 2),
+    "whole_numbers": ('{"expression":"$a*$b+$b//7-$b%5+2**3"}', "a * b + b // 7 - b % 5 + 8", 0),
+    "functions": ('{"expression":"sqrt($a*$a)+abs(-$b)+factorial(4)-reciprocal(0.5)"}', "a + b + 22", 0),
+    "length": ('{"category":"length","from_unit":"foot","to_unit":"centimeter","value":$b}', "b * 3048", 2),
+    "mass": ('{"category":"mass","from_unit":"kilogram","to_unit":"milligram","value":$b}', "b * 1000000", 0),
+    "area": ('{"category":"area","from_unit":"hectare","to_unit":"square_meter","value":$b}', "b * 10000", 0),
+    "volume": ('{"category":"volume","from_unit":"cubic_meter","to_unit":"liter","value":$b}', "b * 1000", 0),
+    "speed": ('{"category":"speed","from_unit":"meters_per_second","to_unit":"kilometers_per_hour","value":$b}', "b * 36", 1),
+    "time": ('{"category":"time","from_unit":"week","to_unit":"minute","value":$b}', "b * 10080", 0),
+    "data_storage": ('{"category":"data_storage","from_unit":"kibibyte","to_unit":"byte","value":$b}', "b * 1024", 0),
+    "temperature": ('{"category":"temperature","from_unit":"celsius","to_unit":"fahrenheit","value":$b}', "b * 18 + 320", 1),
+}
+
+
+@query("WITH p AS (SELECT p_partkey, p_size::BIGINT AS a, (p_partkey % 997 + 1)::BIGINT AS b FROM part) " + " UNION ALL ".join(
+    f"SELECT p_partkey, '{name}' AS operation, 'success' AS status, round(({value}) / power(10, {places}), {places}) AS value FROM p" for name, (_, value, places) in _CALLS.items()))
+def calculator_results(spark: SparkSession, folder: str) -> DataFrame:
+    """Calls that succeed, for every operation, over all parts' numbers."""
+    parts = table(spark, folder, "part").select("p_partkey", F.col("p_size").cast("string").alias("a"), (F.col("p_partkey") % 997 + 1).cast("string").alias("b"))
+    tool = lambda arguments: "evaluate" if "expression" in arguments else "convert" if "from_unit" in arguments else "finance"
+    calls = [F.struct(F.lit(name).alias("operation"), F.lit(f'{{"protocol_version":"1.0.0","tool":"calculator.{tool(x)}","arguments":{x}}}').alias("call"), F.lit(places).alias("places")) for name, (x, _, places) in _CALLS.items()]
+    each = parts.select("p_partkey", "a", "b", F.inline(F.array(*calls)))
+    ran = each.withColumn("r", run_call(F.replace(F.replace("call", F.lit("$a"), F.col("a")), F.lit("$b"), F.col("b"))))
+    value = F.col("r.value").cast("double")
+    rounded = F.when(F.col("places") == 0, F.round(value, 0)).when(F.col("places") == 1, F.round(value, 1)).when(F.col("places") == 2, F.round(value, 2)).otherwise(F.round(value, 6))
+    return ran.select("p_partkey", "operation", F.col("r.status").alias("status"), rounded.alias("value"))
+
+
 def _answered(df: DataFrame) -> DataFrame:
     """``df`` with a text as a model might have written it: right, wrong or without an answer by the prompt's length."""
     n = F.length(F.coalesce("prompt", F.lit(""))) % 3
@@ -667,6 +844,14 @@ def accuracy_by_category(spark: SparkSession, folder: str) -> DataFrame:
     return scoring.accuracy(scoring.capability(_answered(records(spark, folder)), "generated"), "correct", "category")
 
 
+@query(_ACCURACY.replace("SELECT category, count(*) AS cases", "SELECT split AS suite, category, count(*) AS cases").replace("c AS (SELECT category,", "c AS (SELECT split, category,").replace("FROM c GROUP BY ROLLUP (category)", "FROM c GROUP BY GROUPING SETS ((split, category), (split))"))
+def capability_suite_accuracy(spark: SparkSession, folder: str) -> DataFrame:
+    """Every split as a suite, with texts generated elsewhere and joined by id."""
+    cases = records(spark, folder)
+    texts = _answered(cases).select("example_id", "generated")
+    return scoring.capability_suites(cases.withColumnRenamed("split", "suite"), texts, "example_id", "suite", "category")
+
+
 def _interacted(df: DataFrame) -> DataFrame:
     call = F.try_element_at("tool_traces", F.lit(1))["call"]
     n = F.length(F.coalesce("prompt", F.lit(""))) % 4
@@ -718,7 +903,6 @@ def dialogue_replay(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- building --------------------------------------------------------------------------------------------------------
 
-_COUNTERS = "generated rejected_ground_truth_mismatch rejected_schema_invalid rejected_exceeds_context rejected_exact_duplicate rejected_near_duplicate rejected_diversity_cap accepted".split()
 
 
 @query(f"""WITH c AS (SELECT DISTINCT ON (build_id, family_id) build_id, family_id, category, {", ".join(f"coalesce({c}, 0) AS {c}" for c in _COUNTERS)} FROM

@@ -44,6 +44,7 @@ def test_shards_round_trip(spark, corpus, tmp_path):
     identity = shards.write_manifest(told, str(tmp_path / "manifest.json"))
     assert identity == json.loads((tmp_path / "manifest.json").read_text())["identity"] == manifests.identity(told)
     first = rows[0]["file"]
+    (tmp_path / "s" / f".{first}.crc").unlink(missing_ok=True)  # who changes a file can change its local checksum too
     (tmp_path / "s" / first).write_bytes((tmp_path / "s" / first).read_bytes()[:-2] + b" \n")
     (tmp_path / "s" / "extra.jsonl").write_text("{}\n")
     outcomes = {r["file"]: r["outcome"] for r in manifests.verify_files(told.union(told.filter(F.col("file") == rows[1]["file"])), manifests.files(spark, str(tmp_path / "s"), "*.jsonl")).collect()}
