@@ -142,8 +142,8 @@ def missing_categories(families: list[Family] | None = None) -> list[str]:
     return sorted(set(CATEGORIES) - {f.category for f in (FAMILIES if families is None else families)})
 
 
-def generated(spark: SparkSession, family: Family, begin: int, end: int, seed: int, train: float = 0.9, validation: float = 0.05) -> DataFrame:
-    """Records ``begin`` to ``end - 1`` of a family, in the columns of ``EXAMPLE_SCHEMA``."""
+def generated(spark: SparkSession, family: Family, begin: int, end: int, seed: int, train: float = 0.9, validation: float = 0.05, indexed: bool = False) -> DataFrame:
+    """Records ``begin`` to ``end - 1`` of a family, in the columns of ``EXAMPLE_SCHEMA``; with ``indexed`` also their ``index``."""
     names = "abc"[: len(family.ranges)]
     rows = spark.range(begin, end).select(F.col("id").alias("_index"))
     part = lambda what: derive_seed(F.lit(str(seed)), F.lit(family.name), F.lit(what), F.col("_index"))
@@ -186,6 +186,7 @@ def generated(spark: SparkSession, family: Family, begin: int, end: int, seed: i
         (F.array(F.struct(F.col("_call").alias("call"), F.col("_result").alias("result"))) if family.tool else F.array().cast("array<struct<call:string,result:string>>")).alias("tool_traces"),
         F.struct(F.lit("tool" if family.tool else "deterministic" if family.tree else "semantic").alias("mode"), F.col("_tree").alias("expression")).alias("verification"),
         F.concat(generator, F.lit("/"), name, F.lit(f" v{VERSION}")).alias("provenance"), F.lit("").alias("notes"), F.lit(None).cast("int").alias("token_count"),
+        *([F.col("_index").alias("index")] if indexed else []),
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -615,21 +616,34 @@ def packing_padding_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _ids(spark: SparkSession, folder: str) -> DataFrame:
-    raw = records(spark, folder).select("category", "example_id", tokenizer.encoded(F.coalesce("prompt", F.lit("")), tokenizer.path("piece_bpe_32k.model")).alias("raw"))
+    """Prompts with code points for token ids, clipped to the capacity."""
+    raw = records(spark, folder).select("category", "example_id", _code_points(F.coalesce("prompt", F.lit(""))).alias("raw"))
     return raw.select("category", "example_id", packing.clipped(F.col("raw"), _CAPACITY, SPECIAL["begin"], SPECIAL["end"]).alias("ids"))
 
 
-@query()
+def _list_digest(c: str) -> Column:
+    return F.sha2(F.array_join(F.transform(c, lambda x: x.cast("string")), ","), 256).alias(c)
+
+
+_IDS_SQL = f"i AS (SELECT category, example_id, [1] || list_slice({_POINTS.format("coalesce(prompt, '')")}, 1, {_CAPACITY - 2}) || [2] AS ids FROM rec)"
+_PADDED_SQL = f"""sha256(array_to_string(ids || list_transform(range({_CAPACITY} - len(ids)), lambda x: 0), ',')) AS input_ids, sha256(array_to_string(ids || list_transform(range({_CAPACITY} - len(ids)), lambda x: -100), ',')) AS labels,
+    sha256(array_to_string(list_transform(ids, lambda x: 1) || list_transform(range({_CAPACITY} - len(ids)), lambda x: 0), ',')) AS attention_mask"""
+
+
+@query(f"""{_PACK.replace(_REC, f"{_REC}, {_IDS_SQL}").replace(f"least(tokens, {_CAPACITY}) AS s, row_number() OVER (PARTITION BY category ORDER BY example_id) AS k FROM rec", "len(ids) AS s, row_number() OVER (PARTITION BY category ORDER BY example_id) AS k FROM i")},
+    b AS (SELECT f.category, bin, flatten(list(ids ORDER BY example_id)) AS ids FROM f JOIN i USING (example_id) GROUP BY ALL) SELECT category, bin, {_PADDED_SQL} FROM b""")
 def packed_sequences(spark: SparkSession, folder: str) -> DataFrame:
     rows = staged(_ids(spark, folder))
     bins = packing.next_fit(rows.withColumn("n", F.size("ids")), ["category"], "example_id", "n", _CAPACITY)
     met = rows.join(bins.select(F.col("example_id").alias("_e"), "bin"), F.col("example_id") == F.col("_e")).drop("_e")
-    return packing.packed_bins(met, ["category"], "bin", "example_id", "ids", _CAPACITY, SPECIAL["pad"])
+    made = packing.packed_bins(met, ["category"], "bin", "example_id", "ids", _CAPACITY, SPECIAL["pad"])
+    return made.select("category", "bin", *[_list_digest(c) for c in ("input_ids", "labels", "attention_mask")])
 
 
-@query()
+@query(f"WITH {_REC}, {_IDS_SQL} SELECT category, example_id, {_PADDED_SQL} FROM i")
 def padded_examples(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.padded_rows(_ids(spark, folder), "ids", _CAPACITY, SPECIAL["pad"]).drop("ids")
+    made = packing.padded_rows(_ids(spark, folder), "ids", _CAPACITY, SPECIAL["pad"])
+    return made.select("category", "example_id", *[_list_digest(c) for c in ("input_ids", "labels", "attention_mask")])
 
 
 _BUCKETS = f"""WITH {_REC}, p AS (SELECT example_id, tokens, {_POSITION} AS position FROM rec), b AS (SELECT *, position // 256 AS bucket FROM p),
@@ -684,20 +698,27 @@ def expected_completion(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _masked(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids and labels of every distinct record's segments, with code points for token ids."""
     rows = render.segments(render.canonical_traces(_distinct_examples(spark, folder)))
-    parts = rows.select("example_id", F.posexplode("segments").alias("k", "segment"))
-    coded = parts.select("example_id", "k", F.col("segment.role").alias("role"), tokenizer.encoded(F.col("segment.text"), tokenizer.path("piece_bpe_32k.model")).alias("ids"))
-    whole = coded.groupBy("example_id").agg(F.array_sort(F.collect_list(F.struct("k", "role", "ids"))).alias("s"))
-    inputs, labels = render.masked(F.transform("s", lambda x: x["ids"]), F.transform("s", lambda x: x["role"]), SPECIAL["begin"], SPECIAL["end"])
-    return whole.select("example_id", inputs.alias("input_ids"), labels.alias("labels"))
+    ids, roles = F.transform("segments", lambda x: _code_points(x["text"])), F.transform("segments", lambda x: x["role"])
+    inputs, labels = render.masked(ids, roles, SPECIAL["begin"], SPECIAL["end"])
+    return rows.select("example_id", inputs.alias("input_ids"), labels.alias("labels"))
 
 
-@query()
+_SEGMENTS = f"""s AS (SELECT DISTINCT example_id, coalesce(prompt, '') AS p, coalesce(tool_traces, []) AS traces, coalesce(chr(10) || coalesce('<final>' || ({_ANSWER_SQL}), '<' || ({_TAG_SQL}) || '>'),
+    CASE WHEN expected_behavior = 'invoke_tool' AND category = 'tool_error' THEN chr(10) || '<error>' || json_extract_string(tool_traces[-1].result, '$.error.code') || ': ' || json_extract_string(tool_traces[-1].result, '$.error.message') END, '') AS ending FROM examples),
+    parts AS (SELECT example_id, list_concat([{{'t': p, 'c': true}}], flatten(list_transform(traces, lambda t: [{{'t': chr(10) || '<tool_call>' || t.call, 'c': false}}, {{'t': chr(10) || '<tool_result>' || t.result, 'c': true}}])), [{{'t': ending, 'c': false}}]) AS x FROM s),
+    m AS (SELECT example_id, [1] || flatten(list_transform(x, lambda y: {_POINTS.format("y.t")})) || [2] AS input_ids,
+    [-100] || flatten(list_transform(x, lambda y: CASE WHEN y.c THEN list_transform({_POINTS.format("y.t")}, lambda z: -100) ELSE {_POINTS.format("y.t")} END)) || [2] AS labels FROM parts)"""
+
+
+@query(f"WITH {_SEGMENTS} SELECT example_id, len(input_ids) AS n_ids, len(list_filter(labels[2:], lambda x: x != -100)) AS loss_tokens FROM m WHERE len(input_ids) <= 1024")
 def loss_mask_counts(spark: SparkSession, folder: str) -> DataFrame:
     return _masked(spark, folder).select("example_id", F.size("input_ids").alias("n_ids"), packing.loss_tokens(F.col("labels")).alias("loss_tokens")).filter("n_ids <= 1024")
 
 
-@query()
+@query(f"""WITH {_REC}, {_SEGMENTS}, j AS (SELECT split, example_id, '{{"example_id":"' || example_id || '","input_ids":[' || array_to_string(input_ids, ',') || '],"labels":[' || array_to_string(labels, ',') || ']}}' AS j FROM m JOIN rec USING (example_id))
+    SELECT split, sha256('[' || string_agg(j, ',' ORDER BY example_id, j) || ']') AS representation_sha256, count(*) AS n FROM j GROUP BY split""")
 def representation_identity(spark: SparkSession, folder: str) -> DataFrame:
     split = records(spark, folder).select(F.col("example_id").alias("_id"), "split")
     rows = _masked(spark, folder).join(split, F.col("example_id") == F.col("_id"))
@@ -766,11 +787,31 @@ def expression_values(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "examples").select("example_id", expression_value(F.col("verification.expression")).alias("value")).distinct()
 
 
-@query("""SELECT 'error' AS status, coalesce(json_extract_string(result, '$.status') = 'error' AND json_extract_string(result, '$.result.value') IS NULL, false) AS same, count(*) AS n
-    FROM (SELECT DISTINCT example_id, tool_traces[1].call AS call, tool_traces[1].result AS result FROM examples WHERE len(tool_traces) > 0) GROUP BY 1, 2""")
+# the test tables' calls hold trees where the calculator takes expressions; those of calculator.evaluate are written out, so that they succeed
+_SIGNS = {"add": "+", "sub": "-", "mul": "*"}
+_LIVE = "CASE WHEN tool = 'calculator.evaluate' AND ca IS NOT NULL AND cb IS NOT NULL THEN CASE co WHEN 'add' THEN ca + cb WHEN 'sub' THEN ca - cb WHEN 'mul' THEN ca * cb END END"
+_TRACE = """json_extract_string({0}.call, '$.tool') AS tool, json_extract_string({0}.result, '$.status') AS status, json_extract_string({0}.result, '$.result.value') AS recorded,
+    json_extract_string(json_extract_string({0}.call, '$.arguments.expression'), '$.op') AS co, TRY_CAST(json_extract_string(json_extract_string({0}.call, '$.arguments.expression'), '$.args[0]') AS HUGEINT) AS ca,
+    TRY_CAST(json_extract_string(json_extract_string({0}.call, '$.arguments.expression'), '$.args[1]') AS HUGEINT) AS cb"""
+
+
+def _written_out(traces: str) -> Column:
+    def of(t: Column) -> Column:
+        tree = F.get_json_object(t["call"], "$.arguments.expression")
+        sign = F.create_map(*[F.lit(x) for p in _SIGNS.items() for x in p])[F.get_json_object(tree, "$.op")]
+        expression = F.concat(F.get_json_object(tree, "$.args[0]"), sign, F.get_json_object(tree, "$.args[1]"))
+        call = F.concat(F.lit('{"arguments":{"expression":"'), expression, F.lit('"},"protocol_version":"1.0.0","tool":"calculator.evaluate"}'))
+        own = F.when(F.get_json_object(t["call"], "$.tool") == "calculator.evaluate", call)
+        return F.struct(F.coalesce(own, t["call"]).alias("call"), t["result"].alias("result"))
+
+    return F.transform(traces, of)
+
+
+@query(f"""WITH t AS (SELECT DISTINCT example_id, {_TRACE.format("tool_traces[1]")} FROM examples WHERE len(tool_traces) > 0), v AS (SELECT *, {_LIVE} AS live FROM t)
+    SELECT CASE WHEN live IS NULL THEN 'error' ELSE 'success' END AS status, coalesce(status = CASE WHEN live IS NULL THEN 'error' ELSE 'success' END AND recorded IS NOT DISTINCT FROM live::VARCHAR, false) AS same, count(*) AS n FROM v GROUP BY 1, 2""")
 def tool_reexecution(spark: SparkSession, folder: str) -> DataFrame:
     """Recorded results of first calls against live ones, per status and agreement."""
-    first = F.try_element_at("tool_traces", F.lit(1))
+    first = F.try_element_at(_written_out("tool_traces"), F.lit(1))
     rows = table(spark, folder, "examples").filter(F.size("tool_traces") > 0).select("example_id", first["call"].alias("call"), first["result"].alias("result")).distinct()
     live = rows.withColumn("live", run_call(F.col("call"))).withColumn("recorded", canonical_json(F.col("result")))
     value = F.get_json_object("recorded", "$.result.value")
@@ -853,25 +894,27 @@ def capability_suite_accuracy(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _interacted(df: DataFrame) -> DataFrame:
-    call = F.try_element_at("tool_traces", F.lit(1))["call"]
-    n = F.length(F.coalesce("prompt", F.lit(""))) % 4
-    said = F.when(n == 0, F.concat(F.lit("<tool_call>"), call)).when(n == 1, F.concat(F.lit("<tool_call>"), call, F.lit("}"))).when(n == 2, F.concat(F.lit("<tool_call>"), call, F.lit("<final>"), render.answer_text(F.col("answer_json"))))
-    return df.withColumn("generated", F.coalesce(said, F.concat(F.lit("<final>"), render.answer_text(F.col("answer_json"))), F.lit("<error>")))
+    """``df``, its calls written out, with a turn as a model might have written it: calls whole, broken, with an answer or with an invented result, or none."""
+    rows = df.withColumn("tool_traces", _written_out("tool_traces"))
+    call, answer = F.try_element_at("tool_traces", F.lit(1))["call"], F.concat(F.lit("<final>"), render.answer_text(F.col("answer_json")))
+    n = F.length(F.coalesce("prompt", F.lit(""))) % 5
+    called = F.concat(F.lit("<tool_call>"), call)
+    said = F.when(n == 0, called).when(n == 1, F.concat(called, F.lit("}"))).when(n == 2, F.concat(called, answer)).when(n == 4, F.concat(called, F.lit("<tool_result>{}"), answer))
+    return rows.withColumn("generated", F.coalesce(said, answer, F.lit("<error>")))
 
 
-# the test tables' calls hold trees where the calculator takes expressions: every live run ends in an error
-_SAID = f"""said AS (SELECT *, coalesce(call, false) AND (n < 2 OR n = 2 AND ans IS NOT NULL) AS emitted FROM (SELECT DISTINCT example_id, {_ANSWER_SQL} AS ans, {_TAG_SQL} AS tag, coalesce(tool_required, false) AS required, tool_name, tolerance,
-    len(tool_traces) > 0 AS call, json_extract_string(tool_traces[1].call, '$.tool') AS tool, json_extract_string(tool_traces[1].result, '$.status') AS status, length(coalesce(prompt, '')) % 4 AS n FROM examples))"""
+_SAID = f"""said AS (SELECT *, coalesce(call, false) AND (n < 2 OR n IN (2, 4) AND ans IS NOT NULL) AS emitted, {_LIVE} IS NOT NULL AS live FROM (SELECT DISTINCT example_id, {_ANSWER_SQL} AS ans, {_TAG_SQL} AS tag, coalesce(tool_required, false) AS required, tool_name, tolerance,
+    len(tool_traces) > 0 AS call, {_TRACE.format("tool_traces[1]")}, length(coalesce(prompt, '')) % 5 AS n FROM examples))"""
 _NUMBER_SQL = r"'(^|[^\p{L}\p{N}_.])[$€£]?\s*([+-]?\p{Nd}+\s*/\s*\p{Nd}+|[+-]?(\p{Nd}+(,\p{Nd}{3})*(\.\p{Nd}+)?|\.\p{Nd}+)([eE][+-]?\p{Nd}+)?)($|[^\p{L}\p{N}_/])'"
-_TURNS = f"""{_SAID}, did AS (SELECT *, emitted AND n != 1 AS parsed, emitted AND n != 1 AND tool IS NOT DISTINCT FROM tool_name AS named, CASE WHEN emitted THEN false END AS success,
+_TURNS = f"""{_SAID}, did AS (SELECT *, emitted AND n != 1 AS parsed, emitted AND n != 1 AND tool IS NOT DISTINCT FROM tool_name AS named, CASE WHEN emitted THEN n != 1 AND live END AS success,
     CASE WHEN emitted AND n < 2 THEN NULL ELSE ans END AS final FROM said),
     turns AS (SELECT *, CASE WHEN ans IS NULL THEN NULL WHEN final IS NULL THEN false WHEN regexp_matches(ans, {_NUMBER_SQL}) THEN coalesce(tolerance, 0) >= 0 ELSE true END AS right_, CASE WHEN final IS NOT NULL THEN 'final' WHEN NOT emitted THEN 'error' END AS ending,
     CASE WHEN ans IS NOT NULL THEN 'final' ELSE tag END AS wanted FROM did)"""
 _RATES = {
     "correct_routing": ("emitted = required", "true"), "emitted_tool_call": ("emitted", "true"), "call_parsed_valid": ("parsed", "true"), "required_call_emitted": ("emitted", "required"), "required_call_parsed": ("parsed", "required"),
     "tool_name_correct": ("named", "required"), "arguments_correct": ("named", "required"), "argument_execution_successful": ("named AND success", "required"),
-    "end_to_end_success": ("named AND CASE WHEN ans IS NULL THEN status = 'error' AND ending = 'error' ELSE success AND right_ END", "required"), "final_answer_correct": ("right_", "right_ IS NOT NULL"), "direct_answer_correct": ("right_", "NOT required AND right_ IS NOT NULL"),
-    "unnecessary_tool_call": ("emitted", "NOT required"), "missing_required_call": ("NOT emitted", "required"), "fabricated_result": ("false", "true"), "terminal_tag_correct": ("ending IS NOT DISTINCT FROM wanted", "wanted IS NOT NULL"),
+    "end_to_end_success": ("named AND CASE WHEN ans IS NULL THEN status = CASE WHEN success THEN 'success' ELSE 'error' END AND ending = 'error' ELSE success AND right_ END", "required"), "final_answer_correct": ("right_", "right_ IS NOT NULL"), "direct_answer_correct": ("right_", "NOT required AND right_ IS NOT NULL"),
+    "unnecessary_tool_call": ("emitted", "NOT required"), "missing_required_call": ("NOT emitted", "required"), "fabricated_result": ("emitted AND n = 4", "true"), "terminal_tag_correct": ("ending IS NOT DISTINCT FROM wanted", "wanted IS NOT NULL"),
 }
 
 
@@ -894,11 +937,12 @@ def tool_format_rates(spark: SparkSession, folder: str) -> DataFrame:
     return scoring.long_rates(scoring.rates(cases, wanted), list(wanted))
 
 
-@query(f"WITH {_TURNS} SELECT 'ended' AS stopped, emitted AS emitted_call, parsed AS any_valid_call, false AS any_success, count(*) AS n FROM turns GROUP BY ALL")
+@query(f"WITH {_TURNS} SELECT 'ended' AS stopped, emitted AS emitted_call, parsed AS any_valid_call, coalesce(success, false) AS any_success, emitted AND n = 4 AS fabricated, count(*) AS n FROM turns GROUP BY ALL")
 def dialogue_replay(spark: SparkSession, folder: str) -> DataFrame:
     """Recorded calls and answers as two turns, replayed, per way of stopping."""
-    cases = _interacted(_distinct_examples(spark, folder)).withColumn("trace", dialogue.replayed(F.array("generated", F.concat(F.lit("<final>"), F.coalesce(render.answer_text(F.col("answer_json")), F.lit(""))))))
-    return dialogue.trace_flags(cases, "trace").groupBy("trace.stopped", "emitted_call", "any_valid_call", "any_success").agg(F.count("*").alias("n"))
+    final = F.concat(F.lit("<final>"), F.coalesce(render.answer_text(F.col("answer_json")), F.lit("")))
+    cases = _interacted(_distinct_examples(spark, folder)).withColumn("trace", dialogue.replayed(F.array("generated", final)))
+    return dialogue.trace_flags(cases, "trace").groupBy("trace.stopped", "emitted_call", "any_valid_call", "any_success", "trace.fabricated").agg(F.count("*").alias("n"))
 
 
 # --- building --------------------------------------------------------------------------------------------------------
@@ -978,6 +1022,34 @@ def generated_corpus(spark: SparkSession, folder: str) -> DataFrame:
     return violations(rows, example_rules()).groupBy("category", "family_id", "truth", F.size("violations").alias("broken_rules")).agg(F.count("*").alias("n"))
 
 
+def _part_sql(family: str, what: str, index: str) -> str:
+    return _SEED_SQL.format(f"concat_ws(chr(31), '{SEED}', {family}, '{what}', ({index})::VARCHAR)")
+
+
+_OPERATIONS = {"sums": "a + b", "products": "a * b", "differences": "a - b"}
+_REMADE = {f.name: f for f in generate.families_of("arithmetic")}
+
+
+@query("WITH n AS (SELECT count(*) AS n FROM build_counters), i AS (SELECT unnest(range(n)) AS i FROM n), " + ", ".join(
+    f"""f_{name} AS (SELECT '{name}' AS family_id, i AS index, {f.ranges[0][0]} + {_part_sql(f"'{name}'", 'a', 'i')} % {f.ranges[0][1] - f.ranges[0][0] + 1} AS a, {f.ranges[1][0]} + {_part_sql(f"'{name}'", 'b', 'i')} % {f.ranges[1][1] - f.ranges[1][0] + 1} AS b,
+    [{", ".join(repr(p) for p in f.prompts)}][{_part_sql(f"'{name}'", 'template', 'i')} % {len(f.prompts)} + 1] AS p FROM i)""" for name, f in _REMADE.items())
+    + " " + " UNION ALL ".join(f"SELECT family_id, index, replace(replace(p, '{{a}}', a::VARCHAR), '{{b}}', b::VARCHAR) AS prompt, '\"' || ({_OPERATIONS[name]})::VARCHAR || '\"' AS answer_json FROM f_{name}" for name in _REMADE))
+def generated_arithmetic(spark: SparkSession, folder: str) -> DataFrame:
+    """Generated sums, products and differences, as many of each as there are build counters; SQL makes them again."""
+    n = table(spark, folder, "build_counters").count()
+    parts = [generate.generated(spark, f, 0, n, SEED, indexed=True).select("family_id", "index", "prompt", "answer_json") for f in _REMADE.values()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("WITH t AS (SELECT count(*) AS t FROM documents), " + ", ".join(
+    f"""k_{kind} AS (SELECT '{kind}' AS kind, i AS line_index, [{", ".join("'" + p.replace("'", "''") + "'" for p in of)}][{_part_sql(f"'{kind}'", 'pattern', 'i')} % {len(of)} + 1] AS p,
+    {", ".join(f"{_part_sql(f"'{kind}'", v, 'i')} % {most} + 1 AS {v}" for v, most in (("a", 9999), ("b", 999), ("c", 99)))} FROM (SELECT unnest(range(round_even(t * {generate.LINE_SHARES[kind]}::DOUBLE, 0)::BIGINT)) AS i FROM t))""" for kind, of in generate.LINES.items())
+    + " " + " UNION ALL ".join(f"SELECT kind, line_index, replace(replace(replace(p, '{{a}}', a::VARCHAR), '{{b}}', b::VARCHAR), '{{c}}', c::VARCHAR) AS line FROM k_{kind}" for kind in generate.LINES))
+def tokenizer_corpus_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """A tokenizer's corpus with as many lines as there are documents, in the kinds' shares; SQL makes it again."""
+    return generate.corpus_lines(spark, generate.line_counts(table(spark, folder, "documents").count()), SEED)
+
+
 # --- the flagship ----------------------------------------------------------------------------------------------------
 
 
