@@ -81,6 +81,25 @@ def batch_padding(df: DataFrame, batch: str, length: str) -> DataFrame:
     return df.groupBy(batch).agg(F.count("*").alias("rows"), F.max(length).alias("width"), (F.max(length) * F.count("*") - F.sum(length)).alias("padding"))
 
 
+def collated(df: DataFrame, batch: str, order: str, ids: str, labels: str, pad: int) -> DataFrame:
+    """One row per batch, its rows in order padded to the longest: ``batch, input_ids, labels, attention_mask`` (arrays of arrays).
+
+    A batch is as large as its maker made it (``micro_batches``, ``length_buckets``); pads are ignored by labels and mask.
+    """
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order), F.col(ids).alias("_i"), F.col(labels).alias("_l"))))
+    held = df.groupBy(batch).agg(rows.alias("_rows")).withColumn("_width", F.array_max(F.transform("_rows", lambda r: F.size(r["_i"]))))
+    fill = lambda of, value: F.transform("_rows", lambda r: padded(of(r), F.col("_width"), value))
+    ones = lambda r: F.transform(r["_i"], lambda _: F.lit(1))
+    return held.select(batch, fill(lambda r: r["_i"], pad).alias("input_ids"), fill(lambda r: r["_l"], IGNORED).alias("labels"), fill(ones, 0).alias("attention_mask"))
+
+
+def masked_rows(supervised: DataFrame, replay: DataFrame, id: str, ids: str, labels: str) -> DataFrame:
+    """Unpadded training rows: supervised ones with their labels, replayed ones with their ids as labels; ``replayed`` tells which."""
+    parts = ((supervised, labels, False), (replay, ids, True))
+    rows = [df.select(F.col(id).alias(id), F.col(ids).alias("input_ids"), F.col(of).alias("labels"), F.lit(again).alias("replayed")) for df, of, again in parts]
+    return rows[0].unionByName(rows[1])
+
+
 def micro_batches(df: DataFrame, id: str, size: int) -> DataFrame:
     """``df`` with ``batch`` and ``slot``: consecutive rows in the order of ``id``; the last batch may be short."""
     placed = ranked(df, [], id, [], "_at")

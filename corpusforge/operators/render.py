@@ -76,6 +76,11 @@ def training_text(df: DataFrame, out: str = "rendered") -> DataFrame:
     return df.withColumn(out, F.array_join(F.concat(F.array(F.coalesce(F.col("prompt"), F.lit(""))), lines, F.array(ending)), "\n"))
 
 
+def segments_text(segments: Column) -> Column:
+    """The whole text that segments render to."""
+    return F.array_join(F.transform(segments, lambda x: x["text"]), "")
+
+
 def masked(ids: Column, roles: Column, begin: int, end: int) -> tuple[Column, Column]:
     """``input_ids`` and ``labels`` of segments' id lists: begin mark and context are ignored, the end mark isn't."""
     inputs = F.concat(F.array(F.lit(begin)), F.flatten(ids), F.array(F.lit(end)))

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusforge.functions.calculator import canonical
 from corpusforge.plans.digests import ordered_digest
+from corpusforge.sources.files import read_json
 
 
 def subset_manifest(df: DataFrame, id: str, split: str, tokens: str, counted: list[str], distinct: list[str] = [], flag: str | None = None) -> DataFrame:  # noqa: B006
@@ -75,10 +76,37 @@ def shares_add_up(shares: dict[str, float], within: float = 1e-6) -> dict[str, f
     return shares
 
 
-def table_rules(df: DataFrame, required: list[str], unique: str, allowed: dict[str, list[str]] = {}) -> DataFrame:  # noqa: B006
-    """Rows of a small manifest that break its rules: ``row, rule`` of ``missing_x, unknown_x, repeated``."""
+def load_config(spark: SparkSession, path: str, required: list[str], shares: list[str]) -> dict:
+    """A JSON configuration, refused if a key is missing or a group of shares doesn't add up to 1."""
+    config = read_json(spark, path)
+    missing = [k for k in [*required, *shares] if config.get(k) is None]
+    if missing:
+        raise ValueError(f"missing in {path}: {missing}")
+    for k in shares:
+        shares_add_up(config[k])
+    return config
+
+
+def table_rules(
+    df: DataFrame,
+    required: list[str],
+    unique: str,
+    allowed: dict[str, list[str]] = {},  # noqa: B006
+    booleans: list[str] = [],  # noqa: B006
+    needed: dict[str, tuple[str, str]] = {},  # noqa: B006
+) -> DataFrame:
+    """Rows of a small manifest that break its rules: ``row, rule`` of ``missing_x, unknown_x, type_x, repeated``.
+
+    ``booleans`` must be true or false; ``needed`` gives for a column the other column and value that make it required.
+    """
     n = df.groupBy(F.col(unique).alias("_u")).count()
     met = df.join(n, F.col(unique) == F.col("_u"), "left")
     blank = lambda c: ~F.coalesce(F.col(c).cast("string").rlike(r"\S"), F.lit(False))
-    rules = [*[F.when(blank(c), F.lit(f"missing_{c}")) for c in required], *[F.when(~blank(c) & ~F.col(c).isin(v), F.lit(f"unknown_{c}")) for c, v in allowed.items()], F.when(F.col("count") > 1, F.lit("repeated"))]
+    rules = [
+        *[F.when(blank(c), F.lit(f"missing_{c}")) for c in required],
+        *[F.when(~blank(c) & ~F.col(c).isin(v), F.lit(f"unknown_{c}")) for c, v in allowed.items()],
+        *[F.when(~F.coalesce(F.lower(F.col(c).cast("string")).isin("true", "false"), F.lit(False)), F.lit(f"type_{c}")) for c in booleans],
+        *[F.when((F.col(other) == value) & blank(c), F.lit(f"missing_{c}")) for c, (other, value) in needed.items()],
+        F.when(F.col("count") > 1, F.lit("repeated")),
+    ]
     return met.select(F.col(unique).alias("row"), F.explode(F.array_compact(F.array(*rules))).alias("rule")).distinct()

@@ -94,3 +94,30 @@ def case_rules() -> dict[str, Column]:
 def violations(df: DataFrame, rules: dict[str, Column], out: str = "violations") -> DataFrame:
     """``df`` with the names of the rules that each row breaks, an empty array if none."""
     return df.withColumn(out, F.array_compact(F.array(*[F.when(broken, F.lit(name)) for name, broken in rules.items()])))
+
+
+def typed(c: Column, schema: T.StructType) -> Column:
+    """A JSON line as a typed row; a broken line, or one that isn't an object, fails the query; null stays null."""
+    return F.from_json(c, schema, {"mode": "FAILFAST"})
+
+
+def raw_violations(c: Column, schema: T.StructType, required: list[str] | None = None) -> Column:
+    """What is wrong with the keys and types of a JSON object's text, an empty array if nothing.
+
+    ``no_object``, ``missing_x`` for a required key (by default every field) that isn't there, ``unexpected_x`` for a key
+    that is no field, ``type_x`` for a value that isn't null and isn't of the field's type.  A null is no object.
+    """
+    keys = F.json_object_keys(c)
+    names = F.array(*[F.lit(n) for n in schema.names])
+    wanted = F.array(*[F.lit(n) for n in (schema.names if required is None else required)])
+    tagged = lambda tag, found: F.transform(found, lambda x: F.concat(F.lit(tag), x))
+    wrong = []
+    for field in schema.fields:
+        one = F.from_json(c, T.StructType([field]))[field.name]
+        raw = F.get_json_object(c, f"$.{field.name}")
+        kind = T.StringType() if not isinstance(field.dataType, T.StringType) else None
+        plain = F.lit(True) if kind else F.from_json(c, T.StructType([T.StructField(field.name, T.VariantType())]))[field.name]
+        off = raw.isNotNull() & one.isNull() if kind else raw.isNotNull() & (F.schema_of_variant(plain) != "STRING")
+        wrong.append(F.when(off, F.lit(f"type_{field.name}")))
+    found = F.concat(tagged("missing_", F.array_except(wanted, keys)), tagged("unexpected_", F.array_except(keys, names)), F.array_compact(F.array(*wrong)))
+    return F.when(keys.isNull(), F.array(F.lit("no_object"))).otherwise(found)

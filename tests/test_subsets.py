@@ -82,3 +82,44 @@ def test_zero_cap(spark):
     rows = [(1, "f", "the sum of 1 and 2 is asked"), (2, "f", "the sum of 5 and 9 is asked"), (3, "g", "the sum of 5 and 9 is asked"), (4, "f", "the sum of 5 and 9 is asked now"), (5, "f", "quite another text it is"), (6, "f", None), (7, "f", "")]
     df = spark.createDataFrame(rows, "n int, f string, t string")
     assert sorted(r["n"] for r in shape_fold(df, F.col("f"), F.col("t"), "n", 3, 0.5).collect()) == [1, 3, 5, 6]
+
+
+def test_raw_cases(spark):
+    from corpusforge.schema import CASE_SCHEMA, raw_violations, typed
+
+    good = {n: None for n in CASE_SCHEMA.names} | {"id": "a", "tool_required": False, "tolerance": 0.5, "verification": {"mode": "semantic", "expression": None}}
+    rows = [good, good | {"extra": 1}, {k: v for k, v in good.items() if k != "prompt"}, good | {"tool_required": "yes"}, good | {"id": 7}, [1], good | {"tolerance": "x"}]
+    df = spark.createDataFrame([(k, json.dumps(r)) for k, r in enumerate(rows)] + [(7, None), (8, "{")], "k int, t string")
+    found = {r["k"]: list(r["v"]) for r in df.select("k", raw_violations(F.col("t"), CASE_SCHEMA).alias("v")).collect()}
+    assert found == {0: [], 1: ["unexpected_extra"], 2: ["missing_prompt"], 3: ["type_tool_required"], 4: ["type_id"], 5: ["no_object"], 6: ["type_tolerance"], 7: ["no_object"], 8: ["no_object"]}
+    assert df.filter("k = 0").select(typed(F.col("t"), CASE_SCHEMA).alias("r")).select("r.id", "r.verification.mode").first()[1] == "semantic"
+    with pytest.raises(Exception):  # noqa: B017
+        df.filter("k = 8").select(typed(F.col("t"), CASE_SCHEMA)).collect()
+
+
+def test_configurations(spark, tmp_path):
+    (tmp_path / "c.json").write_text(json.dumps({"dataset_id": "d", "shares": {"train": 0.9, "test": 0.1}}))
+    assert subsets.load_config(spark, str(tmp_path / "c.json"), ["dataset_id"], ["shares"])["dataset_id"] == "d"
+    with pytest.raises(ValueError, match="missing"):
+        subsets.load_config(spark, str(tmp_path / "c.json"), ["seed"], [])
+    (tmp_path / "d.json").write_text(json.dumps({"shares": {"train": 0.9}}))
+    with pytest.raises(ValueError, match="add up"):
+        subsets.load_config(spark, str(tmp_path / "d.json"), [], ["shares"])
+
+
+def test_conditional_rules(spark):
+    df = spark.createDataFrame([("a", "python", "yes", None), ("b", "other", "true", None), ("c", "python", "False", "p")], "id string, kind string, own string, package string")
+    found = {(r["row"], r["rule"]) for r in subsets.table_rules(df, ["id"], "id", booleans=["own"], needed={"package": ("kind", "python")}).collect()}
+    assert found == {("a", "type_own"), ("a", "missing_package")}
+
+
+def test_batches_are_padded_to_their_longest(spark):
+    from corpusforge.operators import packing, render
+
+    df = spark.createDataFrame([(0, "b", [1, 2, 3], [-100, 2, 3]), (0, "a", [7], [7]), (1, "c", [5], [5])], "batch int, id string, i array<int>, l array<int>")
+    rows = {r["batch"]: r for r in packing.collated(df, "batch", "id", "i", "l", 0).collect()}
+    assert rows[0]["input_ids"] == [[7, 0, 0], [1, 2, 3]] and rows[0]["labels"] == [[7, -100, -100], [-100, 2, 3]] and rows[0]["attention_mask"] == [[1, 0, 0], [1, 1, 1]] and rows[1]["input_ids"] == [[5]]
+    both = packing.masked_rows(df, df.limit(1), "id", "i", "l")
+    assert both.count() == 4 and both.filter("replayed and input_ids != labels").count() == 0
+    text = spark.sql("select array(struct('a' as text, 'x' as role), struct('b' as text, 'y' as role)) as s").select(render.segments_text(F.col("s"))).first()[0]
+    assert text == "ab"
