@@ -996,7 +996,30 @@ def _limited(rows: DataFrame, mixture: DataFrame, configs: DataFrame) -> DataFra
     return met.withColumns({"quota": quota, "family_tokens": F.floor(F.col("_tokens") * 0.15)}).drop("_category", "_want", "_whole", "_tokens")
 
 
-@query()
+# the fold row by row: what was seen, met and accepted so far travels along, lists of the category begin anew with it
+_CLEAN_PROMPT = _NORMAL.replace("(text)", "(prompt)").replace("nfc_normalize(text)", "nfc_normalize(prompt)")
+_REJECT = f"""q AS (SELECT rec.*, x.verification, x.traces, x.required, CASE WHEN NOT regexp_matches(prompt, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]') THEN nullif({_CLEAN_PROMPT}, '') END AS clean
+    FROM rec JOIN (SELECT example_id, any_value(verification) AS verification, any_value(tool_traces) AS traces, any_value(tool_required) AS required FROM examples GROUP BY 1) x USING (example_id)),
+    t AS ({_TREES.format("* EXCLUDE (prompt), clean AS prompt", "q")}), u AS (SELECT *, {_MODE} AS m, coalesce(len(traces), 0) AS k, coalesce(required, false) AS tool FROM t),
+    v AS (SELECT *, prompt IS NULL OR coalesce(example_id, '') = '' OR {_not_in("category", CATEGORIES)} OR {_not_in("split", ["train", "validation", "test"])} OR {" OR ".join(_ENUMS.values())} OR m = 'semantic' AND coalesce(answer_json, 'null') != 'null'
+    OR tool AND k = 0 OR tool AND tool_name IS NULL OR NOT tool AND k > 0 OR coalesce(tolerance < 0, false) AS broken, CASE m WHEN 'deterministic' THEN {_VERDICT} WHEN 'tool' THEN CASE WHEN k > 0 THEN 'ok' ELSE 'mismatch' END WHEN 'semantic' THEN 'ok' ELSE 'mismatch' END AS truth FROM u)"""
+_FOLD = f"""WITH RECURSIVE {_REC}, {_REJECT},
+    want AS (SELECT {_category_sql("category")} AS category, sum(target_share * target_train_tokens) AS want FROM category_mixture JOIN pilot_subset_config USING (config_id) GROUP BY 1),
+    o AS MATERIALIZED (SELECT row_number() OVER (ORDER BY category NULLS FIRST, example_id) AS pos, category, coalesce(family_id, chr(1)) AS fa, coalesce(template_id, chr(1)) AS te, hash({_KEY_SQL}) AS ke, hash(coalesce(family_id, chr(1)), coalesce({_shape_sql("prompt")}, chr(1))) AS sh, tokens,
+    CASE WHEN broken THEN 'schema_invalid' WHEN truth != 'ok' THEN 'ground_truth_mismatch' END AS reject, floor((SELECT sum(tokens) FROM rec) * 0.15::DOUBLE) AS most,
+    CASE WHEN category IN ({", ".join(repr(c) for c in CATEGORIES)}) THEN floor(coalesce((SELECT want FROM want w WHERE w.category = v.category) / (SELECT sum(want) FROM want), 0) * (SELECT sum(tokens) FROM rec)) END AS quota FROM v),
+    f AS (SELECT 0::BIGINT AS pos, NULL::VARCHAR AS category, 0::HUGEINT AS total, []::UBIGINT[] AS seen, []::STRUCT(f VARCHAR, t VARCHAR, n BIGINT)[] AS fam, []::UBIGINT[] AS met, ''::VARCHAR AS d
+    UNION ALL SELECT pos, category, total + CASE WHEN d = 'accepted' THEN tokens ELSE 0 END, CASE WHEN d IN ('near_duplicate', 'exceeds_context', 'family_cap', 'accepted') THEN list_append(seen, ke) ELSE seen END,
+    CASE WHEN d = 'accepted' THEN list_append(fam, {{'f': fa, 't': te, 'n': tokens}}) ELSE fam END, CASE WHEN d IN ('exceeds_context', 'family_cap', 'accepted') THEN list_append(met, sh) ELSE met END, d
+    FROM (SELECT *, CASE WHEN total >= coalesce(quota, 1e30) THEN 'beyond_quota' WHEN reject IS NOT NULL THEN reject WHEN len(own) >= 30 AND (len(list_filter(own, lambda x: x.t = te)) + 1) / (len(own) + 1) > 0.6::DOUBLE THEN 'diversity_cap' WHEN list_contains(seen, ke) THEN 'exact_duplicate'
+    WHEN len(list_filter(met, lambda x: x = sh)) >= 5 THEN 'near_duplicate' WHEN tokens > 1024 THEN 'exceeds_context' WHEN coalesce(list_sum(list_transform(own, lambda x: x.n)), 0) + tokens > most THEN 'family_cap' ELSE 'accepted' END AS d
+    FROM (SELECT *, list_filter(fam, lambda x: x.f = fa) AS own FROM (SELECT o.*, f.seen, CASE WHEN same THEN f.total ELSE 0 END AS total, CASE WHEN same THEN f.fam ELSE [] END AS fam, CASE WHEN same THEN f.met ELSE [] END AS met
+    FROM (SELECT *, f.category AS before FROM f) f JOIN o ON o.pos = f.pos + 1, LATERAL (SELECT o.category IS NOT DISTINCT FROM f.before AS same)))))
+    SELECT category, count(*) FILTER (d != 'beyond_quota') AS generated, {", ".join(f"count(*) FILTER (d = '{r}') AS {r if r == 'accepted' else 'rejected_' + r}" if r != "diversity_cap" else "count(*) FILTER (d IN ('diversity_cap', 'family_cap')) AS rejected_diversity_cap" for r in building.REASONS)},
+    count(*) FILTER (d = 'beyond_quota') AS beyond_quota FROM f WHERE pos > 0 GROUP BY category"""
+
+
+@query(_FOLD)
 def build_fold(spark: SparkSession, folder: str) -> DataFrame:
     """The build from the clean prompt to its limits on shares, as a funnel per category."""
     rows = building.examined(records(spark, folder, "difficulty", "tool_required", "tool_name", "tool_traces", "verification"))
@@ -1013,7 +1036,8 @@ def manifest_crosscheck(spark: SparkSession, folder: str) -> DataFrame:
     return manifests.cross_check(declared, "name", "scope", licensed, "name", "scope")
 
 
-@query()
+@query("WITH b AS (SELECT max(generated) AS n FROM build_counters GROUP BY build_id, family_id), w AS (SELECT ceil(coalesce(sum(n), 0) / %d)::BIGINT AS n FROM b) SELECT v.*, 'ok' AS truth, 0 AS broken_rules, w.n FROM (VALUES %s) v(category, family_id), w" % (
+    len(generate.FAMILIES), ", ".join(f"('{f.category}', '{f.name}')" for f in generate.FAMILIES)))
 def generated_corpus(spark: SparkSession, folder: str) -> DataFrame:
     """As many records as ``build_counters`` has generated ones, rows received twice counting once, in equal parts per family."""
     once = table(spark, folder, "build_counters").groupBy("build_id", "family_id").agg(F.max("generated").alias("n"))
