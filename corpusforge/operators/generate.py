@@ -142,61 +142,71 @@ def missing_categories(families: list[Family] | None = None) -> list[str]:
     return sorted(set(CATEGORIES) - {f.category for f in (FAMILIES if families is None else families)})
 
 
-def generated(spark: SparkSession, family: Family, begin: int, end: int, seed: int, train: float = 0.9, validation: float = 0.05, indexed: bool = False) -> DataFrame:
-    """Records ``begin`` to ``end - 1`` of a family, in the columns of ``EXAMPLE_SCHEMA``; with ``indexed`` also their ``index``."""
-    names = "abc"[: len(family.ranges)]
-    rows = spark.range(begin, end).select(F.col("id").alias("_index"))
-    part = lambda what: derive_seed(F.lit(str(seed)), F.lit(family.name), F.lit(what), F.col("_index"))
-    for name, (low, high) in zip(names, family.ranges):
-        rows = rows.withColumn(name, (F.lit(low) + part(name) % (high - low + 1)).cast("string"))
-    rows = rows.withColumn("_template", (part("template") % len(family.prompts)).cast("int"))
-
-    def filled(pattern: Column, mark: str) -> Column:
-        for name in names + "xy"[: len(family.derived)]:
-            pattern = F.replace(pattern, F.lit(mark % name), F.col(name))
+_DECLARED = "family int, family_id string, category string, prompts array<string>, lows array<bigint>, highs array<bigint>, tree string, behavior string, tolerance double, derived array<string>, tool string, arguments string, mode string, first bigint, n bigint"
+
+
+def _declared(spark: SparkSession, runs: list[tuple[Family, int, int]]) -> DataFrame:
+    """A row per family and run of indexes."""
+    rows = [
+        (
+            k, f.name, f.category, list(f.prompts), [low for low, _ in f.ranges], [high for _, high in f.ranges], f.tree, f.behavior, f.tolerance if f.tree or f.tool else None,
+            list(f.derived), f.tool, f.arguments if f.tool else None, "tool" if f.tool else "deterministic" if f.tree else "semantic", begin, max(0, end - begin),
+        )
+        for k, (f, begin, end) in enumerate(runs)
+    ]
+    return spark.createDataFrame(rows, _DECLARED)
+
+
+def _made(spark: SparkSession, runs: list[tuple[Family, int, int]], seed: int, train: float, validation: float) -> DataFrame:
+    """The records of all runs in one plan: the families are a small table that a range of numbers meets."""
+    most = max((end - begin for _, begin, end in runs), default=0)
+    numbers = spark.range(max(0, most) * len(runs)).select((F.col("id") % max(1, len(runs))).cast("int").alias("_family"), F.floor(F.col("id") / max(1, len(runs))).alias("_k"))
+    rows = numbers.join(F.broadcast(_declared(spark, runs)), F.col("_family") == F.col("family")).filter("_k < n").withColumn("_index", F.col("first") + F.col("_k"))
+    part = lambda what: derive_seed(F.lit(str(seed)), F.col("family_id"), F.lit(what), F.col("_index"))
+    operand = lambda k, name: (F.get("lows", F.lit(k)) + part(name) % (F.get("highs", F.lit(k)) - F.get("lows", F.lit(k)) + 1)).cast("string")
+    rows = rows.withColumns({name: operand(k, name) for k, name in enumerate("abc")})
+    rows = rows.withColumn("_template", (part("template") % F.size("prompts")).cast("int"))
+
+    def filled(pattern: Column, mark: str, names: str = "abcxy") -> Column:
+        for name in names:
+            pattern = F.replace(pattern, F.lit(mark % name), F.coalesce(F.col(name), F.lit("")))
         return pattern
 
-    for name, tree in zip("xy", family.derived):
-        own = F.lit(tree)
-        for n in names:
-            own = F.replace(own, F.lit(f"${n}"), F.col(n))
-        rows = rows.withColumn(name, expression_value(own))
-    prompt = filled(F.element_at(F.array(*[F.lit(p) for p in family.prompts]), F.col("_template") + 1), "{%s}")
-    none = F.lit(None).cast("string")
-    made = rows.select("_index", F.concat(F.lit("t"), F.col("_template")).alias("template_id"), prompt.alias("prompt"), (filled(F.lit(family.tree), "$%s") if family.tree else none).alias("_tree"), (filled(F.lit(family.arguments), "$%s") if family.tool else none).alias("_arguments"))
-    if family.tool:
-        made = made.withColumn("_call", F.concat(F.lit('{"arguments":'), "_arguments", F.lit(f',"protocol_version":"{PROTOCOL}","tool":"{family.tool}"}}'))).withColumn("_result", result_json(F.col("_call")))
-        made = made.withColumn("_value", F.get_json_object("_result", "$.result.value"))
-    else:
-        made = made.withColumn("_value", expression_value(F.col("_tree")) if family.tree else none)
+    for k, name in enumerate("xy"):
+        rows = rows.withColumn(name, expression_value(filled(F.get("derived", F.lit(k)), "$%s", "abc")))
+    call = F.concat(F.lit('{"arguments":'), filled(F.col("arguments"), "$%s"), F.lit(f',"protocol_version":"{PROTOCOL}","tool":"'), F.col("tool"), F.lit('"}'))
+    made = rows.withColumns({"prompt": filled(F.get("prompts", F.col("_template")), "{%s}"), "_tree": filled(F.col("tree"), "$%s"), "_call": call})
+    made = made.withColumn("_result", result_json(F.col("_call")))
+    value = F.when(F.col("tool").isNotNull(), F.get_json_object("_result", "$.result.value")).otherwise(expression_value(F.col("_tree")))
+    made = made.withColumns({"_value": value, "template_id": F.concat(F.lit("t"), F.col("_template")), "derivation_id": derive_id(F.lit(str(seed)), F.col("family_id"), F.col("_index"))})
     truth = F.col("_value").isin("true", "false")
-    generator, name = F.lit(f"{family.category}_gen"), F.lit(family.name)
-    derivation = derive_id(F.lit(str(seed)), name, F.col("_index"))
-    return made.withColumn("derivation_id", derivation).select(
+    generator, name = F.concat("category", F.lit("_gen")), F.col("family_id")
+    traces = F.when(F.col("tool").isNotNull(), F.array(F.struct(F.col("_call").alias("call"), F.col("_result").alias("result")))).otherwise(F.array().cast("array<struct<call:string,result:string>>"))
+    return made.select(
         derive_id(F.lit("example"), generator, name, F.col("template_id"), F.col("derivation_id"), F.lit(str(seed)), length=24).alias("example_id"),
-        generator.alias("generator_id"), F.lit(VERSION).alias("generator_version"), name.alias("family_id"), "template_id", "derivation_id",
-        part("row").alias("seed"), F.lit(family.category).alias("category"),
+        generator.alias("generator_id"), F.lit(VERSION).alias("generator_version"), "family_id", "template_id", "derivation_id",
+        part("row").alias("seed"), "category",
         F.element_at(F.array(*[F.lit(x) for x in ("easy", "medium", "hard")]), (part("difficulty") % 3 + 1).cast("int")).alias("difficulty"),
         F.lit(True).alias("synthetic"), hash_split(generator, name, F.col("derivation_id"), seed, train, validation).alias("split"), "prompt",
-        F.lit(family.behavior).alias("expected_behavior"),
+        F.col("behavior").alias("expected_behavior"),
         F.when(truth, F.col("_value")).otherwise(F.concat(F.lit('"'), F.col("_value"), F.lit('"'))).alias("answer_json"),
-        F.when(truth, "bool").when(F.col("_value").isNotNull(), "str").alias("answer_kind"),
-        (F.lit(family.tolerance) if family.tree or family.tool else F.lit(None).cast("double")).alias("tolerance"),
-        F.lit(family.tool is not None).alias("tool_required"), F.lit(family.tool).cast("string").alias("tool_name"),
-        (F.array(F.struct(F.col("_call").alias("call"), F.col("_result").alias("result"))) if family.tool else F.array().cast("array<struct<call:string,result:string>>")).alias("tool_traces"),
-        F.struct(F.lit("tool" if family.tool else "deterministic" if family.tree else "semantic").alias("mode"), F.col("_tree").alias("expression")).alias("verification"),
+        F.when(truth, "bool").when(F.col("_value").isNotNull(), "str").alias("answer_kind"), "tolerance",
+        F.col("tool").isNotNull().alias("tool_required"), F.col("tool").alias("tool_name"), traces.alias("tool_traces"),
+        F.struct("mode", F.col("_tree").alias("expression")).alias("verification"),
         F.concat(generator, F.lit("/"), name, F.lit(f" v{VERSION}")).alias("provenance"), F.lit("").alias("notes"), F.lit(None).cast("int").alias("token_count"),
-        *([F.col("_index").alias("index")] if indexed else []),
+        F.col("_index").alias("index"),
     )
 
 
+def generated(spark: SparkSession, family: Family, begin: int, end: int, seed: int, train: float = 0.9, validation: float = 0.05, indexed: bool = False) -> DataFrame:
+    """Records ``begin`` to ``end - 1`` of a family, in the columns of ``EXAMPLE_SCHEMA``; with ``indexed`` also their ``index``."""
+    rows = _made(spark, [(family, begin, end)], seed, train, validation)
+    return rows if indexed else rows.drop("index")
+
+
 def corpus(spark: SparkSession, per_family: int, seed: int, families: list[Family] | None = None) -> DataFrame:
     """``per_family`` records of each family."""
-    rows = None
-    for family in FAMILIES if families is None else families:
-        own = generated(spark, family, 0, per_family, seed)
-        rows = own if rows is None else rows.unionByName(own)
-    return rows
+    return _made(spark, [(f, 0, per_family) for f in (FAMILIES if families is None else families)], seed, 0.9, 0.05).drop("index")
 
 
 def held_out_suite(spark: SparkSession, per_family: int, seed: int, offset: int = 0) -> DataFrame:
@@ -204,8 +214,8 @@ def held_out_suite(spark: SparkSession, per_family: int, seed: int, offset: int
 
     Cases are what the rules of cases allow; ids come from seed, family and index, so they never clash.
     """
-    parts = [generated(spark, f, k * offset, k * offset + per_family, seed) for k, f in enumerate(HELD_OUT) if f.category not in NOT_IN_CASES]
-    rows = reduce(DataFrame.unionByName, parts)
+    runs = [(f, k * offset, k * offset + per_family) for k, f in enumerate(HELD_OUT) if f.category not in NOT_IN_CASES]
+    rows = _made(spark, runs, seed, 0.9, 0.05)
     return rows.withColumn("id", F.concat(F.lit("held-"), "example_id")).select(*CASE_SCHEMA.names)
 
 
@@ -217,13 +227,13 @@ def curriculum(spark: SparkSession, kind: str, split: str, per_category: int, se
     """
     categories = {"direct": DIRECT, "safety": SAFETY, "tools": TOOLS, "calls": TOOLS}[kind]
     begin, own = (1_000_000 if kind in ("tools", "calls") else 0), seed + 17 * (kind == "calls")
-    parts = []
+    runs = []
     for category in categories:
         families = families_of(category)
         for k, family in enumerate(families):
             n = per_category // len(families) + (k < per_category % len(families))
-            parts.append(generated(spark, family, begin, begin + n, own))
-    rows = reduce(DataFrame.unionByName, parts).withColumns({"split": F.lit(split), "family_id": F.concat(F.lit(f"{kind}_"), "family_id"), "example_id": derive_id(F.lit(kind), F.lit(split), F.col("example_id"), length=24)})
+            runs.append((family, begin, begin + n))
+    rows = _made(spark, runs, own, 0.9, 0.05).drop("index").withColumns({"split": F.lit(split), "family_id": F.concat(F.lit(f"{kind}_"), "family_id"), "example_id": derive_id(F.lit(kind), F.lit(split), F.col("example_id"), length=24)})
     return rows.withColumn("notes", F.lit(CALL_ONLY)) if kind == "calls" else rows
 
 
