@@ -8,7 +8,6 @@ once per block and nothing of it moves.
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,28 +26,33 @@ SLOTS = 20
 
 
 class Tests:
-    """One block of test texts: word numbers (0 is any other word), and the windows' hashes by length."""
+    """One block of test texts: word numbers (0 is any other word), and the windows' hashes by length, as sorted arrays."""
 
     def __init__(self, rows: list[tuple[str, str | None]], min_match: int) -> None:
         self.vocabulary: dict[str, int] = {}
         self.ids: list[str] = []
-        self.texts: list[list[int]] = []
-        self.windows: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        texts: list[np.ndarray] = []
         for key, text in rows:
             if key is not None and (found := words(text)):
                 self.ids.append(key)
-                self.texts.append([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in found])
-        self.lengths = [min(min_match, len(t)) for t in self.texts]
+                texts.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in found], np.int64))
+        self.sizes = np.array([len(t) for t in texts], np.int64)
+        self.lengths = np.minimum(self.sizes, min_match)
+        self.flat = np.concatenate([*texts, np.zeros(0, np.int64)])
+        self.offset = np.cumsum(self.sizes) - self.sizes
         self.codes = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, len(self.vocabulary) + 1, np.int64).astype(np.uint64)
-        for k, (t, length) in enumerate(zip(self.texts, self.lengths)):
-            for j, h in enumerate(self.rolling(np.array(t), length).tolist()):
-                self.windows[length][h].append((k, j))
-        self.windows = {n: dict(w) for n, w in sorted(self.windows.items())}
-        self.slots = {}
-        for n, w in self.windows.items():
+        self.windows: dict[int, tuple[np.ndarray, ...]] = {}
+        for length in np.unique(self.lengths).tolist():
+            own = np.flatnonzero(self.lengths == length)
+            hashes = [self.rolling(texts[k], length) for k in own.tolist()]
+            counts = np.array([len(h) for h in hashes])
+            test, value = np.repeat(own, counts), np.concatenate(hashes)
+            place = np.arange(len(value)) - np.repeat(np.cumsum(counts) - counts, counts)
+            order = np.lexsort((place, test, value))
+            keys, first = np.unique(value[order], return_index=True)
             slots = np.zeros(1 << SLOTS, bool)
-            slots[(np.fromiter(w, np.uint64, len(w)) >> np.uint64(64 - SLOTS)).astype(np.int64)] = True
-            self.slots[n] = np.packbits(slots)
+            slots[(keys >> np.uint64(64 - SLOTS)).astype(np.int64)] = True
+            self.windows[length] = keys, np.append(first, len(value)), test[order], place[order], np.packbits(slots)
 
     def rolling(self, numbers: np.ndarray, length: int) -> np.ndarray:
         """Karp-Rabin hashes of all windows of ``length`` numbers."""
@@ -58,45 +62,61 @@ class Tests:
             h = h[:-1] * BASE + code[k:]
         return h * BASE
 
-    def seeds(self, numbers: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """``position, test, position in the test`` of each window that a text shares with a test."""
-        if not self.windows:
-            return
+    def seeds(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions, tests and positions in the tests of all windows that texts share with tests."""
+        found = [np.zeros((3, 0), np.int64)]
         code = self.codes[numbers]
         h, known, length = code.copy(), numbers != 0, 1
-        for want, table in self.windows.items():
+        for want, (keys, ends, tests, places, packed) in self.windows.items():
             while length < want:
                 h = h[:-1] * BASE + code[length:]
                 known = known[:-1] & (numbers[length:] != 0)
                 length += 1
             at = np.flatnonzero(known)
             value = h[at] * BASE
-            slots = np.unpackbits(self.slots[want]).view(bool)
-            hit = slots[(value >> np.uint64(64 - SLOTS)).astype(np.int64)]
-            for i, v in zip(at[hit].tolist(), value[hit].tolist()):
-                for k, j in table.get(v, ()):
-                    if self.texts[k][j : j + want] == numbers[i : i + want].tolist():
-                        yield i, k, j
-
-
-def tile(seeds: list[tuple[int, int]], least: int) -> list[tuple[int, int, int]]:
+            hit = np.unpackbits(packed).view(bool)[(value >> np.uint64(64 - SLOTS)).astype(np.int64)]
+            at, value = at[hit], value[hit]
+            slot = np.minimum(np.searchsorted(keys, value), len(keys) - 1)
+            same = keys[slot] == value
+            at, slot = at[same], slot[same]
+            count = ends[slot + 1] - ends[slot]
+            of = np.arange(count.sum()) + np.repeat(ends[slot] - (np.cumsum(count) - count), count)
+            i, k, j = np.repeat(at, count), tests[of], places[of]
+            for w in range(want):
+                equal = numbers[i + w] == self.flat[self.offset[k] + j + w]
+                i, k, j = i[equal], k[equal], j[equal]
+            found.append(np.stack([i, k, j]))
+        return tuple(np.concatenate(found, axis=1))
+
+
+def matches(group: np.ndarray, i: np.ndarray, j: np.ndarray, least: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The maximal matches of each group (a text and a test), from its shared windows: ``group, i, j, length``.
+
+    Windows that follow each other on a diagonal are one match.  ``least`` and ``size`` are each window's words and the
+    words of its test.  Of matches of one group that differ in ``i`` alone, only the first ``size * length + 1`` are
+    kept: tiles cover ``size`` words of the text at most, each of which touches at most ``length`` of these matches, so one
+    that is whole and comes earlier is always left, and tiling never gets to the others.
+    """
+    order = np.lexsort((j, i - j, group))
+    group, i, j, least, size = (x[order] for x in (group, i, j, least, size))
+    begins = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (i[1:] - j[1:] != i[:-1] - j[:-1]) | (j[1:] != j[:-1] + 1)])) if len(i) else np.zeros(0, np.int64)
+    length = np.diff(np.append(begins, len(i))) + least[begins] - 1
+    group, i, j, size = (x[begins] for x in (group, i, j, size))
+    order = np.lexsort((i, length, j, group))
+    group, i, j, length, size = (x[order] for x in (group, i, j, length, size))
+    heads = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (j[1:] != j[:-1]) | (length[1:] != length[:-1])])) if len(i) else np.zeros(0, np.int64)
+    rank = np.arange(len(i)) - np.repeat(heads, np.diff(np.append(heads, len(i))))
+    kept = rank <= size * length
+    return group[kept], i[kept], j[kept], length[kept]
+
+
+def tile(found: list[tuple[int, int, int]], least: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling: ``position in text, position in test, length`` of the tiles, longest first.
 
-    ``seeds`` are the positions of all shared windows of ``least`` words.  Windows that follow each other on a
-    diagonal are one maximal match; the longest match without a marked word is marked, a match that lost words to
+    ``found`` are the maximal matches.  The longest match without a marked word is marked, a match that lost words to
     others goes on with its unmarked stretches, until no match of ``least`` words is left.
     """
-    heap: list[tuple[int, int, int]] = []
-    run: list[int] | None = None
-    for d, j in sorted((i - j, j) for i, j in set(seeds)):
-        if run and run[0] == d and run[2] == j - 1:
-            run[2] = j
-            continue
-        if run:
-            heap.append((-(run[2] - run[1] + least), run[1], run[0] + run[1]))
-        run = [d, j, j]
-    if run:
-        heap.append((-(run[2] - run[1] + least), run[1], run[0] + run[1]))
+    heap = [(-n, j, i) for i, j, n in found]
     heapq.heapify(heap)
     in_text: set[int] = set()
     in_test: set[int] = set()
@@ -153,17 +173,18 @@ def tilings(corpus: DataFrame, text: str, tests: DataFrame, test_id: str, test_t
                     flat.extend([number(w, 0) for w in words(t)])
                     flat.append(0)
                 numbers, begins = np.array(flat, np.int64), np.array(starts, np.int64)
-                seeds: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-                met = list(known.seeds(numbers))
-                rows = np.searchsorted(begins, np.array([i for i, *_ in met], np.int64), side="right") - 1
-                for r, (i, k, j) in zip(rows.tolist(), met):
-                    seeds[r, k].append((i - starts[r], j))
+                i, k, j = known.seeds(numbers)
+                row = np.searchsorted(begins, i, side="right") - 1
+                tests_ = max(1, len(known.ids))
+                group, at_text, at_test, length = matches(row * tests_ + k, i - begins[row], j, known.lengths[k], known.sizes[k])
+                heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
                 out = []
-                for (r, k), pairs in seeds.items():
-                    tiles = tile(pairs, known.lengths[k])
-                    coverage = sum(n for *_, n in tiles) / len(known.texts[k])
+                for first, last in zip(heads.tolist(), [*heads[1:].tolist(), len(group)]):
+                    r, test = divmod(int(group[first]), tests_)
+                    tiles = tile(list(zip(at_text[first:last].tolist(), at_test[first:last].tolist(), length[first:last].tolist())), int(known.lengths[test]))
+                    coverage = sum(n for *_, n in tiles) / int(known.sizes[test])
                     if coverage >= min_coverage:
-                        out.append((r, known.ids[k], len(tiles), max(n for *_, n in tiles), coverage))
+                        out.append((r, known.ids[test], len(tiles), max(n for *_, n in tiles), coverage))
                 at = pa.array([x[0] for x in out], pa.int32())
                 values = [pa.array([x[k] for x in out], kind) for k, kind in ((1, pa.string()), (2, pa.int32()), (3, pa.int32()), (4, pa.float64()))]
                 yield pa.record_batch([*(c.take(at) for c in batch.columns[1:]), *values], names=schema.names)

@@ -1,12 +1,13 @@
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from corpusforge.functions.words import clean_name, words
 from corpusforge.llm import leaks, queries
-from corpusforge.llm.leaks import tile, tilings
+from corpusforge.llm.leaks import matches, tile, tilings
 
 DATA = "/root/testdata/sf0.001"
 
@@ -31,11 +32,49 @@ def naive_tiling(text, test, least):
         used_b[j : j + k] = [True] * k
 
 
+def limited(seeds, size, least):
+    """The matches of one text and test that the operator keeps."""
+    i, j = (np.array([s[k] for s in seeds], np.int64) for k in (0, 1))
+    same = lambda v: np.full(len(seeds), v, np.int64)
+    return list(zip(*(x.tolist() for x in matches(same(0), i, j, same(least), same(size))[1:])))
+
+
+def every(seeds, least):
+    """All maximal matches."""
+    known = set(seeds)
+    out = []
+    for i, j in seeds:
+        if (i - 1, j - 1) not in known:
+            n = 0
+            while (i + n, j + n) in known:
+                n += 1
+            out.append((i, j, n + least - 1))
+    return out
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 2), min_size=1, max_size=4), st.integers(1, 60), st.lists(st.integers(0, 2), max_size=40), st.lists(st.integers(0, 2), min_size=1, max_size=7), st.integers(1, 3))
+def test_repeated_matches_are_left_out_without_a_trace(period, times, text, test, least):
+    """Periodic texts, whose matches repeat many times: the tiles of the matches kept are those of all matches."""
+    text = text + period * times
+    seeds = [(i, j) for i in range(len(text) - least + 1) for j in range(len(test) - least + 1) if text[i : i + least] == test[j : j + least]]
+    assert tile(limited(seeds, len(test), least), least) == tile(every(seeds, least), least)
+
+
+def test_long_periodic_texts_stay_small():
+    text = ["a", "b"] * 100_000
+    tests = leaks.Tests([("t", " ".join(["a", "b"] * 20))], 8)
+    i, k, j = tests.seeds(np.array([tests.vocabulary[w] for w in text]))
+    kept = matches(k, i, j, tests.lengths[k], tests.sizes[k])
+    assert len(i) > 3_000_000 and len(kept[0]) < 100_000
+    assert tile(list(zip(*(x.tolist() for x in kept[1:]))), 8) == [(0, 0, 40)]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=25), st.lists(st.integers(0, 3), max_size=15), st.integers(1, 4))
 def test_tiling_marks_longest_first(text, test, least):
     seeds = [(i, j) for i in range(len(text) - least + 1) for j in range(len(test) - least + 1) if text[i : i + least] == test[j : j + least]]
-    tiles = tile(seeds, least)
+    tiles = tile(limited(seeds, len(test), least), least)
     want = naive_tiling(text, test, least)
     assert [n for *_, n in tiles] == sorted((n for *_, n in tiles), reverse=True)
     assert max([n for *_, n in tiles], default=0) == max([n for *_, n in want], default=0)
