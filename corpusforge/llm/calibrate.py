@@ -35,7 +35,10 @@ def calibrated(histogram: DataFrame, targets: DataFrame) -> list[dict]:
     joined = targets.join(cells, F.col("category") == F.col("_category"), "left")
     before = F.coalesce(F.sum("n").over(_smaller()), F.lit(0))
     base = joined.withColumn("_least", F.greatest(F.lit(0), F.least(F.col("n"), F.col("floor_examples") - before)) * F.col("tokens"))
-    found = base.groupBy("config_id", "category", "want_tokens", "floor_examples").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("count"), F.coalesce(F.sum(F.col("n") * F.col("tokens")), F.lit(0)).alias("total"), F.coalesce(F.sum(F.col("n") * F.col("tokens") * F.col("tokens")), F.lit(0)).alias("square"), F.coalesce(F.sum("_least"), F.lit(0)).alias("least"))
+    n, t = F.col("n"), F.col("tokens")
+    sums = {"count": n, "total": n * t, "square": n * t * t, "least": F.col("_least")}
+    found = base.groupBy("config_id", "category", "want_tokens", "floor_examples")
+    found = found.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(name) for name, c in sums.items()])
     rows = [r.asDict() for r in found.collect()]
     for r in rows:
         n, total, want, floor = r["count"], r["total"], r["want_tokens"], r["floor_examples"]
@@ -58,12 +61,14 @@ def calibrated(histogram: DataFrame, targets: DataFrame) -> list[dict]:
         live = [r for r in rows if r["open"]]
         if not live:
             break
-        now = spark.createDataFrame([(k, r["category"], r["eta"], r["slope"], r["mean"], r["sd"]) for k, r in enumerate(live)], "target int, category string, eta double, slope double, mean double, sd double")
+        tilts = [(k, r["category"], r["eta"], r["slope"], r["mean"], r["sd"]) for k, r in enumerate(live)]
+        now = spark.createDataFrame(tilts, "target int, category string, eta double, slope double, mean double, sd double")
         z = (F.col("tokens") - F.col("mean")) / F.col("sd")
         p = 1 / (1 + F.exp(-(F.col("eta") + F.col("slope") * z)))
         w = F.col("n") * p * (1 - p)
-        sums = now.join(cells, F.col("category") == F.col("_category")).groupBy("target").agg(F.sum(F.col("n") * p).alias("m0"), F.sum(F.col("n") * p * z).alias("m1"), F.sum(w).alias("h00"), F.sum(w * z).alias("h01"), F.sum(w * z * z).alias("h11"))
-        for s in sums.collect():
+        moments = {"m0": F.col("n") * p, "m1": F.col("n") * p * z, "h00": w, "h01": w * z, "h11": w * z * z}
+        met = now.join(cells, F.col("category") == F.col("_category"))
+        for s in met.groupBy("target").agg(*[F.sum(c).alias(name) for name, c in moments.items()]).collect():
             r = live[s["target"]]
             r["tokens"] = s["m1"] * r["sd"] + s["m0"] * r["mean"]
             aim = (r["want_tokens"] - r["examples"] * r["mean"]) / r["sd"]

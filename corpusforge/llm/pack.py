@@ -102,12 +102,16 @@ def packed(df: DataFrame, id: str, tokens: Column, limits: DataFrame, buckets: i
     capacities, or than ``LENGTHS`` lengths in all of them, are refused.
     """
     spark = df.sparkSession
-    specs = [(r["spec_id"], r["max_tokens"]) for r in limits.select("spec_id", "max_tokens").filter("max_tokens > 0").distinct().limit(SPECS + 1).collect()]
+    told = limits.select("spec_id", "max_tokens").filter("max_tokens > 0").distinct().limit(SPECS + 1).collect()
+    specs = [(r["spec_id"], r["max_tokens"]) for r in told]
     if len(specs) > SPECS:
         raise ValueError(f"more than {SPECS} capacities")
     sizes = staged(df.select(F.col(id).alias("id"), tokens.cast("bigint").alias("all_tokens")))
-    caps = F.array(*[F.struct(F.lit(s).alias("spec_id"), F.lit(c).cast("bigint").alias("cap")) for s, c in specs]) if specs else F.from_json(F.lit("[]"), "array<struct<spec_id:string,cap:bigint>>")
-    each = sizes.select("id", "all_tokens", F.inline(caps)).withColumn("full", F.when(F.col("all_tokens") > F.col("cap"), F.floor(F.col("all_tokens") / F.col("cap"))).otherwise(F.lit(0))).withColumn("rest", F.col("all_tokens") - F.col("full") * F.col("cap"))
+    caps = F.array(*[F.struct(F.lit(s).alias("spec_id"), F.lit(c).cast("bigint").alias("cap")) for s, c in specs])
+    caps = caps if specs else F.from_json(F.lit("[]"), "array<struct<spec_id:string,cap:bigint>>")
+    full = F.when(F.col("all_tokens") > F.col("cap"), F.floor(F.col("all_tokens") / F.col("cap"))).otherwise(F.lit(0))
+    each = sizes.select("id", "all_tokens", F.inline(caps)).withColumn("full", full)
+    each = each.withColumn("rest", F.col("all_tokens") - F.col("full") * F.col("cap"))
     histogram: dict[str, dict[int, int]] = {}
     cells = each.filter("rest > 0").groupBy("spec_id", "rest").count().limit(LENGTHS + 1).collect()  # at most max_tokens rows a spec
     if len(cells) > LENGTHS:
@@ -129,13 +133,20 @@ def packed(df: DataFrame, id: str, tokens: Column, limits: DataFrame, buckets: i
     bounds_of = spark.createDataFrame(bound_rows, "_spec string, _rest bigint, bound bigint")
     plans = spark.createDataFrame(plan_rows, "_s string, _b bigint, _from bigint, _to bigint, _per bigint, _first bigint")
     order = F.xxhash64("id", "all_tokens")
-    items = each.filter("rest > 0").join(F.broadcast(bounds_of), (F.col("spec_id") == F.col("_spec")) & (F.col("rest") == F.col("_rest"))).withColumn("_order", order)
+    own = (F.col("spec_id") == F.col("_spec")) & (F.col("rest") == F.col("_rest"))
+    items = each.filter("rest > 0").join(F.broadcast(bounds_of), own).withColumn("_order", order)
     numbered = ranked(items, ["spec_id", "bound"], "_order", ["id"], "_rank")
-    met = numbered.join(F.broadcast(plans), (F.col("spec_id") == F.col("_s")) & (F.col("bound") == F.col("_b")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
-    whole = met.select("spec_id", "id", F.col("full").cast("int").alias("part"), (F.col("_first") + F.floor((F.col("_rank") - F.col("_from")) / F.col("_per"))).alias("container"), F.col("rest").alias("tokens"), "bound", (F.col("full") > 0).alias("oversize"))
+    run = (F.col("spec_id") == F.col("_s")) & (F.col("bound") == F.col("_b"))
+    met = numbered.join(F.broadcast(plans), run & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
+    container = (F.col("_first") + F.floor((F.col("_rank") - F.col("_from")) / F.col("_per"))).alias("container")
+    part, oversize = F.col("full").cast("int").alias("part"), (F.col("full") > 0).alias("oversize")
+    whole = met.select("spec_id", "id", part, container, F.col("rest").alias("tokens"), "bound", oversize)
     starts = F.create_map(*[F.lit(x) for s, n in made.items() for x in (s, n)]) if made else F.create_map(F.lit(""), F.lit(0))
     over = running(each.filter("full > 0").withColumn("_order", order), ["spec_id"], "_order", ["id"], F.col("full"), "_before")
     parts = over.select("spec_id", "id", "cap", "_before", F.explode(F.sequence(F.lit(0), F.col("full").cast("int") - 1)).alias("part"))
-    full = parts.select("spec_id", "id", "part", (starts[F.col("spec_id")] + F.col("_before") + F.col("part")).alias("container"), F.col("cap").alias("tokens"), F.col("cap").alias("bound"), F.lit(True).alias("oversize"))
-    empty = each.filter("all_tokens = 0").select("spec_id", "id", F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("container"), F.lit(0).cast("bigint").alias("tokens"), F.lit(0).cast("bigint").alias("bound"), F.lit(False).alias("oversize"))
-    return whole.unionByName(full).unionByName(empty)
+    place = (starts[F.col("spec_id")] + F.col("_before") + F.col("part")).alias("container")
+    cap = [F.col("cap").alias(c) for c in ("tokens", "bound")]
+    filled = parts.select("spec_id", "id", "part", place, *cap, F.lit(True).alias("oversize"))
+    zeros = [F.lit(0).cast("bigint").alias(c) for c in ("container", "tokens", "bound")]
+    empty = each.filter("all_tokens = 0").select("spec_id", "id", F.lit(0).alias("part"), *zeros, F.lit(False).alias("oversize"))
+    return whole.unionByName(filled).unionByName(empty)
